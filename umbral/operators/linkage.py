@@ -13,6 +13,7 @@ from umbral.operators.aggregates import indicator_any
 from umbral.operators.joins import join_anti, join_full, join_inner, join_left
 from umbral.operators.ordering import nearest_by_key
 from umbral.operators.ranking import best_per_group, filter_group_extreme, first_per_key
+from umbral.session import materialise
 
 
 def id_variants(df: DataFrame, raw: str, name: str = "ROL", priority: str = "rol_prty") -> DataFrame:
@@ -72,17 +73,19 @@ def match_by_id(
     Applications and boundaries that share an identifier are never paired off: the boundaries are
     reduced to one row per (identifier, place, area), and each application looks up only the nearest
     area below and above its own size (:func:`nearest_by_key`). A missing area or size makes the
-    difference missing and drops the group, as the strict minimum demands.
+    difference missing and drops the group, as the strict minimum demands. Both sides are read several
+    times, so they are written to the shared folder first.
     """
     named = id_variants(apps, raw_id, "ROL", "rol_prty").withColumn("_name", normalise_name(place))
     pairs = near_names(named, cad, "_name", cad_place)
-    probes = named.join(pairs, named["_name"] == pairs["a_name"]).drop("_name", "a_name")
+    probes = materialise(named.join(pairs, named["_name"] == pairs["a_name"]).drop("_name", "a_name"))
 
     best = F.min(F.struct((-F.col("src_prty")).alias("s"), (-F.col("rol_prty_ciren")).alias("r"),
                           *[col(p).alias(p) for p in payload])).alias("_b")
     targets = cad.groupBy("ROL", col(cad_place).alias("b_name"), col(cad_area).alias("_v")).agg(best)
     targets = targets.select("ROL", "b_name", "_v", (-F.col("_b.s")).alias("src_prty"),
                              (-F.col("_b.r")).alias("rol_prty_ciren"), *[F.col("_b").getField(p).alias(p) for p in payload])
+    targets = materialise(targets)
     found_cols = ["src_prty", "rol_prty_ciren", *payload]
 
     sized = probes.where(col(size).isNotNull()).select("ROL", "b_name", col(size).cast("double").alias("_v")).distinct()
@@ -231,11 +234,12 @@ def build_activity_flags(
     stand: str = "rptro_id",
     label: str = "rptac_tipo",
 ) -> DataFrame:
-    """One 0/1 column per activity type and (project, year)."""
+    """One 0/1 column per activity type and (project, year); repeated rows are dropped before the joins."""
     keys = list(dict.fromkeys([*ids, prop]))
-    base = property_table.select(*[col(k) for k in keys])
-    with_stands = join_left(base, stands.select(col(prop), col(stand)), [prop])
-    with_types = join_left(with_stands, activities.select(col(stand), col(label)), [stand])
+    base = property_table.select(*[col(k) for k in keys]).distinct()
+    with_stands = join_left(base, stands.select(col(prop), col(stand)).distinct(), [prop])
+    types = activities.where(col(label).isin(*values)).select(col(stand), col(label)).distinct()
+    with_types = join_left(with_stands, types, [stand])
     return indicator_any(with_types, ids, label, values)
 
 

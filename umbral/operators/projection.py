@@ -1,6 +1,6 @@
 """UTM (southern hemisphere) to degrees and back, by the Krueger series of sixth order.
 
-The steps are written as successive columns, so each intermediate value is computed once.
+Everything stays in JVM expressions; intermediate values are bound once by ``_let``.
 """
 
 from __future__ import annotations
@@ -58,68 +58,98 @@ def _eccentricity(ellps: str) -> float:
     return sqrt(f * (2 - f))
 
 
-def _by_ellipsoid(ellps: Column, value: Callable[[str], float]) -> Column:
+def _meridian(zone: Column) -> Column:
+    return zone * 6 - 183
+
+
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Bind a value to a name inside an expression, so that it is computed once.
+
+    Plain columns would not do: a filter on the result is pushed through them with every use written out.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _constants(ellps: Column) -> Column:
+    """Ellipsoid constants of a row: ``e``, ``scale`` and the series ``f1..f6`` and ``i1..i6``."""
     out = None
     for name in ELLIPSOIDS:
-        v = F.lit(float(value(name)))
-        out = F.when(ellps == name, v) if out is None else out.when(ellps == name, v)
+        values = {"e": _eccentricity(name), "scale": K0 * _radius(name)}
+        values |= {f"f{j}": v for j, v in enumerate(_series(FORWARD, name), start=1)}
+        values |= {f"i{j}": v for j, v in enumerate(_series(INVERSE, name), start=1)}
+        row = F.struct(*[F.lit(float(v)).alias(k) for k, v in values.items()])
+        out = F.when(ellps == name, row) if out is None else out.when(ellps == name, row)
     return out
 
 
-def _meridian(zone: Column) -> Column:
-    return zone * 6 - 183
+def _conformal(t: Column, e: Column) -> Column:
+    """Tangent of the conformal latitude from the tangent of the latitude."""
+    root = F.sqrt(1 + t * t)
+    return _let(F.sinh(e * F.atanh(e * t / root)), lambda s: t * F.sqrt(1 + s * s) - s * root)
+
+
+def _newton(t: Column, target: Column, e: Column) -> Column:
+    """One step towards the latitude whose conformal tangent is ``target``."""
+    slope = (1 + (1 - e * e) * t * t) / ((1 - e * e) * F.sqrt(1 + t * t))
+    return _let(_conformal(t, e), lambda g: t + (target - g) / F.sqrt(1 + g * g) * slope)
+
+
+def utm_inverse(x: Column, y: Column, zone: Column, ellps: Column) -> Column:
+    """``struct<lon,lat>`` in degrees of UTM south coordinates on the row's ellipsoid."""
+
+    def plane(k):
+        start = F.struct(((y - FALSE_NORTH) / k["scale"]).alias("xi"), ((x - FALSE_EAST) / k["scale"]).alias("eta"))
+        return _let(start, lambda v: sphere(k, v["xi"], v["eta"]))
+
+    def sphere(k, xi, eta):
+        dxi = sum((k[f"i{j}"] * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j in range(1, 7)), F.lit(0.0))
+        deta = sum((k[f"i{j}"] * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j in range(1, 7)), F.lit(0.0))
+        return _let(F.struct((xi - dxi).alias("xi"), (eta - deta).alias("eta")), lambda w: latitude(k, w["xi"], w["eta"]))
+
+    def latitude(k, xi, eta):
+        start = F.sin(xi) / F.sqrt(F.pow(F.sinh(eta), F.lit(2.0)) + F.pow(F.cos(xi), F.lit(2.0)))
+        tangent = _let(start, lambda tp: F.aggregate(F.sequence(F.lit(1), F.lit(5)), tp, lambda t, _: _newton(t, tp, k["e"])))
+        lon = _meridian(zone) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
+        return F.struct(lon.alias("lon"), F.degrees(F.atan(tangent)).alias("lat"))
+
+    return _let(_constants(ellps), plane)
+
+
+def utm_forward(lon: Column, lat: Column, zone: Column, ellps: Column) -> Column:
+    """``struct<x,y>`` in metres of UTM south from degrees on the row's ellipsoid."""
+
+    def sphere(k):
+        start = F.struct(
+            F.radians(lon - _meridian(zone)).alias("lam"),
+            _let(F.tan(F.radians(lat)), lambda t: _conformal(t, k["e"])).alias("tp"),
+        )
+        return _let(start, lambda v: plane(k, v["lam"], v["tp"]))
+
+    def plane(k, lam, tp):
+        start = F.struct(
+            F.atan2(tp, F.cos(lam)).alias("xi"),
+            F.asinh(F.sin(lam) / F.sqrt(tp * tp + F.pow(F.cos(lam), F.lit(2.0)))).alias("eta"),
+        )
+        return _let(start, lambda w: metres(k, w["xi"], w["eta"]))
+
+    def metres(k, xi, eta):
+        north = sum((k[f"f{j}"] * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j in range(1, 7)), xi)
+        east = sum((k[f"f{j}"] * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j in range(1, 7)), eta)
+        return F.struct((FALSE_EAST + k["scale"] * east).alias("x"), (FALSE_NORTH + k["scale"] * north).alias("y"))
+
+    return _let(_constants(ellps), sphere)
 
 
 def utm_to_lonlat(df: DataFrame, x: str, y: str, zone: Column, ellps: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Eastings and northings of UTM south to degrees on the row's ellipsoid."""
-    keep = df.columns
-    coef = lambda j: _by_ellipsoid(F.col("_ell"), lambda e: _series(INVERSE, e)[j])
-    d = df.withColumns({"_ell": ellps, "_zone": zone})
-    scale = F.lit(K0) * _by_ellipsoid(F.col("_ell"), _radius)
-    d = d.withColumns({"_xi": (col(y) - FALSE_NORTH) / scale, "_eta": (col(x) - FALSE_EAST) / scale,
-                       "_e": _by_ellipsoid(F.col("_ell"), _eccentricity)})
-    xi, eta = F.col("_xi"), F.col("_eta")
-    dxi = sum((coef(j - 1) * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j in range(1, 7)), F.lit(0.0))
-    deta = sum((coef(j - 1) * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j in range(1, 7)), F.lit(0.0))
-    d = d.withColumns({"_xp": xi - dxi, "_ep": eta - deta})
-    xp, ep = F.col("_xp"), F.col("_ep")
-    d = d.withColumn("_tp", F.sin(xp) / F.sqrt(F.pow(F.sinh(ep), F.lit(2.0)) + F.pow(F.cos(xp), F.lit(2.0))))
-    d = d.withColumns({"_t0": F.col("_tp"), "_lam": F.degrees(F.atan2(F.sinh(ep), F.cos(xp)))})
-    e, tp = F.col("_e"), F.col("_tp")
-    for i in range(5):
-        t = F.col(f"_t{i}")
-        root = F.sqrt(1 + t * t)
-        d = d.withColumn(f"_s{i}", F.sinh(e * F.atanh(e * t / root)))
-        s = F.col(f"_s{i}")
-        d = d.withColumn(f"_g{i}", t * F.sqrt(1 + s * s) - s * root)
-        g = F.col(f"_g{i}")
-        step = (tp - g) / F.sqrt(1 + g * g) * (1 + (1 - e * e) * t * t) / ((1 - e * e) * root)
-        d = d.withColumn(f"_t{i + 1}", t + step)
-    return d.select(
-        *[col(c) for c in keep],
-        (_meridian(F.col("_zone")) + F.col("_lam")).alias(lon),
-        F.degrees(F.atan(F.col("_t5"))).alias(lat),
-    )
+    """Add longitude and latitude of UTM south coordinates."""
+    out = df.withColumn("_ll", utm_inverse(col(x), col(y), zone, ellps))
+    return out.withColumns({lon: F.col("_ll.lon"), lat: F.col("_ll.lat")}).drop("_ll")
 
 
 def lonlat_to_utm(df: DataFrame, lon: str, lat: str, zone: Column, ellps: Column, x: str = "x", y: str = "y") -> DataFrame:
-    """Degrees to eastings and northings of UTM south on the row's ellipsoid."""
-    keep = [c for c in df.columns if c not in {x, y}]
-    coef = lambda j: _by_ellipsoid(F.col("_ell"), lambda e: _series(FORWARD, e)[j])
-    d = df.withColumns({"_ell": ellps, "_lam": F.radians(col(lon) - _meridian(zone)), "_t": F.tan(F.radians(col(lat)))})
-    d = d.withColumns({"_e": _by_ellipsoid(F.col("_ell"), _eccentricity), "_root": F.sqrt(1 + F.col("_t") * F.col("_t"))})
-    t, e, root, lam = F.col("_t"), F.col("_e"), F.col("_root"), F.col("_lam")
-    d = d.withColumn("_s", F.sinh(e * F.atanh(e * t / root)))
-    s = F.col("_s")
-    d = d.withColumn("_tp", t * F.sqrt(1 + s * s) - s * root)
-    tp = F.col("_tp")
-    d = d.withColumns({"_xp": F.atan2(tp, F.cos(lam)),
-                       "_ep": F.asinh(F.sin(lam) / F.sqrt(tp * tp + F.pow(F.cos(lam), F.lit(2.0))))})
-    xp, ep = F.col("_xp"), F.col("_ep")
-    xi = sum((coef(j - 1) * F.sin(2 * j * xp) * F.cosh(2 * j * ep) for j in range(1, 7)), xp)
-    eta = sum((coef(j - 1) * F.cos(2 * j * xp) * F.sinh(2 * j * ep) for j in range(1, 7)), ep)
-    scale = F.lit(K0) * _by_ellipsoid(F.col("_ell"), _radius)
-    return d.select(*[col(c) for c in keep], (FALSE_EAST + scale * eta).alias(x), (FALSE_NORTH + scale * xi).alias(y))
+    """Add UTM south coordinates of longitude and latitude."""
+    out = df.withColumn("_xy", utm_forward(col(lon), col(lat), zone, ellps))
+    return out.withColumns({x: F.col("_xy.x"), y: F.col("_xy.y")}).drop("_xy")
 
 
 def reproject_utm(df: DataFrame, x: str = "easting", y: str = "northing", zone: str = "huso", datum: str = "datum") -> DataFrame:
@@ -128,12 +158,14 @@ def reproject_utm(df: DataFrame, x: str = "easting", y: str = "northing", zone:
     No datum shift is applied: only ellipsoid and zone change.
     """
     own = F.when(col(datum) == "WGS84", F.lit("WGS84")).when(col(datum) == "SAD69", F.lit("aust_SA"))
-    there = utm_to_lonlat(df, x, y, col(zone), own, "_lon", "_lat")
-    back = lonlat_to_utm(there, "_lon", "_lat", F.lit(19), F.lit("aust_SA"), "_x", "_y")
+    moved = _let(
+        utm_inverse(col(x), col(y), col(zone), own),
+        lambda p: utm_forward(p["lon"], p["lat"], F.lit(19), F.lit("aust_SA")),
+    )
+    here = F.struct(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
     same = (col(datum) == "SAD69") & (col(zone) == 19)
-    return back.withColumns(
-        {x: F.when(same, col(x)).otherwise(F.col("_x")), y: F.when(same, col(y)).otherwise(F.col("_y"))}
-    ).drop("_lon", "_lat", "_x", "_y")
+    out = df.withColumn("_xy", F.when(same, here).otherwise(moved))
+    return out.withColumns({x: F.col("_xy.x"), y: F.col("_xy.y")}).drop("_xy")
 
 
 def harmonise_crs(df: DataFrame, x: str, y: str, to: str) -> DataFrame:

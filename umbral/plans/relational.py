@@ -63,7 +63,7 @@ def select_regex_rename(t):
         body="""
 SELECT app_id, round(score - 42, 6) AS score_centered, round(abs(size_ha - area), 6) AS area_diff,
   round(size_ha - area, 6) AS signed_area_diff, 2021 - yr AS years_since_contest, round(app_id * 0.0225::DOUBLE, 6) AS area_px_ha,
-  round(amount / nullif(size_ha, 0), 6) AS price_per_hectare, round(size_ha + area, 6) AS both_areas,
+  amount / nullif(size_ha, 0) AS price_per_hectare, round(size_ha + area, 6) AS both_areas,
   coalesce(size_ha, area) AS any_area, 'program' AS source, size_ha <= 200 AS below_cutoff FROM app""",
     ),
 )
@@ -77,7 +77,7 @@ def derived_columns(t):
             "signed_area_diff": F.round(S.signed_diff("size_ha", "area"), 6),
             "years_since_contest": S.years_since("yr"),
             "area_px_ha": F.round(S.pixels_to_ha("app_id"), 6),
-            "price_per_hectare": F.round(S.ratio("amount", "size_ha"), 6),
+            "price_per_hectare": S.ratio("amount", "size_ha"),
             "both_areas": F.round(S.class_total("size_ha", "area"), 6),
             "any_area": S.coalesce_cols("size_ha", "area"),
             "source": F.lit("program"),
@@ -601,5 +601,5 @@ def name_distance(t):
     c = t.customer.select(col("c_custkey").alias("prop_id"), col("c_nationkey").alias("n_nationkey"))
     official = J.join_inner(c, t.nation, ["n_nationkey"])
     joined = J.join_inner(ad.applications(t), official, ["prop_id"])
-    plain = X.normalise_name("comuna")
-    return joined.select("app_id", plain.alias("plain"), X.dl_0_1(plain, F.lower("n_name")).alias("dist"))
+    named = joined.select("app_id", X.normalise_name("comuna").alias("plain"), F.lower("n_name").alias("name"))
+    return named.select("app_id", "plain", X.dl_0_1("plain", "name").alias("dist"))
