@@ -186,12 +186,13 @@ def label_rows(labels: Mapping[str, Sequence[str]]) -> list[tuple[str, str, int,
 
 
 def side_smooth(
-    df: DataFrame, x: str, y: str, by: Sequence[str] = (), c: float = 0.0, points: int = 80, span: float = 0.75
+    df: DataFrame, x: str, y: str, by: Sequence[str] = (), c: float = 0.0, points: int = 80, span: float = 0.75, cells: int = 4096
 ) -> DataFrame:
     """Local quadratic curve per side of the cutoff (and group) on an even grid, tricube weights.
 
-    The band at each grid point is the distance to its nearest ``span`` share of the rows, the largest
-    distance over value counts, so that rows are reduced to distinct ``x`` before they meet the grid.
+    Rows are reduced to distinct ``x`` before they meet the grid. The band at a grid point is the
+    distance that reaches the nearest ``span`` share of the rows: exact up to ``cells`` distinct values
+    per side, beyond that taken from counts in ``cells`` equal cells, so its memory is bounded.
     """
     side = F.when(col(x) <= c, F.lit("left")).otherwise(F.lit("right"))
     rows = df.where(col(x).isNotNull() & col(y).isNotNull())
@@ -199,11 +200,16 @@ def side_smooth(
     mass = rows.groupBy(side.alias("side"), *[col(b).alias(b) for b in by], col(x).cast("double").alias("_x")).agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.sum(col(y).cast("double")).alias("_s")
     )
-    spread = mass.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_total"))
+    spread = mass.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_distinct"))
     grid = spread.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     grid = grid.withColumn("xvals", F.col("_lo") + F.col("_i") * (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1)))
-    near = mass.join(F.broadcast(grid), keys).withColumn("_d", F.abs(F.col("_x") - F.col("xvals")))
-    # distance of the k-th nearest row: weighted quantile of the distances
+    grid = grid.select(*[col(k) for k in keys], "_i", "xvals")
+    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(cells))
+    middle = F.col("_lo") + (F.floor(F.try_divide(F.col("_x") - F.col("_lo"), step)) + 0.5) * step
+    coarse = mass.join(F.broadcast(spread), keys).groupBy(
+        *keys, F.when(F.col("_distinct") <= cells, F.col("_x")).otherwise(middle).alias("_x")
+    ).agg(F.sum("_n").alias("_n"))
+    near = coarse.join(F.broadcast(grid), keys).withColumn("_d", F.abs(F.col("_x") - F.col("xvals")))
     width = near.groupBy(*keys, "_i").agg(
         F.percentile("_d", F.lit(float(span)), F.col("_n").cast("bigint")).alias("_q"), F.first("xvals").alias("xvals")
     )
