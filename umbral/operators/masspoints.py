@@ -63,52 +63,43 @@ def with_neighbours(points: DataFrame, sums: Sequence[str], keys: Sequence[str]
 NAMES = [f"{side}{j}" for side in "lr" for j in range(1, NEIGHBOURS + 1)]
 
 
-def neighbour_set(reach: Column, right: Column, c: float = 0.0) -> list[dict[str, Column]]:
+def neighbour_set(reach: str) -> list[dict[str, Column]]:
     """Columns ``_take_<neighbour>`` and ``_N``, in stages, for the nearest-neighbour set of a mass point.
 
-    A neighbour is in the set if it lies on the same side within ``reach`` of the cutoff and fewer than
-    three other rows are strictly nearer; equally near points enter together. ``_N`` counts the rows of
-    the set, the point's own included.
+    A neighbour is in the set if it lies on the same side (column ``right``) with ``|x|`` below the SQL
+    expression ``reach`` and fewer than three other rows are strictly nearer; equally near points enter
+    together. ``_N`` counts the rows of the set, the point's own included.
     """
-    dist, count = {}, {}
+    dist, count, take = {}, {}, {}
     for m in NAMES:
-        xm = F.col(f"x{m}")
-        ok = xm.isNotNull() & ((xm >= c) == right) & (F.abs(xm - c) < reach)
-        dist[f"_dist_{m}"] = F.when(ok, F.abs(xm - F.col("x")))
-        count[f"_count_{m}"] = F.when(ok, F.col(f"n{m}")).otherwise(0)
-    take = {}
-    for m in NAMES:
-        nearer = F.col("n") - 1
-        for o in NAMES:
-            if o != m:
-                nearer = nearer + F.when(F.col(f"_dist_{o}") < F.col(f"_dist_{m}"), F.col(f"_count_{o}")).otherwise(0)
-        take[f"_take_{m}"] = F.col(f"_dist_{m}").isNotNull() & (nearer < NEIGHBOURS)
-    total = F.col("n")
-    for m in NAMES:
-        total = total + F.when(F.col(f"_take_{m}"), F.col(f"_count_{m}")).otherwise(0)
-    return [{**dist, **count}, take, {"_N": total}]
+        ok = f"x{m} IS NOT NULL AND (x{m} >= 0) = right AND abs(x{m}) < {reach}"
+        dist[f"_dist_{m}"] = F.expr(f"CASE WHEN {ok} THEN abs(x{m} - x) END")
+        count[f"_count_{m}"] = F.expr(f"CASE WHEN {ok} THEN n{m} ELSE 0 END")
+        nearer = " + ".join(f"CASE WHEN _dist_{o} < _dist_{m} THEN _count_{o} ELSE 0 END" for o in NAMES if o != m)
+        take[f"_take_{m}"] = F.expr(f"_dist_{m} IS NOT NULL AND n - 1 + {nearer} < {NEIGHBOURS}")
+    total = " + ".join(f"CASE WHEN _take_{m} THEN _count_{m} ELSE 0 END" for m in NAMES)
+    return [{**dist, **count}, take, {"_N": F.expr(f"n + {total}")}]
 
 
-def residual_stages(name: str, own: Column, square: Column, of: dict[str, Column]) -> list[dict[str, Column]]:
-    """Column ``name``: squared residuals of a scalar with sum ``own`` and square sum ``square`` at the point
-    and sums ``of`` at its neighbours. Needs the columns of :func:`neighbour_set`."""
-    total = own
-    for m in NAMES:
-        total = total + F.when(F.col(f"_take_{m}"), of[m]).otherwise(0.0)
-    parts = {f"_e_{name}": own, f"_q_{name}": square, f"_T_{name}": total}
-    r = residual_square(F.col("n"), F.col(f"_e_{name}"), F.col(f"_q_{name}"), F.col("_N"), F.col(f"_T_{name}"))
-    return [parts, {name: r}]
+def residual_stages(name: str, v: str, k: int) -> list[dict[str, Column]]:
+    """Column ``name``: summed squared nearest-neighbour residuals of the combination ``v`` of the ``k`` variables.
 
+    With ``J = N - 1`` neighbours a row's residual is ``sqrt(J/(J+1)) * (d - mean of the others)``; over a
+    mass point only its count, sum and square sum and the set's count and sum are needed. A point without
+    any neighbour gives 0. Needs the columns of :func:`neighbour_set`.
+    """
 
-def residual_square(n: Column, e: Column, q: Column, big_n: Column, total: Column) -> Column:
-    """Sum over the rows of a mass point of the squared nearest-neighbour residual.
+    def dot(ending=""):
+        return " + ".join(f"get({v}, {i}) * s{i}{ending}" for i in range(k))
 
-    With ``J = N - 1`` neighbours the residual is ``sqrt(J/(J+1)) * (d - mean of the others)``; only
-    the count ``n``, the sum ``e`` and the square sum ``q`` of the point and ``N``, ``total`` of its
-    neighbour set are needed. A point without any neighbour gives 0.
-    """
-    square = big_n * big_n * q - 2 * big_n * total * e + n * total * total
-    return F.when(big_n > 1, square / (big_n * (big_n - 1))).otherwise(F.lit(0.0))
+    square = " + ".join(
+        f"get({v}, {i}) * get({v}, {j}) * q{i}_{j} * {1 if i == j else 2}" for i in range(k) for j in range(i, k)
+    )
+    near = " + ".join(f"CASE WHEN _take_{m} THEN {dot('_' + m)} ELSE 0 END" for m in NAMES)
+    parts = {f"_e_{name}": F.expr(dot()), f"_q_{name}": F.expr(square), f"_o_{name}": F.expr(near)}
+    e, q, t = f"_e_{name}", f"_q_{name}", f"(_e_{name} + _o_{name})"
+    r = f"CASE WHEN _N > 1 THEN (_N * _N * {q} - 2 * _N * {t} * {e} + n * {t} * {t}) / (_N * (_N - 1)) ELSE 0 END"
+    return [parts, {name: F.expr(r)}]
 
 
 def prepare(

@@ -13,9 +13,7 @@ Powers are taken of ``x / h``, so that the moment matrices stay well conditioned
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 from math import factorial
-from operator import add
 
 import numpy as np
 import pandas as pd
@@ -50,33 +48,30 @@ def kernel_weight(u: Column, kernel: str) -> Column:
     return F.when(a < 1, k).otherwise(F.lit(0.0))
 
 
-def _powers(u: Column, top: int) -> list[Column]:
-    out = [F.lit(1.0)]
-    for _ in range(top):
-        out.append(out[-1] * u)
-    return out
-
-
 def _pairs(k: int):
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
 class _Window:
-    """Sums of one kernel window: ``P`` powers of u, ``U`` powers times d, ``C`` products of d."""
+    """Sums of one kernel window of width ``h`` (an SQL expression): ``P`` powers of ``x / h``, ``U`` powers
+    times ``d``, ``C`` products of ``d``."""
 
-    def __init__(self, tag: str, h: Column, top: int, d_top: int, k: int, kernel: str, cross: bool):
-        self.tag, self.k = tag, k
-        self.u = F.col("x") / h
-        self.w = kernel_weight(self.u, kernel) / h
-        self.top, self.d_top, self.cross = top, d_top, cross
+    def __init__(self, tag: str, h: str, top: int, d_top: int, k: int, kernel: str, cross: bool):
+        self.tag, self.h, self.top, self.d_top, self.k, self.kernel, self.cross = tag, h, top, d_top, k, kernel, cross
+
+    def stages(self) -> list[dict[str, Column]]:
+        """Columns ``<tag>u`` and ``<tag>0..``, the weight times the powers of u."""
+        t, u = self.tag, F.col(f"{self.tag}u")
+        powers = {f"{t}{i}": F.expr(" * ".join([f"{t}0"] + [f"{t}u"] * i)) for i in range(1, self.top + 1)}
+        return [{f"{t}u": F.expr(f"x / {self.h}")}, {f"{t}0": kernel_weight(u, self.kernel) / F.expr(self.h)}, powers]
 
     def columns(self) -> list[Column]:
-        u = _powers(self.u, self.top)
-        out = [F.array(*[F.sum(self.w * F.col("n") * p) for p in u]).alias(f"{self.tag}P")]
-        sums = [F.sum(self.w * F.col(f"s{i}") * u[j]) for j in range(self.d_top + 1) for i in range(self.k)]
-        out.append(F.array(*sums).alias(f"{self.tag}U"))
+        t, k = self.tag, self.k
+        out = [F.expr("array(" + ", ".join(f"sum({t}{i} * n)" for i in range(self.top + 1)) + ")").alias(f"{t}P")]
+        sums = ", ".join(f"sum({t}{j} * s{i})" for j in range(self.d_top + 1) for i in range(k))
+        out.append(F.expr(f"array({sums})").alias(f"{t}U"))
         if self.cross:
-            out.append(F.array(*[F.sum(self.w * F.col(f"q{i}_{j}")) for i, j in _pairs(self.k)]).alias(f"{self.tag}C"))
+            out.append(F.expr("array(" + ", ".join(f"sum({t}0 * q{i}_{j})" for i, j in _pairs(k)) + ")").alias(f"{t}C"))
         return out
 
 
@@ -127,23 +122,9 @@ def _direction(gamma: np.ndarray | None, n_y: int, fuzzy: bool, tau: Callable[[n
     return sy / tt - st * ty / tt**2
 
 
-def _dot(v: Column, names: Sequence[str]) -> Column:
-    return reduce(add, [F.get(v, F.lit(i)) * F.col(n) for i, n in enumerate(names)])
-
-
-def _residual(name: str, v: Column, k: int) -> list[dict[str, Column]]:
-    """Stages for the squared nearest-neighbour residuals of the combination ``v`` of ``d``."""
-    own = _dot(v, [f"s{i}" for i in range(k)])
-    of = {m: _dot(v, [f"s{i}_{m}" for i in range(k)]) for m in M.NAMES}
-    square = reduce(
-        add,
-        [F.get(v, F.lit(i)) * F.get(v, F.lit(j)) * F.col(f"q{i}_{j}") * (1 if i == j else 2) for i, j in _pairs(k)],
-    )
-    return M.residual_stages(name, own, square, of)
-
-
-def _poly(coef: Column, u: Column, order: int, start: int = 0) -> Column:
-    return reduce(add, [F.get(coef, F.lit(start + i)) * p for i, p in enumerate(_powers(u, order))])
+def _poly(coef: str, tag: str, order: int, start: int = 0) -> str:
+    """Weighted polynomial over the columns of a window, as SQL."""
+    return " + ".join(f"get({coef}, {start + i}) * {tag}{i}" for i in range(order + 1))
 
 
 class _Passes:
@@ -156,16 +137,16 @@ class _Passes:
         self.key_fields = [points.schema[c] for c in self.keys]
         self.orders = ((q + 1, q + 1), (q, p + 1), (p, 0))  # (order, derivative) of the three pilot fits
 
-    def _step(self, state: DataFrame, reach: Column, stages: list[dict[str, Column]], sums: Callable[[], list[Column]],
+    def _step(self, state: DataFrame, reach: str, stages: list[dict[str, Column]], sums: list[Column],
               solve: Callable, ddl: str, by: Sequence[str] = ()) -> DataFrame:
         """Broadcast the state, sum per side, and solve per specification."""
         keys = [*self.keys, *by]
         carried = [c for c in state.columns if c not in keys]
         packed = state.select(*keys, F.struct(*carried).alias("st"))
-        joined = self.points.join(F.broadcast(packed), self.keys).where(F.abs("x") <= reach)
+        joined = self.points.join(F.broadcast(packed), self.keys).where(F.expr(f"abs(x) <= {reach}"))
         for columns in stages:
             joined = joined.withColumns(columns)
-        per_side = joined.groupBy(*keys, "right").agg(F.first("st").alias("st"), *sums())
+        per_side = joined.groupBy(*keys, "right").agg(F.first("st").alias("st"), *sums)
         fields = [*[state.schema[c] for c in keys], *[state.schema[c] for c in carried], *T.StructType.fromDDL(ddl).fields]
         schema = T.StructType(fields)
         n_keys, width = len(keys), len(T.StructType.fromDDL(ddl).fields)
@@ -250,12 +231,8 @@ class _Passes:
         k, n_y, fuzzy, orders = self.k, self.n_y, self.fuzzy, self.orders
         p, q, kernel = self.p, self.q, self.kernel
         top = orders[0][0]
-        side_range = F.when(F.col("right"), F.col("st.range_r")).otherwise(F.col("st.range_l"))
-
-        def pilot_sums():
-            c = _Window("c", F.col("st.c_bw"), 2 * top + 1, top, k, kernel, cross=True)
-            r = _Window("r", side_range, 2 * (top + 1), top + 1, k, kernel, cross=False)
-            return [*c.columns(), *r.columns()]
+        win_c = _Window("c", "st.c_bw", 2 * top + 1, top, k, kernel, cross=True)
+        win_r = _Window("r", "IF(right, st.range_r, st.range_l)", 2 * (top + 1), top + 1, k, kernel, cross=False)
 
         def pilot_solve(st, left, right):
             out_a, out_s, out_b, out_d = [], [], [], []
@@ -287,28 +264,20 @@ class _Passes:
             return [out_a[0], out_a[1], out_s[0], out_s[1], out_b[0], out_b[1], out_d]
 
         state = self._step(
-            self.totals(bwcheck), F.col("st.bw_max"), [], pilot_sums, pilot_solve,
+            self.totals(bwcheck), "st.bw_max", [*win_c.stages(), *win_r.stages()],
+            [*win_c.columns(), *win_r.columns()], pilot_solve,
             "al array<double>, ar array<double>, sl array<double>, sr array<double>, bl array<double>, br array<double>, db array<double>",
         )
 
-        by_side = {
-            "a": F.when(F.col("right"), F.col("st.ar")).otherwise(F.col("st.al")),
-            "s": F.when(F.col("right"), F.col("st.sr")).otherwise(F.col("st.sl")),
-        }
-
-        def pilot_meat():
-            u = F.col("x") / F.col("st.c_bw")
-            w = kernel_weight(u, kernel) / F.col("st.c_bw")
-            out, at = [], 0
-            for i, (o, _) in enumerate(orders):
-                weight = w * _poly(F.col("a"), u, o, at)
-                out.append(F.sum(weight * weight * F.col(f"r{i}")))
-                at += o + 1
-            return [F.array(*out).alias("V")]
-
-        stages = [by_side, *M.neighbour_set(F.col("st.c_bw"), F.col("right"))]
-        for i in range(3):
-            stages += [{f"s_{i}": F.slice(F.col("s"), i * k + 1, k)}, *_residual(f"r{i}", F.col(f"s_{i}"), k)]
+        by_side = {"a": F.expr("IF(right, st.ar, st.al)"), "s": F.expr("IF(right, st.sr, st.sl)")}
+        stages = [by_side, *M.neighbour_set("st.c_bw"), *win_c.stages()]
+        meat, at = [], 0
+        for i, (o, _) in enumerate(orders):
+            stages += [{f"s_{i}": F.expr(f"slice(s, {i * k + 1}, {k})")}, *M.residual_stages(f"r{i}", f"s_{i}", k)]
+            stages.append({f"weight{i}": F.expr(_poly("a", "c", o, at))})
+            meat.append(f"sum(weight{i} * weight{i} * r{i})")
+            at += o + 1
+        pilot_meat = [F.expr(f"array({', '.join(meat)})").alias("V")]
 
         def clamp(st, h):
             return float(max(min(h, st["bw_max"]), st["bw_min"]))
@@ -319,17 +288,15 @@ class _Passes:
             d_bw = (v[0] / (st["db"][1] - st["db"][0]) ** 2) ** (1 / (2 * o + 3))
             return [v, clamp(st, d_bw)]
 
-        state = self._step(state, F.col("st.c_bw"), stages, pilot_meat, pilot_finish, "v array<double>, d_bw double")
+        state = self._step(state, "st.c_bw", stages, pilot_meat, pilot_finish, "v array<double>, d_bw double")
 
         def refine(state: DataFrame, which: int, window: str, out: str) -> DataFrame:
             o, nu = orders[which]
             o_b = o + 1
-            h = F.col(f"st.{window}")
-
-            def sums():
-                win = _Window("w", h, 2 * o_b, o_b, k, kernel, cross=False)
-                meat = [F.sum(win.w * win.w * z * F.col("r")) for z in _powers(win.u, 2 * o_b)]
-                return [*win.columns(), F.array(*meat).alias("Q")]
+            h = f"st.{window}"
+            win = _Window("w", h, 2 * o_b, o_b, k, kernel, cross=False)
+            squares = ", ".join(f"sum(w0 * w{i} * r)" for i in range(2 * o_b + 1))
+            sums = [*win.columns(), F.expr(f"array({squares})").alias("Q")]
 
             def solve(st, left, right):
                 bias, reg = [], []
@@ -346,7 +313,8 @@ class _Passes:
                 bottom = (bias[1] - bias[0]) ** 2 + regularise * (reg[0] + reg[1])
                 return [clamp(st, (st["v"][which] / bottom) ** (1 / (2 * o + 3)))]
 
-            stages = [{"s": F.slice(by_side["s"], which * k + 1, k)}, *M.neighbour_set(h, F.col("right")), *_residual("r", F.col("s"), k)]
+            s_side = F.expr(f"slice(IF(right, st.sr, st.sl), {which * k + 1}, {k})")
+            stages = [{"s": s_side}, *M.neighbour_set(h), *M.residual_stages("r", "s", k), *win.stages()]
             return self._step(state, h, stages, sums, solve, f"{out} double")
 
         state = refine(state, 1, "d_bw", "b")
@@ -358,12 +326,10 @@ class _Passes:
     def fit(self, state: DataFrame, by: Sequence[str]) -> DataFrame:
         """Estimates for every row of ``state`` (keys, ``by``, ``Obs``, ``h``, ``b``)."""
         k, n_y, fuzzy, p, q, kernel = self.k, self.n_y, self.fuzzy, self.p, self.q, self.kernel
-        reach = F.greatest("st.h", "st.b")
-
-        def sums():
-            win_h = _Window("h", F.col("st.h"), 2 * p + 1, p, k, kernel, cross=True)
-            win_b = _Window("b", F.col("st.b"), 2 * q, q, k, kernel, cross=False)
-            return [*win_h.columns(), *win_b.columns()]
+        reach = "greatest(st.h, st.b)"
+        win_h = _Window("h", "st.h", 2 * p + 1, p, k, kernel, cross=True)
+        win_b = _Window("b", "st.b", 2 * q, q, k, kernel, cross=False)
+        windows = [*win_h.stages(), *win_b.stages()]
 
         def solve(st, left, right):
             ratio = (st["h"] / st["b"]) ** (p + 1)
@@ -390,21 +356,15 @@ class _Passes:
             coefs = [np.concatenate([side[0], side[1]]).tolist() for side in sides]
             return [tau, tau_bc, s.tolist(), coefs[0], coefs[1]]
 
-        state = self._step(state, reach, [], sums, solve, "tau double, tau_bc double, s array<double>, wl array<double>, wr array<double>", by)
-
-        def meat():
-            uh, ub = F.col("x") / F.col("st.h"), F.col("x") / F.col("st.b")
-            kh, kb = kernel_weight(uh, kernel) / F.col("st.h"), kernel_weight(ub, kernel) / F.col("st.b")
-            plain = kh * _poly(F.col("w"), uh, p)
-            corrected = plain - kb * _poly(F.col("w"), ub, q, p + 1)
-            return [
-                F.sum(plain * plain * F.col("r")).alias("v_cl"),
-                F.sum(corrected * corrected * F.col("r")).alias("v_rb"),
-                F.sum(F.when(kh > 0, F.col("n")).otherwise(0)).cast("double").alias("n_h"),
-            ]
-
-        stages = [{"w": F.when(F.col("right"), F.col("st.wr")).otherwise(F.col("st.wl"))}]
-        stages += [*M.neighbour_set(reach, F.col("right")), *_residual("r", F.col("st.s"), k)]
+        state = self._step(state, reach, windows, [*win_h.columns(), *win_b.columns()], solve, "tau double, tau_bc double, s array<double>, wl array<double>, wr array<double>", by)
+
+        stages = [{"w": F.expr("IF(right, st.wr, st.wl)")}, *windows, *M.neighbour_set(reach), *M.residual_stages("r", "st.s", k)]
+        stages += [{"plain": F.expr(_poly("w", "h", p))}, {"corrected": F.expr(f"plain - ({_poly('w', 'b', q, p + 1)})")}]
+        meat = [
+            F.expr("sum(plain * plain * r)").alias("v_cl"),
+            F.expr("sum(corrected * corrected * r)").alias("v_rb"),
+            F.expr("CAST(sum(IF(h0 > 0, n, 0)) AS double)").alias("n_h"),
+        ]
 
         def finish(st, left, right):
             if st["tau"] is None:
