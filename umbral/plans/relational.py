@@ -400,7 +400,7 @@ _PRIORITIES = ("2-HIGH", "1-URGENT", "5-LOW")
 @query(
     "order_by_list",
     """
-SELECT o_orderpriority, n, position, row_number() OVER (ORDER BY n DESC, o_orderpriority) AS by_size FROM (
+SELECT o_orderpriority, n, position, CAST(row_number() OVER (ORDER BY n DESC, o_orderpriority) AS INTEGER) AS by_size FROM (
   SELECT o_orderpriority, count(*) AS n, CAST(nullif(list_position(['2-HIGH','1-URGENT','5-LOW'], o_orderpriority), 0) AS INTEGER) AS position
   FROM orders GROUP BY o_orderpriority)""",
 )
