@@ -8,7 +8,6 @@ from umbral.functions.scalars import col
 from umbral.functions.text import normalise_id
 from umbral.operators import aggregates as A
 from umbral.operators import linkage as L
-from umbral.operators.ranking import best_per_group
 from umbral.plans import adapters as ad
 from umbral.plans.registry import query
 
