@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from umbral.plans.catalogue import ORACLES, QUERIES
 
 FOLDER = os.environ.get("UMBRAL_TEST_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -34,21 +35,21 @@ def sort_key(row):
     return tuple((v is None, str(v)) for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
-    df = queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     cols = sorted(df.columns)
     ours = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=sort_key)
-    got = duck.execute(oracle_sql()[name])
+    got = duck.execute(ORACLES[name])
     names = [d[0] for d in got.description]
     assert sorted(names) == cols
     theirs = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in got.fetchall()), key=sort_key)
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - {"rd_covariates_grid", "rd_balance_grid", "rd_size_grid"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"rd_covariates_grid", "rd_balance_grid", "rd_size_grid"}))
 def test_runs(spark, name):
-    assert queries()[name](spark, FOLDER).count() > 0
+    assert QUERIES[name](spark, FOLDER).count() > 0
 
 
 def test_entry(spark):
