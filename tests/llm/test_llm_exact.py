@@ -48,3 +48,9 @@ def test_null_ids_and_repeated_rows(spark):
 def test_empty(spark):
     assert exact_groups(frame(spark, [])).collect() == []
     assert drop_exact(frame(spark, [])).collect() == []
+
+
+def test_more_rows_than_an_arrow_batch(spark):
+    rows = spark.range(60_000).selectExpr("id doc_id", "cast(id % 25001 as string) text").coalesce(2)
+    got = exact_groups(rows).selectExpr("sum(group_size)", "sum(cast(kept as int))", "max(group_size)", "count(*)").collect()[0]
+    assert tuple(got) == (sum(((60_000 - 1 - r) // 25001 + 1) ** 2 for r in range(25001)), 25001, 3, 60_000)

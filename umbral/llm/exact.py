@@ -35,6 +35,7 @@ def _fold(batches: Iterator) -> Iterator:
 
     last = None
     for batch in batches:
+        batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)  # nullable throughout
         if last is not None:
             batch = pa.concat_batches([last, batch])
         n = batch.num_rows
@@ -48,7 +49,8 @@ def _fold(batches: Iterator) -> Iterator:
         starts = np.flatnonzero(new)
         sizes = np.add.reduceat(batch.column("group_size").to_numpy(), starts)
         out = batch.take(pa.array(starts))
-        out = out.set_column(out.schema.get_field_index("group_size"), "group_size", pa.array(sizes))
+        at = out.schema.get_field_index("group_size")
+        out = pa.RecordBatch.from_arrays([*out.columns[:at], pa.array(sizes), *out.columns[at + 1 :]], names=out.schema.names)
         last = out.slice(len(starts) - 1)
         if len(starts) > 1:
             yield out.slice(0, len(starts) - 1)
