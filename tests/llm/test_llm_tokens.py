@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from umbral.llm.packing import LENGTH, pack, shortest_pack_first
 from umbral.llm.tokenfile import decode_ends, elias_fano, select, token_file_digest
-from umbral.llm.tokens import FragmentEncoder
+from umbral.llm.tokens import WordEncoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,9 +43,9 @@ def crc(ids):
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 @pytest.mark.parametrize("cache", [3, 400_000])
-def test_fragments_give_the_ids_of_the_whole_text(path, cache):
+def test_words_give_the_ids_of_the_whole_text(path, cache):
     texts = ODD + texts_of(1500, 1)
-    encoder = FragmentEncoder(path, cache)
+    encoder = WordEncoder(path, cache)
     got = [np.frombuffer(x, "<u2").tolist() + [1] for at in range(0, len(texts), 100) for x in encoder.encode(texts[at : at + 100])]
     assert got == plain(path, texts)
 
@@ -53,7 +53,7 @@ def test_fragments_give_the_ids_of_the_whole_text(path, cache):
 def test_given_documents(spark):
     for path in (BYTE, WORD):
         texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-        assert [np.frombuffer(x, "<u2").tolist() + [1] for x in FragmentEncoder(path).encode(texts)] == plain(path, texts)
+        assert [np.frombuffer(x, "<u2").tolist() + [1] for x in WordEncoder(path).encode(texts)] == plain(path, texts)
 
 
 @pytest.mark.parametrize("sizes", [[1], [1] * 500, [1, 70_000, 1, 1, 3], list(range(1, 400)), [1 << 33, 5, 9]])

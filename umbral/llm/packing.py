@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbral.llm.common import materialise, text_of
-from umbral.llm.tokens import END_ID, FragmentEncoder, crc_of, slices
+from umbral.llm.tokens import END_ID, WordEncoder, crc_of, slices
 
 LENGTH = 2048
 
@@ -51,7 +51,7 @@ def _pieces(path: str, capacity: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part = FragmentEncoder(path), TaskContext.get().partitionId()
+        encoder, part = WordEncoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([END_ID], "<u2").tobytes()
         names = [f.split()[0] for f in PIECE.split(", ")]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from umbral.llm import exact, packing, tokenfile
+from umbral.llm import exact, language, near, packing, pieces, quality, suffixes, tokenfile, topk, toxicity
 from umbral.llm.common import configure, table
 
 QUERIES: dict = {}
@@ -40,11 +41,70 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def held_out(modulus: int, rest: int) -> Column:
+    """The fold of a document: crc32 of its id as text."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == rest
+
+
+@query
+def op2_sentencepiece(spark, folder):
+    """Number and crc32 of every document's ids, and whether they decode to its text."""
+    vocabulary = pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    return pieces.encoded_digest(table(spark, folder, "documents"), vocabulary)
+
+
+@query
+def op3_near_dedup(spark, folder):
+    return near.near_groups(table(spark, folder, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query
+def op4_top_k(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op4_top_k"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@query
+def op5_language(spark, folder):
+    """Language of every page; the text model is counted on all documents."""
+    return language.identify_pages(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+@query
+def op6_suffix_dedup(spark, folder):
+    return suffixes.suffix_digest(table(spark, folder, "documents"))
+
+
+@query
+def op7_quality(spark, folder):
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), held_out(5, 0))
+
+
 @query
 def op8_pack(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op9_toxicity(spark, folder):
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), held_out(3, 1))
+
+
 @query
 def op10_token_file(spark, folder):
     return tokenfile.token_file_digest(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbral.llm.common import part_count, text_of
-from umbral.llm.tokens import END_ID, FragmentEncoder, crc_of, slices
+from umbral.llm.tokens import END_ID, WordEncoder, crc_of, slices
 from umbral.session import stage_root
 
 #: A block is closed at so many documents or ids; a longer document has a block of its own.
@@ -81,7 +81,7 @@ def _encode(path: str):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, shard = FragmentEncoder(path), TaskContext.get().partitionId()
+        encoder, shard = WordEncoder(path), TaskContext.get().partitionId()
         names = [f.split()[0] for f in BLOCK.split(", ")]
         types = {"shard": pa.int32(), "block": pa.int32(), "shard_start": pa.int64(), "n_docs": pa.int32(), "n_ids": pa.int64(), "low_bits": pa.int32()}
         block, start, data, docs, count = 0, 0, [], [], 0

@@ -1,23 +1,39 @@
-"""Token ids of whole texts, by the tokenizers library, with a cache of text fragments.
+"""Token ids of whole texts, by the tokenizers library, each distinct word once.
 
-A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids of the fragments,
-one after the other, are the ids of the text. Each distinct fragment of a task is encoded once.
+A text is cut into the same words as the tokenizer's own pre-tokenizer cuts it, and a word's ids do not
+depend on what stands around it. The library encodes each distinct word once per Python worker; the ids
+of a text are those of its words in order.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
-#: A cut before a single space between two other characters is always a cut between pre-tokens.
-SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
-SPACES = re.compile(r"\s\s")
-#: Fragments kept at most in a task's cache; it is emptied beyond, which changes no result.
-CACHE = 400_000
+# ---- fixed values: the two pre-tokenizers that are read, as published --------------------------------
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# ------------------------------------------------------------------------------------------------------
+#: Words kept at most in a worker's cache; it is emptied beyond, which changes no result.
+CACHE = 800_000
 END_ID = 1
 
 
-class FragmentEncoder:
+def worker_cache(name) -> dict:
+    """A dict that lives as long as the Python worker, so that the worker's next tasks find it."""
+    import sys
+    import types
+
+    module = sys.modules.setdefault("umbral_worker_cache", types.ModuleType("umbral_worker_cache"))
+    return module.__dict__.setdefault(str(name), {})
+
+
+def _letters_first(pattern: str) -> str:
+    """The same cuts, found faster: no other alternative can start where the one for letters does."""
+    parts = pattern.split("|")
+    return "|".join(sorted(parts, key=lambda p: "L}+" not in p or "^" in p))
+
+
+class WordEncoder:
     """ids of texts as little-endian uint16 bytes; the vocabulary must be below 65,536."""
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -29,28 +45,31 @@ class FragmentEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.separator = self.specials[-1]
-        self.separator_id = self.tokenizer.token_to_id(self.separator)
+        held = worker_cache(f"tokenizer {path}")
+        if not held:
+            held["tokenizer"] = Tokenizer.from_file(path)
+        self.tokenizer = held["tokenizer"]
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("vocabulary does not fit 16 bits")
-        config = json.loads(self.tokenizer.to_str())
-        if config.get("post_processor") is not None or not config["pre_tokenizer"]:
-            raise ValueError("only tokenizers that cut at spaces and add nothing are read by fragments")
-        #: The white space is dropped by the pre-tokenizer, or stays before the word.
-        self.drops_space = config["pre_tokenizer"]["type"] == "Sequence"
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        cuts = config["pre_tokenizer"]
+        if config["post_processor"] is None and cuts["type"] == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"]:
+            pattern = BYTE_LEVEL
+        elif config["post_processor"] is None and cuts["type"] == "Sequence" and cuts["pretokenizers"][0]["pattern"] == {"Regex": WORD_LEVEL}:
+            pattern = WORD_LEVEL
+        else:
+            raise ValueError("a pre-tokenizer that is not read")
+        self.find = regex.compile(_letters_first(pattern)).findall
         self.normalizer = self.tokenizer.normalizer
-        if self.drops_space:
-            self.pattern = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        else:  # the published pattern of byte-level pre-tokenizers
-            self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.separator = self.specials[-1]
+        self.separator_id = self.tokenizer.token_to_id(self.separator)
         self.limit = cache
-        self.fragments: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = worker_cache(f"words {path}")
 
-    def _learn_words(self, words: Iterable[str]) -> None:
-        """Encode words in one call: a special token between them keeps them apart."""
+    def _learn(self, words: Iterable[str]) -> None:
+        """Encode words, many in a call: a special token between them keeps them apart."""
         import numpy as np
 
         words = list(words)
@@ -58,58 +77,46 @@ class FragmentEncoder:
             part = words[at : at + 20_000]
             ids = np.array(self.tokenizer.encode(self.separator.join(part), add_special_tokens=False).ids, np.uint16)
             ends = np.append(np.flatnonzero(ids == self.separator_id), len(ids))
-            data, start = ids.astype("<u2").tobytes(), 0
             if len(ends) != len(part):
                 raise ValueError("a word holds the separator")
+            data, start = ids.astype("<u2").tobytes(), 0
             for word, end in zip(part, ends.tolist()):
                 self.words[word] = data[2 * start : 2 * end]
                 start = end + 1
 
-    def _learn(self, fragments: set[str]) -> None:
-        if len(self.words) > self.limit:
-            self.words = {}
-        cut, fresh = {}, set()
-        for fragment in fragments:
-            text = fragment
-            if self.normalizer is not None:
-                text = fragment.lower() if fragment.isascii() else self.normalizer.normalize_str(fragment)
-            cut[fragment] = words = self.pattern.findall(text)
-            fresh.update(words)
-        self._learn_words(w for w in fresh if w not in self.words)
-        for fragment, words in cut.items():
-            self.fragments[fragment] = b"".join([self.words[w] for w in words])
-
-    def _cut(self, text: str) -> list[str]:
-        if SPACES.search(text) is None and "\0" not in text:
-            return text.split(" ") if self.drops_space else text.replace(" ", "\0 ").split("\0")
-        return SINGLE_SPACE.split(text)
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text; null counts as empty."""
-        out: list[bytes] = []
-        pieces: list[list[str] | None] = []
+        cut: list[list[str] | None] = []
         for text in texts:
             text = text or ""
-            whole = any(s in text for s in self.specials)  # special tokens cut a text elsewhere
-            pieces.append(None if whole else self._cut(text))
-        fresh = set()
-        for p in pieces:
-            if p:
-                fresh.update(p)
-        fresh = {f for f in fresh if f not in self.fragments}
-        if len(self.fragments) + len(fresh) > self.limit:  # the cache starts anew with this batch
-            self.fragments = {"": b""}
-            fresh = {f for p in pieces if p for f in p if f}
-        self._learn(fresh)
-        for text, p in zip(texts, pieces):
-            if p is None:
-                import numpy as np
-
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, "<u2").tobytes())
-            else:
-                out.append(b"".join(map(self.fragments.__getitem__, p)))
-        return out
+            if "<|" in text and any(s in text for s in self.specials):
+                cut.append(None)  # special tokens cut a text elsewhere
+                continue
+            cut.append(self.find(text if self.normalizer is None else self._normal(text)))
+        fresh: set[str] = set()
+        for words in cut:
+            if words:
+                fresh.update(words)
+        known = self.words
+        new = fresh - known.keys()
+        if new and len(known) + len(new) > self.limit:  # the cache starts anew with these texts
+            known.clear()
+            new = fresh
+        self._learn(new)
+        return [b"".join(map(known.__getitem__, words)) if words is not None else self._whole(text) for text, words in zip(texts, cut)]
+
+    def _normal(self, text: str) -> str:
+        """Latin-1 text is composed already, and its small letters are the same to any library."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.normalizer.normalize_str(text)
+        return text.lower()
+
+    def _whole(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 def crc_of(ids) -> int:
@@ -119,7 +126,7 @@ def crc_of(ids) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def slices(batch, rows: int = 2_000, size: int = 32 << 20):
+def slices(batch, rows: int = 1_000, size: int = 8 << 20):
     """Parts of an Arrow batch of a bounded number of rows and, a single row aside, of bytes."""
     import numpy as np
     import pyarrow.compute as pc
