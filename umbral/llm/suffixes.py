@@ -30,7 +30,7 @@ STARTS = LENGTH - GRAM + 1
 REACH = STARTS - 1
 WIDTH = REACH + LENGTH
 #: Collections of more distinct segments are compared window by window, without any group.
-COLLECTION = 256
+COLLECTION = 8192
 #: Segments whose columns are built together, at least.
 BATCH = 8192
 #: Bits of the filters that spare rows a shuffle; a false hit costs a row and changes nothing.
@@ -131,6 +131,20 @@ def _scan_prints(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(fingerprints(data, lengths)[2])], names=["print"])
 
 
+def _scan_kinds(shared):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        bits = shared.value
+        for whole in batches:
+            for _, _, data, lengths in _slices(whole):
+                _, _, prints, segment = fingerprints(data, lengths)
+                keep = _passes(bits, prints)
+                yield pa.RecordBatch.from_arrays([pa.array(prints[keep]), pa.array(segment[keep])], names=["print", "segment"])
+
+    return run
+
+
 def _scan_places(shared):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -149,26 +163,33 @@ def _scan_places(shared):
     return run
 
 
-def _scan_segments(shared):
-    """Bytes of the segments whose fingerprint is in a filter, each once per slice of texts."""
+def _scan_segments(shared, others=None):
+    """Bytes of the segments whose fingerprint is in a filter but not in another, each once per task."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        mixed, large = shared.value
+        bits, seen = shared.value, set()
         for whole in batches:
             for _, texts, data, lengths in _slices(whole):
                 text, at, prints, segment = fingerprints(data, lengths)
-                is_large = _passes(large, prints)
-                keep = np.flatnonzero(is_large | _passes(mixed, prints))
-                _, first = np.unique(np.stack([prints[keep], segment[keep]]), axis=1, return_index=True) if len(keep) else (None, keep)
-                keep = keep[first]
+                keep = _passes(bits, prints)
+                if others is not None:
+                    keep &= ~_passes(others.value, prints)
+                keep = np.flatnonzero(keep)
+                pairs = list(zip(prints[keep].tolist(), segment[keep].tolist()))
+                fresh = []
+                for i, pair in enumerate(pairs):
+                    if pair not in seen:
+                        seen.add(pair)
+                        fresh.append(i)
+                keep = keep[fresh]
                 left = np.minimum(at[keep], REACH)
                 parts = [texts[t][a - x : a + LENGTH] for t, a, x in zip(text[keep].tolist(), at[keep].tolist(), left.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(prints[keep]), pa.array(segment[keep]), pa.array(left.astype("i4")), pa.array(parts, pa.binary()), pa.array(is_large[keep])],
-                    names=["print", "segment", "left", "data", "large"],
+                    [pa.array(prints[keep]), pa.array(segment[keep]), pa.array(left.astype("i4")), pa.array(parts, pa.binary())],
+                    names=["print", "segment", "left", "data"],
                 )
 
     return run
@@ -290,32 +311,36 @@ def fixed_filter(prints: DataFrame):
 def covered_segments(texts: DataFrame) -> DataFrame:
     """``key``, ``check``, ``at``, ``first``, ``last``: parts of the segments at each place that are repeated.
 
-    ``texts`` has ``key``, ``check`` and ``text``. Three scans: one counts fingerprints, one takes the
-    places of the repeated ones, one the bytes of segments that are not repeated whole.
+    ``texts`` has ``key``, ``check`` and ``text``. It is scanned for the fingerprints, for the kinds of
+    segments of the repeated ones, for the bytes of segments that are not repeated whole, and for the
+    places: scans cost less than keeping what they find.
     """
     spark = texts.sparkSession
     n = part_count(spark)
     share = spark.sparkContext.broadcast
-    counts = texts.select("text").mapInArrow(_scan_prints, "print long").groupBy("print").agg(F.count(F.lit(1)).alias("n"))
+    only = texts.select("text")
+    counts = only.mapInArrow(_scan_prints, "print long").groupBy("print").agg(F.count(F.lit(1)).alias("n"))
     repeated = share(fixed_filter(counts.where("n > 1")))
-    places = materialise(texts.mapInArrow(_scan_places(repeated), "key long, check int, at int, print long, segment long"))
-    segments = materialise(places.groupBy("print", "segment").agg(F.count(F.lit(1)).alias("n")))
-    prints = segments.groupBy("print").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    prints = materialise(prints)
-    filters = share((fixed_filter(prints.where(F.col("kinds") <= COLLECTION)), fixed_filter(prints.where(F.col("kinds") > COLLECTION))))
-    bytes_ = materialise(texts.select("text").mapInArrow(_scan_segments(filters), "print long, segment long, left int, data binary, large boolean"))
+    kinds = only.mapInArrow(_scan_kinds(repeated), "print long, segment long")
+    segments = materialise(kinds.groupBy("print", "segment").agg(F.count(F.lit(1)).alias("n")))
+    prints = materialise(segments.groupBy("print").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    mixed, large = (fixed_filter(prints.where(c)) for c in (F.col("kinds") <= COLLECTION, F.col("kinds") > COLLECTION))
+    any_large, mixed, large = large.any(), share(mixed), share(large)
 
+    held = "print long, segment long, left int, data binary"
     covered = "print long, segment long, first int, last int"
-    sorted_ = bytes_.where(~F.col("large")).drop("large").repartition(n, "print").sortWithinPartitions("print", "segment")
-    small = sorted_.mapInArrow(_collections, covered)
-    large = bytes_.where("large").dropDuplicates(["print", "segment"]).select("print", "segment", "left", "data")
-    windows = materialise(large.mapInArrow(_windows, "print long, segment long, start int, one long, two long"))
-    shared_windows = windows.groupBy("print", "start", "one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    wide = windows.join(shared_windows, ["print", "start", "one", "two"]).groupBy("print", "segment")
-    wide = wide.agg(F.min("start").alias("first"), (F.max("start") + LENGTH).alias("last"))
+    dealt = only.mapInArrow(_scan_segments(mixed, large), held).repartition(n, "print").sortWithinPartitions("print", "segment")
+    partly = dealt.mapInArrow(_collections, covered)
+    if any_large:
+        once = only.mapInArrow(_scan_segments(large), held).dropDuplicates(["print", "segment"])
+        windows = materialise(once.mapInArrow(_windows, "print long, segment long, start int, one long, two long"))
+        again = windows.groupBy("print", "start", "one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        wide = windows.join(again, ["print", "start", "one", "two"]).groupBy("print", "segment")
+        partly = partly.unionByName(wide.agg(F.min("start").alias("first"), (F.max("start") + LENGTH).alias("last")))
     whole = segments.where("n > 1").select("print", "segment", F.lit(0).alias("first"), F.lit(WIDTH).alias("last"))
     # windows of one segment overlap, so what they cover is one run
-    parts = whole.unionByName(small.unionByName(wide.select("print", "segment", "first", "last")).join(whole, ["print", "segment"], "left_anti"))
+    parts = whole.unionByName(partly.join(whole, ["print", "segment"], "left_anti"))
+    places = texts.mapInArrow(_scan_places(repeated), "key long, check int, at int, print long, segment long")
     return places.join(parts, ["print", "segment"]).select("key", "check", "at", "first", "last")
 
 
