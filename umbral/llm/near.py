@@ -23,8 +23,9 @@ from umbral.llm.tokens import slices
 WORDS, THRESHOLD = 5, 0.8
 #: At 0.8 a pair shares no band of these with probability (1 - 0.8**5)**32 < 4e-6.
 BANDS, ROWS = 32, 5
-#: Documents a bucket compares with all its others in a round: it grows by this factor.
-GROWTH = 4
+#: Texts that are compared all with all in one task: so many, and, a single text aside, so many bytes.
+BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 20
+COLUMNS = 8192
 CACHE = 300_000
 SLICE = 8 << 20
 GOLDEN = 0x9E3779B97F4A7C15
@@ -196,6 +197,83 @@ def _verify(threshold: float, words: int):
     return run
 
 
+def _blocks(batches: Iterator) -> Iterator:
+    """Consecutive rows as blocks of bounded size."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    base, count, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+    def close():
+        columns = [pa.array([base + count], pa.int64())]
+        columns += [pa.array([list(c)], pa.list_(t)) for c, t in zip(zip(*held), (pa.int64(), pa.int64(), pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "nodes", "roots", "texts"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "text"))):
+            if held and (len(held) == BLOCK_ROWS or size + len(row[2]) > BLOCK_BYTES):
+                yield close()
+                count, held, size = count + 1, [], 0
+            held.append(row)
+            size += len(row[2])
+    if held:
+        yield close()
+
+
+def overlaps(one, two):
+    """Sums of the smaller counts for all pairs of two sets of bags, as a matrix."""
+    import numpy as np
+
+    sides = []
+    for doc, shingle, count in (one, two):
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        sides.append((np.repeat(doc, count), mix(np.repeat(shingle, count) + nth.astype(np.uint64) * np.uint64(GOLDEN))))
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    total = np.zeros((int(one[0].max()) + 1, int(two[0].max()) + 1), np.float32)
+    placed = []
+    for doc, shingle in sides:
+        at = np.minimum(np.searchsorted(common, shingle), max(0, len(common) - 1))
+        keep = np.flatnonzero(common[at] == shingle) if len(common) else np.zeros(0, np.int64)
+        order = keep[np.argsort(at[keep], kind="stable")]
+        placed.append((doc[order], at[order]))
+    for low in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - low)
+        matrices = []
+        for (doc, at), n in zip(placed, total.shape):
+            a, b = np.searchsorted(at, [low, low + width])
+            m = np.zeros((n, width), np.float32)
+            m[doc[a:b], at[a:b] - low] = 1
+            matrices.append(m)
+        total += matrices[0] @ matrices[1].T
+    return total
+
+
+def _compare(threshold: float, words: int):
+    """Links between the texts of two blocks that are not linked yet, by their exact overlaps."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        hashes = Hashes()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("nodes", "roots", "texts", "other_nodes", "other_roots", "other_texts")}
+                one = bags(row["texts"], hashes, words)
+                two = one if row["other_texts"] is None else bags(row["other_texts"], hashes, words)
+                both = overlaps(one, two).astype(np.float64)
+                m, n = np.bincount(one[0], one[2]), np.bincount(two[0], two[2])
+                similar = both / (m[:, None] + n[None, :] - both) >= threshold
+                similar &= np.array(row["roots"])[:, None] != np.array(row["other_roots"])[None, :]
+                if two is one:
+                    similar = np.triu(similar, 1)
+                a, b = np.nonzero(similar)
+                columns = [pa.array(np.array(row["nodes"], np.int64)[a]), pa.array(np.array(row["other_nodes"], np.int64)[b])]
+                yield pa.RecordBatch.from_arrays(columns, names=["hub", "node"])
+
+    return run
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Class of each document: documents linked by similar pairs, also through others.
 
@@ -203,9 +281,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is one shingle; texts without words, null ones too, are classes of their own. Similarity is the
     sum of the smaller counts over the sum of the larger ones. The class id is the smallest id in the
     class, and that document is kept (of several rows with that id, one). Equal bags are one node. In each
-    bucket of a band, hubs are compared with all others: first the node in most and largest buckets,
-    then ever more of those that are left, until every pair that shares a bucket is compared or linked
-    already. Returns doc_id, check
+    bucket of a band, its hub, the node in most and largest buckets, is compared with all others. Nodes
+    of buckets that this leaves unlinked are dealt into blocks, and blocks that share such a bucket are
+    compared all with all inside a task, which returns links only; so every pair that shares a bucket
+    is compared or linked already, and no table of pairs is made. Returns doc_id, check
     (xxhash64 of the text), class_id, class_size and kept. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -232,28 +311,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialise(found.select("node", "text"))  # a node may stand here more than once
     found = materialise(found.groupBy("node").agg(F.first("text").alias("text")))
 
-    links = None
-    roots = spark.createDataFrame([], "node long, root long")
-    hubs_per_bucket = 1
-    while True:
-        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = materialise(rooted)
-        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-        rooted = materialise(rooted.join(open_, "bucket"))
-        if rooted.isEmpty():
-            break
-        hubs, rest = _hubs(rooted, hubs_per_bucket)
-        pairs = rooted.select("bucket", "node", "weight", "root").join(
-            hubs.select("bucket", F.col("node").alias("hub"), F.col("weight").alias("hub_weight"), F.col("root").alias("hub_root")), "bucket"
-        )
-        fits = F.least("weight", "hub_weight") >= F.lit(threshold) * F.greatest("weight", "hub_weight")
-        pairs = pairs.where((F.col("root") != F.col("hub_root")) & fits).select("hub", "node").distinct()
-        with_text = pairs.join(found, "node").join(found.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
-        similar = materialise(with_text.mapInArrow(_verify(threshold, words), "hub long, node long"))
-        links = similar if links is None else materialise(links.unionByName(similar))
-        roots = materialise(components(links))
-        members = materialise(rest)
-        hubs_per_bucket *= GROWTH
+    # every node with the hub of each of its buckets
+    hubs = _hubs(members)
+    pairs = members.join(hubs, "bucket").where(F.col("node") != F.col("hub"))
+    fits = F.least("weight", "hub_weight") >= F.lit(threshold) * F.greatest("weight", "hub_weight")
+    fitting = pairs.where(fits).select("hub", "node").distinct()
+    with_text = fitting.join(found, "node").join(found.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    links = materialise(with_text.mapInArrow(_verify(threshold, words), "hub long, node long"))
+    roots = materialise(components(links))
+    # what is left: buckets whose nodes are not linked yet, in blocks of nodes that such buckets connect
+    rooted = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rooted)
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+    rooted = materialise(rooted.join(open_, "bucket"))
+    if not rooted.isEmpty():
+        least = rooted.groupBy("bucket").agg(F.min("node").alias("least"))
+        near_by = materialise(components(rooted.join(least, "bucket").select("node", "least").where("node != least")))
+        asked = rooted.select("node", "root").distinct().join(near_by.withColumnRenamed("root", "place"), "node", "left")
+        asked = asked.withColumn("place", F.coalesce("place", "node")).join(found, "node")
+        dealt = asked.repartitionByRange("place", "node").sortWithinPartitions("place", "node")
+        blocks = materialise(dealt.mapInArrow(_blocks, "block long, nodes array<long>, roots array<long>, texts array<string>"))
+        of_node = blocks.select("block", F.explode("nodes").alias("node"))
+        of_bucket = materialise(rooted.select("bucket", "node").join(of_node, "node").select("bucket", "block").distinct())
+        meeting = of_bucket.join(of_bucket.select("bucket", F.col("block").alias("other")), "bucket").where("block <= other")
+        meeting = meeting.select("block", "other").distinct()
+        other = blocks.select(F.col("block").alias("other"), F.col("nodes").alias("other_nodes"), F.col("roots").alias("other_roots"), F.col("texts").alias("other_texts"))
+        # a block met with itself is not sent twice
+        compared = meeting.join(blocks, "block").join(other, "other").withColumn("other_texts", F.when(F.col("block") != F.col("other"), F.col("other_texts")))
+        more = compared.mapInArrow(_compare(threshold, words), "hub long, node long")
+        roots = materialise(components(links.unionByName(more)))
 
     by_class = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_class = materialise(by_class.select("one", "two", "root", "first_id", "first_tag", "copies"))
@@ -266,19 +352,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return grouped.unionByName(alone)
 
 
-def _hubs(rooted: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
-    """The ``count`` nodes of each bucket with the highest degree, and the rows that are left."""
-    if count == 1:
-        top = rooted.groupBy("bucket").agg(F.max("degree").alias("degree"))
-        top = rooted.join(top, ["bucket", "degree"]).groupBy("bucket").agg(F.min("node").alias("node"))
-        top = materialise(top)
-    else:
-        order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "node")
-        ranked = rooted.withColumn("nth", F.row_number().over(order))
-        top = materialise(ranked.where(F.col("nth") <= count).select("bucket", "node"))
-    hubs = rooted.join(top, ["bucket", "node"])
-    rest = rooted.join(top, ["bucket", "node"], "left_anti").drop("root")
-    return hubs, rest
+def _hubs(members: DataFrame) -> DataFrame:
+    """Of each bucket the node that is in most and largest buckets, of these the first."""
+    top = members.groupBy("bucket").agg(F.max("degree").alias("degree"))
+    first = members.join(top, ["bucket", "degree"]).groupBy("bucket").agg(F.min("node").alias("hub"), F.min_by("weight", "node").alias("hub_weight"))
+    return materialise(first)
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
