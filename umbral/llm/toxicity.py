@@ -1,4 +1,4 @@
-"""Toxicity: non-negative positive-unlabelled learning on hashed words."""
+"""Toxicity: non-negative positive-unlabelled learning on hashed words and their beginnings."""
 
 from __future__ import annotations
 
@@ -12,34 +12,40 @@ from umbral.llm.common import text_of
 from umbral.llm.quality import fit_labels
 from umbral.llm.tokens import slices
 
-#: Cells for words and pairs of neighbouring words.
+#: Cells for words and their beginnings of these lengths.
 CELLS = 1 << 18
+BEGINNINGS = (3, 4, 5, 6, 7)
 #: Labelled documents the classifier is fitted on at most, picked by a hash of their id.
 FIT_ROWS = 20_000
-#: A cell needs so many confirmed toxic documents to get a weight.
-LEAST_POSITIVE = 3
-STEPS, RATE, RIDGE = 400, 0.05, 1e-4
+#: A cell gets a weight if so many confirmed toxic documents hold it, and more of them than by chance by so
+#: many standard deviations.
+LEAST_POSITIVE, LEAST_EXCESS = 3, 3.0
+STEPS, RATE, RIDGE = 300, 0.05, 1e-4
 WORD = re.compile(r"[^\W_]+")
 CACHE = 300_000
 
 
 class Cells(dict):
-    def __missing__(self, word: str) -> int:
+    """Cells of a word and of its beginnings, looked up once for each distinct word."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
         import zlib
 
         if len(self) > CACHE:
             self.clear()
-        self[word] = found = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        parts = [word, *["^" + word[:k] for k in BEGINNINGS if len(word) > k]]
+        self[word] = found = tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % CELLS for p in parts)
         return found
 
 
 def cells_of(text: str, cells: Cells):
-    """Cells of a text's words and word pairs, each once, rising."""
+    """Cells of a text's words and their beginnings, each once, rising."""
     import numpy as np
 
-    words = np.fromiter(map(cells.__getitem__, WORD.findall(text.lower())), np.int64)
-    pairs = words[:-1] * 31 + words[1:] * 1_000_003
-    return np.unique(np.concatenate([words, pairs]) % CELLS)
+    found: set[int] = set()
+    for word in set(WORD.findall(text.lower())):
+        found.update(cells[word])
+    return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
 def _examples(batches: Iterator) -> Iterator:
@@ -68,7 +74,9 @@ def fit_pu(examples: list, positive, prior: float):
         return weights, float(np.log(rate / (1 - rate)))
     lengths = np.array([len(e) for e in examples])
     flat, row = np.concatenate(examples), np.repeat(np.arange(len(examples)), lengths)
-    used = np.flatnonzero(np.bincount(flat[positive[row]], minlength=CELLS) >= LEAST_POSITIVE)
+    held = np.bincount(flat[positive[row]], minlength=CELLS)
+    chance = np.bincount(flat, minlength=CELLS) * positive.mean()
+    used = np.flatnonzero((held >= LEAST_POSITIVE) & (held - chance > LEAST_EXCESS * np.sqrt(chance)))
     index = np.full(CELLS, -1)
     index[used] = np.arange(len(used))
     keep = index[flat] >= 0
