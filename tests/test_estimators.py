@@ -83,7 +83,7 @@ def rd_data(ties, n=600):
 def test_rd_with_covariates_and_ties(spark, take_up):
     x, y, t, z = rd_data(ties=True)
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "t": t, "z1": z[:, 0], "z2": z[:, 1]}))
-    out = R.rd_sharp(df, "y", "x", ["z1", "z2"], take_up, multiples=(1.0, 2.0), block=37, hot_rows=50).toPandas()
+    out = R.rd_sharp(df, "y", "x", ["z1", "z2"], take_up, multiples=(1.0, 2.0), block=37, buckets=7).toPandas()
     d = np.column_stack([y, *([t] if take_up else []), z])
     n_y = 2 if take_up else 1
     h, b = rd_reference.bandwidth(x, d, n_y)
@@ -110,11 +110,66 @@ def test_rd_identities(spark):
     assert np.isclose(base.se["robust"], second.se["conventional"])
 
 
+def test_rd_drops_redundant_covariates(spark):
+    x, y, t, z = rd_data(ties=True)
+    pdf = pd.DataFrame({"x": x, "y": y, "t": t, "z": z[:, 0], "zero": 0.0, "one": 1.0, "twice": 2 * z[:, 0] + 1})
+    pdf["left_only"] = np.where(x < 0, 0.0, pdf.z)  # 0 on the left side: the bandwidth of that side cannot use it
+    df = spark.createDataFrame(pdf)
+    for take_up in (None, "t"):
+        base = R.rd_sharp(df, "y", "x", ["z"], take_up).toPandas()
+        for covs in (["z", "zero"], ["one", "z"], ["z", "twice"], ["zero", "z", "one", "twice"]):
+            out = R.rd_sharp(df, "y", "x", covs, take_up).toPandas()
+            assert np.allclose(out[["estimate", "se", "bandwidth"]].astype(float), base[["estimate", "se", "bandwidth"]].astype(float), rtol=1e-6)
+    side = R.rd_bandwidth(df, "y", "x", ["left_only"]).first()
+    assert side.h > 0 and side.b > 0 and side.reason is None
+
+
+def test_rd_keeps_every_specification(spark):
+    x, y, _, _ = rd_data(ties=False)
+    full = pd.DataFrame({"spec": "full", "x": x, "y": y})
+    right = pd.DataFrame({"spec": "right", "x": np.abs(x) + 0.1, "y": y})
+    few = pd.DataFrame({"spec": "few", "x": [-1.0, -0.5, 0.5, 1.0], "y": [1.0, 2.0, 3.0, 4.0]})
+    df = spark.createDataFrame(pd.concat([full, right, few]))
+    for given in (None, 4.0):
+        out = R.rd_sharp(df, "y", "x", by=["spec"], h=given).toPandas()
+        assert out.groupby("spec").size().to_dict() == {"full": 3, "right": 3, "few": 3}
+        lost = out[out.spec == "right"]
+        assert lost.estimate.isna().all() and (lost.reason == "no rows on both sides of the cutoff").all()
+        assert out[out.spec == "full"].reason.isna().all() and out[out.spec == "full"].estimate.notna().all()
+    width = R.rd_bandwidth(df, "y", "x", by=["spec"]).toPandas().set_index("spec")
+    assert len(width) == 3 and np.isnan(width.h["right"]) and np.isnan(width.h["few"]) and width.reason["few"]
+
+
+def test_smooth_band_is_exact_at_any_size(spark):
+    from umbral.operators import chartdata as C
+
+    rng = np.random.default_rng(8)
+    n = 9000
+    x = np.concatenate([rng.normal(-3, 1, n) ** 3, rng.uniform(0.5, 9, n)])
+    pdf = pd.DataFrame({"x": x, "y": np.sin(x) + rng.normal(size=len(x))})
+    pdf = pdf[(pdf.x <= 0) | (pdf.x > 0.4)]
+    out = {}
+    for cells in (16, 4096):
+        got = C.side_smooth(spark.createDataFrame(pdf), "x", "y", points=9, cells=cells).toPandas()
+        out[cells] = got.sort_values(["side", "xvals"]).reset_index(drop=True)
+    assert np.allclose(out[16].yvals, out[4096].yvals)
+    for side, part in (("left", pdf[pdf.x <= 0]), ("right", pdf[pdf.x > 0])):
+        grid = np.linspace(part.x.min(), part.x.max(), 9)
+        got = out[4096][out[4096].side == side]
+        assert np.allclose(got.xvals, grid)
+        for g, v in zip(grid, got.yvals):
+            d = np.abs(part.x - g)
+            q = np.quantile(d, 0.75)
+            w = np.sqrt(np.clip(1 - (d / q) ** 3, 0, None) ** 3)
+            basis = np.vander((part.x - g) / q, 3, increasing=True)
+            assert np.isclose(v, np.linalg.lstsq(basis * w.to_numpy()[:, None], part.y * w, rcond=None)[0][0], rtol=1e-6)
+
+
 def test_density(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(0.5, 3, 250), 1)
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
-    out = D.density_test(df, "x", 0.0, 3.0, 2.5, hot_rows=20).toPandas().set_index("order")
+    out = D.density_test(df, "x", 0.0, 3.0, 2.5, buckets=7).toPandas().set_index("order")
     for order in (2, 3):
         want = density_reference.density_jump(x, 3.0, 2.5, order)
         assert np.allclose(out.loc[order, ["f_l", "f_r", "se_l", "se_r", "se"]].astype(float), want)

@@ -69,6 +69,7 @@ def test_zonal_keeps_every_zone_and_counts_missing_classes(spark):
     labels = {"a": {"1": "Water"}}
     out = {r.id: r for r in Z.zonal_class_sum(zones, px, "id", labels, {"a": "2000"}, total_of="a").collect()}
     assert (out[0]["Water_2000"], out[0].pixels_count) == (1.0, 3.0)
+    assert (out[0]["9_2000"], out[0]["NA_2000"]) == (1.0, 1.0)
     assert (out[1]["Water_2000"], out[1].pixels_count) == (0.0, 0.0)
     less = Z.zonal_class_sum(zones, px, "id", labels, {}, total_of="a", count_null_class=False).where("id = 0").first()
     assert less.pixels_count == 2.0

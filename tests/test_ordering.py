@@ -18,7 +18,7 @@ def frame(spark, n=2000, seed=3):
 def test_running_sums(spark):
     pdf, df = frame(spark)
     for reverse in (False, True):
-        out = O.running_sums(df, ["k"], ["v", "id"], {"s": F.col("v"), "i": F.lit(1)}, reverse=reverse, hot_rows=20, buckets=16).toPandas()
+        out = O.running_sums(df, ["k"], ["v", "id"], {"s": F.col("v"), "i": F.lit(1)}, reverse=reverse, buckets=16).toPandas()
         want = pdf.sort_values(["v", "id"], ascending=not reverse)
         want["s"], want["i"] = want.groupby("k").v.cumsum(), want.groupby("k").cumcount() + 1
         both = out.merge(want, on="id", suffixes=("", "_w"))
@@ -26,22 +26,29 @@ def test_running_sums(spark):
         assert np.allclose(both.s, both.s_w) and (both.i == both.i_w).all()
 
 
-def test_a_hot_group_is_cut(spark):
-    pdf, df = frame(spark)
-    sizes = O.range_buckets(df, ["k"], ["v", "id"], hot_rows=100, buckets=16).where("k = 0").groupBy("_bucket").count().toPandas()
-    assert len(sizes) > 8 and sizes["count"].max() < (pdf.k == 0).sum() / 4
+def test_large_and_medium_groups_are_cut_alike(spark):
+    pdf, df = frame(spark, 6000)
+    sizes = O.range_buckets(df, ["k"], ["v", "id"], buckets=16).groupBy("_bucket", F.col("_group.k").alias("k")).count().toPandas()
+    assert (sizes[sizes.k == 0]["_bucket"].nunique()) > 4
+    assert sizes.groupby("_bucket")["count"].sum().max() < 2.5 * len(pdf) / 16
+
+
+def test_many_medium_groups_have_bounded_ranges(spark):
+    df = spark.range(40_000).selectExpr("id % 20 as k", "id as v")
+    sizes = O.range_buckets(df, ["k"], ["v"], buckets=100).groupBy("_bucket", "_group").count().toPandas()
+    assert sizes["count"].max() < 1000 and len(sizes) >= 100
 
 
 def test_row_ids(spark):
     pdf, df = frame(spark)
-    out = O.add_row_id(df, "rid", ["v", "id"], hot_rows=10).toPandas().sort_values("rid")
+    out = O.add_row_id(df, "rid", ["v", "id"], buckets=7).toPandas().sort_values("rid")
     assert out.rid.tolist() == list(range(1, len(pdf) + 1))
     assert out.id.tolist() == pdf.sort_values(["v", "id"]).id.tolist()
 
 
 def test_ecdf(spark):
     pdf, df = frame(spark)
-    out = O.ecdf(df, "v", ["k"], hot_rows=20).toPandas()
+    out = O.ecdf(df, "v", ["k"], buckets=7).toPandas()
     for r in out.sample(40, random_state=1).itertuples():
         g = pdf[pdf.k == r.k].v
         assert np.isclose(r.share, (g <= r.v).mean())
@@ -52,7 +59,7 @@ def test_nearest(spark):
     t = pd.DataFrame({"k": np.where(rng.uniform(size=600) < 0.5, 0, rng.integers(1, 9, 600)), "v": rng.integers(0, 5000, 600).astype(float)}).drop_duplicates()
     p = pd.DataFrame({"k": np.where(rng.uniform(size=400) < 0.5, 0, rng.integers(1, 12, 400)), "v": rng.integers(-50, 5050, 400).astype(float)}).drop_duplicates()
     t["name"] = [f"t{i}" for i in range(len(t))]
-    out = O.nearest_by_key(spark.createDataFrame(p), spark.createDataFrame(t), ["k"], "v", ["name"], hot_rows=30, buckets=16).toPandas()
+    out = O.nearest_by_key(spark.createDataFrame(p), spark.createDataFrame(t), ["k"], "v", ["name"], buckets=16).toPandas()
     best = out.assign(d=(out.target_value - out.v).abs()).groupby(["k", "v"]).d.min()
     for r in p.itertuples():
         near = t[t.k == r.k].v
@@ -65,7 +72,7 @@ def test_nearest(spark):
 def test_neighbours_cross_blocks(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"spec": "a", "x": np.round(rng.normal(size=300), 2), "y": rng.normal(size=300)})
-    pts = M.prepare(spark.createDataFrame(pdf), [F.col("y")], block=7, hot_rows=10).toPandas().sort_values("x").reset_index(drop=True)
+    pts = M.prepare(spark.createDataFrame(pdf), [F.col("y")], block=7, buckets=7).toPandas().sort_values("x").reset_index(drop=True)
     assert (pts["rank"] == np.arange(1, len(pts) + 1)).all()
     for j in (1, 2, 3):
         assert np.allclose(pts[f"xl{j}"].values, pts.x.shift(j).values, equal_nan=True)

@@ -12,6 +12,7 @@ from umbral.operators.aggregates import group_share
 from umbral.operators.filters import cross_1row
 from umbral.operators.ranking import order_estimates
 from umbral.operators.regression import outcome_rows
+from umbral.session import materialise
 
 
 def binned_means(df: DataFrame, x: str, ys: Sequence[str], window: float = 6, bins: int | None = None) -> DataFrame:
@@ -185,14 +186,38 @@ def label_rows(labels: Mapping[str, Sequence[str]]) -> list[tuple[str, str, int,
     return out
 
 
+def _order_statistics(mass: DataFrame, wanted: DataFrame, keys: Sequence[str], cells: int) -> DataFrame:
+    """Distance ``_d`` of the ``_rank``-th nearest row from each ``xvals``, for every row of ``wanted``.
+
+    A bracket around the wanted distance is counted in ``cells`` equal cells per pass and narrowed to the
+    distances that occur in the cell with the wanted rank, until only one is left. Memory is bounded by
+    the cells, and every pass divides the bracket by their number, so a handful of passes are exact.
+    """
+    ids = [*keys, "_i", "_rank"]
+    state = wanted.withColumns({"_lo": F.lit(0.0), "_hi": F.lit(float("inf")), "_below": F.lit(0.0)})
+    first = mass.join(state, list(keys)).groupBy(*ids).agg(F.max(F.abs(F.col("_x") - F.col("xvals"))).alias("_hi"))
+    state = materialise(state.drop("_hi").join(first, ids))
+    while not state.where("_lo < _hi").isEmpty():
+        open_ = state.where("_lo < _hi")
+        near = mass.join(open_, list(keys)).withColumn("_d", F.abs(F.col("_x") - F.col("xvals"))).where("_d BETWEEN _lo AND _hi")
+        cell = F.least(F.floor((F.col("_d") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1))
+        counts = near.groupBy(*ids, cell.alias("_cell")).agg(F.sum("_n").alias("_n"), F.min("_d").alias("_least"), F.max("_d").alias("_most"))
+        up_to = Window.partitionBy(*ids).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_cum", F.sum("_n").over(up_to)).join(open_.select(*ids, "xvals", "_below"), ids)
+        found = counts.where((F.col("_below") + F.col("_cum") >= F.col("_rank")) & (F.col("_below") + F.col("_cum") - F.col("_n") < F.col("_rank")))
+        narrowed = found.select(*ids, "xvals", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), (F.col("_below") + F.col("_cum") - F.col("_n")).alias("_below"))
+        state = materialise(state.where("_lo = _hi").unionByName(narrowed))
+    return state.select(*ids, "xvals", F.col("_lo").alias("_d"))
+
+
 def side_smooth(
     df: DataFrame, x: str, y: str, by: Sequence[str] = (), c: float = 0.0, points: int = 80, span: float = 0.75, cells: int = 4096
 ) -> DataFrame:
     """Local quadratic curve per side of the cutoff (and group) on an even grid, tricube weights.
 
     Rows are reduced to distinct ``x`` before they meet the grid. The band at a grid point is the
-    distance that reaches the nearest ``span`` share of the rows: exact up to ``cells`` distinct values
-    per side, beyond that taken from counts in ``cells`` equal cells, so its memory is bounded.
+    distance that reaches the nearest ``span`` share of the rows, interpolated between two ranks; both
+    are exact at any number of distinct values, ``cells`` only sets how fast they are found.
     """
     side = F.when(col(x) <= c, F.lit("left")).otherwise(F.lit("right"))
     rows = df.where(col(x).isNotNull() & col(y).isNotNull())
@@ -200,20 +225,18 @@ def side_smooth(
     mass = rows.groupBy(side.alias("side"), *[col(b).alias(b) for b in by], col(x).cast("double").alias("_x")).agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.sum(col(y).cast("double")).alias("_s")
     )
-    spread = mass.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_distinct"))
+    mass = materialise(mass)
+    spread = mass.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_rows"))
     grid = spread.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     grid = grid.withColumn("xvals", F.col("_lo") + F.col("_i") * (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1)))
-    grid = grid.select(*[col(k) for k in keys], "_i", "xvals")
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(cells))
-    middle = F.col("_lo") + (F.floor(F.try_divide(F.col("_x") - F.col("_lo"), step)) + 0.5) * step
-    coarse = mass.join(F.broadcast(spread), keys).groupBy(
-        *keys, F.when(F.col("_distinct") <= cells, F.col("_x")).otherwise(middle).alias("_x")
-    ).agg(F.sum("_n").alias("_n"))
-    near = coarse.join(F.broadcast(grid), keys).withColumn("_d", F.abs(F.col("_x") - F.col("xvals")))
-    width = near.groupBy(*keys, "_i").agg(
-        F.percentile("_d", F.lit(float(span)), F.col("_n").cast("bigint")).alias("_q"), F.first("xvals").alias("xvals")
-    )
-    w = mass.join(F.broadcast(width), keys).withColumn("_u", (F.col("_x") - F.col("xvals")) / F.col("_q"))
+    grid = grid.withColumn("_at", (F.col("_rows") - 1) * F.lit(float(span)))
+    grid = materialise(grid.select(*keys, "_i", "xvals", "_at"))
+    wanted = grid.select(*keys, "_i", "xvals", F.explode(F.array_distinct(F.array(F.floor("_at") + 1.0, F.ceil("_at") + 1.0))).alias("_rank"))
+    found = _order_statistics(mass, wanted, keys, cells)
+    ends = found.groupBy(*keys, "_i").agg(F.min("_d").alias("_d0"), F.max("_d").alias("_d1"))
+    share = F.col("_at") - F.floor("_at")
+    width = grid.join(ends, [*keys, "_i"]).select(*keys, "_i", "xvals", (F.col("_d0") * (1 - share) + F.col("_d1") * share).alias("_q"))
+    w = mass.join(width, keys).withColumn("_u", (F.col("_x") - F.col("xvals")) / F.col("_q"))
     inside = w.where(F.abs("_u") < 1).withColumn("_k", F.pow(1 - F.pow(F.abs("_u"), F.lit(3.0)), F.lit(3.0)))
     u = F.col("_u")
     powers = [F.lit(1.0), u, u * u, u * u * u, u * u * u * u]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbral.functions.scalars import col
+from umbral.session import materialise
 
 
 def _key(i: int) -> str:
@@ -82,7 +83,12 @@ def join_anti(left, right, on: Sequence[str], na_matches: bool = True) -> DataFr
 
 
 def join_full(left, right, on: Sequence[str], suffixes=("_x", "_y"), na_matches: bool = True) -> DataFrame:
-    """All rows of both frames with one coalesced set of key columns."""
+    """All rows of both frames with one coalesced set of key columns.
+
+    Both frames are written to the shared folder first: the three joins below read them there instead of
+    working them out three times, also where full joins are nested.
+    """
+    left, right = materialise(left), materialise(right)
     matched = join_inner(left, right, on, suffixes, na_matches)
     left_named, right_named = _suffixed(left, right, on, suffixes)
     only_left = join_anti(left_named, right, on, na_matches)

@@ -1,10 +1,10 @@
 """Order-dependent steps without an un-partitioned window.
 
-Rows of a large group are cut into contiguous ranges of the order value. Running sums are taken per
-range and the totals of the earlier ranges are added afterwards, so no task ever sees a whole group.
-The cut points come from values picked by a hash of the value itself: the pick depends on the data
-only, so a re-run task gives the same ranges, and ties always share a range. The results are exact;
-the pick only decides where the cuts lie.
+All rows are dealt into contiguous ranges of (group, order value) of about equal size, so a large group
+is cut into as many ranges as its rows need and small groups share one. Running sums are taken per
+group and range and the totals of the earlier ranges are added afterwards, so no task ever sees a whole
+group. Ties always share a range. The ranges are written once to the shared folder: every later step,
+and a re-run task, sees the same cuts. The results are exact; the cuts only decide where work is done.
 """
 
 from __future__ import annotations
@@ -15,55 +15,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbral.functions.scalars import col
-
-#: Groups smaller than this stay in one range.
-HOT_ROWS = 100_000
-#: At most this many groups are cut: each of them holds at least ``1 / MAX_HOT`` of all rows.
-MAX_HOT = 1000
-OVERSAMPLE = 20
-
+from umbral.session import materialise
 
 def _group(keys: Sequence[str]) -> Column:
     """All keys as one never-NULL struct, so grouping, windows and joins share one partitioning."""
     return F.struct(*[col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
 
 
-def range_buckets(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS, buckets: int | None = None
-) -> DataFrame:
-    """Add ``_group`` (the keys) and ``_bucket`` (range number within the group, from 0)."""
-    if buckets is None:
-        buckets = max(2, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    value = F.struct(*[col(o) for o in order])
+def range_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Add ``_group`` (the keys) and ``_bucket`` (range number, rising within the group).
+
+    Spark's range partitioning samples the rows, cuts at sampled values and finds a row's range by binary
+    search, so the cost per row hardly depends on the number of ranges; without ``buckets`` the session's
+    shuffle partitions apply, fewer for small inputs.
+    """
     rows = df.withColumn("_group", _group(keys))
-    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    hot = (
-        sizes.crossJoin(F.broadcast(total))
-        .where((F.col("_n") > hot_rows) & (F.col("_n") * MAX_HOT >= F.col("_total")))
-        .select("_group", F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(buckets * OVERSAMPLE))).alias("_every"))
-    )
-    picked = (
-        rows.select("_group", value.alias("_value"))
-        .join(F.broadcast(hot), "_group")
-        .where(F.pmod(F.xxhash64("_value"), F.col("_every")) == 0)
-        .groupBy("_group")
-        .agg(F.array_sort(F.collect_set("_value")).alias("_picked"))
-    )
-    step = F.size("_picked") / F.lit(float(buckets))
-    cuts = picked.select(
-        "_group",
-        F.transform(
-            F.sequence(F.lit(1), F.lit(buckets - 1)),
-            lambda i: F.get(F.col("_picked"), F.floor(i * step).cast("int")),
-        ).alias("_cuts"),
-    )
-    below = F.filter(F.col("_cuts"), lambda c: c <= value)
-    return (
-        rows.join(F.broadcast(cuts), "_group", "left")
-        .withColumn("_bucket", F.coalesce(F.size(below), F.lit(0)))
-        .drop("_cuts")
-    )
+    by = [F.col("_group"), *[col(o) for o in order]]
+    dealt = rows.repartitionByRange(buckets, *by) if buckets else rows.repartitionByRange(*by)
+    return materialise(dealt.withColumn("_bucket", F.spark_partition_id()))
 
 
 def running_sums(

@@ -2,10 +2,11 @@
 bias correction and robust errors.
 
 The rows are reduced once to ordered mass points with their neighbours (``masspoints``). Every further
-step is one pass over that table: a broadcast of the state (one small row per specification), sums per
-(specification, side) that combine on the map side, and a small solve on the sums. The new state is
-written to the shared folder, so every pass is a short plan of its own. A whole grid of specifications
-runs in the same passes.
+step is one pass over that table: a join with the state (one small row per specification), sums per
+(specification, side) that combine on the map side, and a small solve on the sums. The state stays on
+the left of every step: a specification that cannot be solved keeps its row, with missing numbers and a
+reason. The new state is written to the shared folder, so every pass is a short plan of its own. A whole
+grid of specifications runs in the same passes.
 
 Powers are taken of ``x / h``, so that the moment matrices stay well conditioned.
 """
@@ -31,6 +32,8 @@ PILOT = {"triangular": 2.576, "epanechnikov": 2.34, "uniform": 1.843}
 MASS_SHARE, MIN_DISTINCT = 0.2, 10
 METHODS = ("conventional", "bias-corrected", "robust")
 MSE_LABEL = "MSE-optimal"
+#: A covariate is redundant if less than this share of its sum of squares is left.
+COLLINEAR = 1e-10
 # -----------------------------------------------------------------------------------------------
 
 
@@ -103,6 +106,31 @@ def _partial_out(u_mat, c_mat, inv_g, n_y: int):
     return net[z, z], net[z, :n_y]
 
 
+def _covariate_weights(zz: np.ndarray, zy: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Least-squares weights of the covariates; redundant ones are dropped and get weight 0.
+
+    Columns are taken in by pivoted elimination as long as something of them is left that the polynomial
+    and the columns before do not explain, relative to ``scale``, their own sums of squares.
+    """
+    gamma = np.zeros_like(zy)
+    if not (np.all(np.isfinite(zz)) and np.all(np.isfinite(zy))):
+        raise np.linalg.LinAlgError("not finite")
+    d = np.sqrt(np.where(scale > 0, scale, 1.0))
+    a = zz / np.outer(d, d)
+    left, taken = a.copy(), []
+    while len(taken) < len(a):
+        rest = [i for i in range(len(a)) if i not in taken]
+        i = max(rest, key=lambda r: left[r, r])
+        if left[i, i] <= COLLINEAR:
+            break
+        left = left - np.outer(left[:, i], left[i]) / left[i, i]
+        taken.append(i)
+    if taken:
+        at = np.ix_(taken, taken)
+        gamma[taken] = np.linalg.solve(a[at], zy[taken] / d[taken, None]) / d[taken, None]
+    return gamma
+
+
 def _combination(gamma: np.ndarray | None, n_y: int, i: int) -> np.ndarray:
     """Weights of ``d`` for outcome ``i`` net of the covariates."""
     unit = np.eye(n_y)[i]
@@ -141,30 +169,42 @@ class _Passes:
               solve: Callable, ddl: str, by: Sequence[str] = ()) -> DataFrame:
         """Broadcast the state, sum per side, and solve per specification."""
         keys = [*self.keys, *by]
-        carried = [c for c in state.columns if c not in keys]
+        if "reason" not in state.columns:
+            state = state.withColumn("reason", F.lit(None).cast("string"))
+        carried = [c for c in state.columns if c not in [*keys, "reason"]]
         packed = state.select(*keys, F.struct(*carried).alias("st"))
-        joined = self.points.join(F.broadcast(packed), self.keys).where(F.expr(f"abs(x) <= {reach}"))
+        joined = self.points.join(packed, self.keys).where(F.expr(f"abs(x) <= {reach}"))
         for columns in stages:
             joined = joined.withColumns(columns)
-        per_side = joined.groupBy(*keys, "right").agg(F.first("st").alias("st"), *sums)
-        fields = [*[state.schema[c] for c in keys], *[state.schema[c] for c in carried], *T.StructType.fromDDL(ddl).fields]
+        per_side = joined.groupBy(*keys, "right").agg(*sums)
+        fields = [*[state.schema[c] for c in [*keys, *carried]], *T.StructType.fromDDL(ddl).fields, T.StructField("reason", T.StringType())]
         schema = T.StructType(fields)
-        n_keys, width = len(keys), len(T.StructType.fromDDL(ddl).fields)
+        width = len(T.StructType.fromDDL(ddl).fields)
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            st = pdf["st"].iloc[0]
-            st = st if isinstance(st, dict) else st.asDict()
-            sides = {bool(r["right"]): r for _, r in pdf.iterrows()}
-            out = [None] * width
-            if len(sides) == 2:
+            first = pdf.iloc[0]
+            st = {c: first[c] for c in carried}
+            st = {c: None if v is None or (np.isscalar(v) and pd.isna(v)) else v for c, v in st.items()}
+            sides = {bool(r["right"]): r for _, r in pdf.iterrows() if not pd.isna(r["right"])}
+            reason, out = first["reason"], [None] * width
+            if isinstance(reason, str):
+                pass
+            elif len(sides) < 2:
+                reason = "no rows on both sides of the cutoff"
+            else:
                 try:
                     out = solve(st, sides[False], sides[True])
-                except (np.linalg.LinAlgError, TypeError, ZeroDivisionError):
-                    out = [None] * width
-            row = [*pdf.iloc[0, :n_keys].tolist(), *[st[c] for c in carried], *out]
-            return pd.DataFrame([row], columns=schema.names)
-
-        return materialise(per_side.groupBy(*keys).applyInPandas(run, schema))
+                    if any(isinstance(v, float) and not np.isfinite(v) for v in out):
+                        reason = "not finite"
+                except np.linalg.LinAlgError:
+                    reason = "too few distinct values in the window"
+                except (TypeError, ZeroDivisionError):
+                    reason = "not finite"
+            row = [*[first[c] for c in keys], *[st[c] for c in carried], *out, reason if isinstance(reason, str) else None]
+            return pd.DataFrame([row], columns=schema.names).astype(object)
+
+        solved = state.join(per_side, keys, "left").groupBy(*keys).applyInPandas(run, schema)
+        return materialise(solved)
 
     def _constant_take_up(self) -> Column:
         """True if take-up does not vary on one side; the bandwidth is then that of the sharp design."""
@@ -192,7 +232,7 @@ class _Passes:
             F.abs(F.max(x)).alias("range_r"),
             self._constant_take_up().alias("sharp_bw"),
         )
-        seen = self.points.join(F.broadcast(t), self.keys)
+        seen = self.points.join(t, self.keys)
         cum, rank = F.col("cum_n"), F.col("rank")
 
         def quartile(share):
@@ -246,7 +286,7 @@ class _Passes:
                     gamma = None
                     if k > n_y:
                         zz, zy = _partial_out(u_mat, c_all, inv_g, n_y)
-                        gamma = np.linalg.solve(zz, zy)
+                        gamma = _covariate_weights(zz, zy, np.diag(c_all)[n_y:])
                     beta = inv_g @ u_mat
                     scale = factorial(nu) / st["c_bw"] ** nu
                     v = _direction(gamma, n_y, fuzzy and not st["sharp_bw"], lambda d: scale * float(beta[nu] @ d))
@@ -319,7 +359,7 @@ class _Passes:
 
         state = refine(state, 1, "d_bw", "b")
         state = refine(state, 2, "b", "h")
-        return state.select(*self.keys, "Obs", "h", "b")
+        return state.select(*self.keys, "Obs", "h", "b", "reason")
 
     # ---- estimates ------------------------------------------------------------------------------
 
@@ -333,18 +373,19 @@ class _Passes:
 
         def solve(st, left, right):
             ratio = (st["h"] / st["b"]) ** (p + 1)
-            zz, zy, sides = 0.0, 0.0, []
+            zz, zy, own, sides = 0.0, 0.0, 0.0, []
             for row in (left, right):
                 inv_p, inv_q = _inv(_hankel(row["hP"], p)), _inv(_hankel(row["bP"], q))
                 u_h = np.asarray(row["hU"], dtype=float).reshape(p + 1, k)
                 u_b = np.asarray(row["bU"], dtype=float).reshape(q + 1, k)
                 lift = float(inv_p[0] @ np.array([row["hP"][i + p + 1] for i in range(p + 1)])) * ratio
                 if k > n_y:
-                    a, b = _partial_out(u_h, _symmetric(row["hC"], k), inv_p, n_y)
-                    zz, zy = zz + a, zy + b
+                    c_all = _symmetric(row["hC"], k)
+                    a, b = _partial_out(u_h, c_all, inv_p, n_y)
+                    zz, zy, own = zz + a, zy + b, own + np.diag(c_all)[n_y:]
                 level = (inv_p @ u_h)[0]
                 sides.append((inv_p[0], lift * inv_q[p + 1], level, level - lift * (inv_q @ u_b)[p + 1]))
-            gamma = np.linalg.solve(zz, zy) if k > n_y else None
+            gamma = _covariate_weights(zz, zy, own) if k > n_y else None
             jump, jump_bc = sides[1][2] - sides[0][2], sides[1][3] - sides[0][3]
             s = _direction(gamma, n_y, fuzzy, lambda d: float(jump @ d))
             if fuzzy:
@@ -379,7 +420,10 @@ class _Passes:
 
 
 def rd_result_rows(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Three rows per fit: conventional, bias-corrected (with the conventional error) and robust."""
+    """Three rows per fit: conventional, bias-corrected (with the conventional error) and robust.
+
+    ``reason`` says why a fit has no estimate.
+    """
     rows = [("tau", "se", "p1"), ("tau_bc", "se", "p2"), ("tau_bc", "se_rb", "p3")]
     three = F.array(
         *[
@@ -391,7 +435,7 @@ def rd_result_rows(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.select(
         *keys, F.col("_r.estimate").alias("estimate"), F.col("_r.se").alias("se"), F.col("_r.pval").alias("pval"),
         F.col("Obs").cast("bigint").alias("Obs"), "eff_obs", F.col("h").alias("bandwidth"), F.col("b").alias("bias_bandwidth"),
-        F.col("_r.method").alias("method"),
+        F.col("_r.method").alias("method"), "reason",
     )
 
 
@@ -414,7 +458,7 @@ def rd_bandwidth(df: DataFrame, y: str, x: str, covs: Sequence[str] = (), take_u
     """MSE-optimal bandwidths ``h`` (estimate) and ``b`` (bias) per specification."""
     points, keys, k, n_y = _points(df, y, x, covs, take_up, by, c, None, block, **bucket_args)
     out = _Passes(points, keys, k, n_y, p, p + 1, kernel).bandwidth(bwcheck)
-    return out.select(*by, F.col("Obs").cast("bigint").alias("Obs"), "h", "b")
+    return out.select(*by, F.col("Obs").cast("bigint").alias("Obs"), "h", "b", "reason")
 
 
 def rd_sharp(df: DataFrame, y: str, x: str, covs: Sequence[str] = (), take_up: str | None = None, by: Sequence[str] = (),
@@ -433,10 +477,10 @@ def rd_sharp(df: DataFrame, y: str, x: str, covs: Sequence[str] = (), take_up: s
         state = passes.bandwidth(bwcheck)
     else:
         state = points.groupBy(*keys).agg(F.sum("n").cast("double").alias("Obs"))
-        state = state.withColumns({"h": F.lit(float(h)), "b": F.lit(float(b if b is not None else h))})
+        state = state.withColumns({"h": F.lit(float(h)), "b": F.lit(float(b if b is not None else h)), "reason": F.lit(None).cast("string")})
     ways = F.array(*[F.lit(float(m)) for m in multiples])
     state = state.withColumn("multiple", F.explode(ways)).select(
-        *keys, "multiple", "Obs",
+        *keys, "multiple", "Obs", "reason",
         (F.col("h") * F.col("multiple")).alias("h"),
         F.when(F.col("multiple") == 1, F.col("b")).otherwise(F.col("h") * F.col("multiple")).alias("b"),
     )

@@ -147,7 +147,31 @@ def side_lines(t):
     return out.select("outcome", "side", "Awarded", "n", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-@query("side_smooth")
+@query(
+    "side_smooth",
+    ad.sql(
+        *CTES,
+        """
+m AS (SELECT CASE WHEN score_centered <= 0 THEN 'left' ELSE 'right' END AS side, CAST(score_centered AS DOUBLE) AS x, CAST("Forest" AS DOUBLE) AS y
+  FROM sample WHERE score_centered IS NOT NULL AND "Forest" IS NOT NULL)""",
+        """
+ends AS (SELECT side, min(x) AS lo, max(x) AS hi FROM m GROUP BY side)""",
+        """
+grid AS (SELECT side, i, lo + i * (hi - lo) / 79.0::DOUBLE AS g FROM ends, range(80) AS t(i))""",
+        """
+band AS (SELECT side, i, g, quantile_cont(abs(x - g), 0.75) AS q FROM grid JOIN m USING (side) GROUP BY side, i, g)""",
+        """
+near AS (SELECT side, i, g, (x - g) / q AS u, y FROM band JOIN m USING (side) WHERE abs((x - g) / q) < 1)""",
+        """
+k AS (SELECT *, pow(1 - pow(abs(u), 3), 3) AS w FROM near)""",
+        """
+p AS (SELECT side, g, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u ** 3) AS s3, sum(w * u ** 4) AS s4,
+    sum(w * y) AS y0, sum(w * y * u) AS y1, sum(w * y * u * u) AS y2 FROM k GROUP BY side, i, g)""",
+        body="""
+SELECT side, round(g, 6) AS xvals, round((y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - s3 * y2) + s2 * (y1 * s3 - s2 * y2))
+  / nullif(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2), 0), 6) AS yvals FROM p""",
+    ),
+)
 def side_smooth(t):
     """Local quadratic curve of one outcome on each side of the cutoff."""
     out = K.side_smooth(score_sample(t), "score_centered", "Forest")
@@ -375,4 +399,4 @@ SELECT l_returnflag, l_extendedprice, n, CAST(cum_n AS BIGINT) AS cum_n, cum_n /
   FROM (SELECT l_returnflag, l_extendedprice, count(*) AS n FROM lineitem GROUP BY ALL))""",
 )
 def ecdf_masspoints(t):
-    return ecdf(t.lineitem, "l_extendedprice", ["l_returnflag"], hot_rows=5000)
+    return ecdf(t.lineitem, "l_extendedprice", ["l_returnflag"])
