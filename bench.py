@@ -34,8 +34,14 @@ HEADLINE = (
     "side_lines",
     "treatment_by_bin",
     "rd_local_linear",
+    "rd_bandwidth",
     "rd_covariates_grid",
+    "rd_balance_grid",
+    "rd_size_grid",
+    "rd_spec_curve",
+    "side_smooth",
     "density_test",
+    "density_curve",
 )
 
 
