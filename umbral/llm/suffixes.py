@@ -29,8 +29,9 @@ LENGTH, GRAM = 200, 64
 STARTS = LENGTH - GRAM + 1
 REACH = STARTS - 1
 WIDTH = REACH + LENGTH
-#: Collections of more distinct segments are compared window by window, without any group.
-COLLECTION = 8192
+#: Distinct segments of a collection that one task builds (some 100 MB); larger ones are compared window by window,
+#: in a grouped count without any group in a task.
+COLLECTION = 65_536
 #: Segments whose columns are built together, at least.
 BATCH = 8192
 #: Bits of the filters that spare rows a shuffle; a false hit costs a row and changes nothing.
