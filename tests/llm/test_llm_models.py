@@ -38,6 +38,29 @@ def test_documents(spark):
     assert left.columns == docs(spark, rows).columns and left.count() == 241
 
 
+def test_rows_are_judged_one_by_one(spark):
+    clean = corpus(60)
+    extra = [(None, prose(random.Random(5), "de"), "de", "s1"), (None, prose(random.Random(6), "en"), None, None), (7, "", "en", "s1")]
+    extra += [(None, "", None, None), (None, "12 !!", "de", "s1"), (None, None, "fr", "s2"), (8, None, None, None)]
+    left = sorted((str(r["doc_id"]), r["text"]) for r in language.drop_undetermined(docs(spark, clean + extra)).collect())
+    assert left == sorted((str(i), t) for i, t, _, _ in clean + extra[:2])
+
+
+def test_texts_stay_without_a_model(spark):
+    rows = [(i, t, None, s) for i, t, _, s in corpus(12)] + [(100, "", None, "s1"), (None, "12 !!", None, None), (None, "x", None, None)]
+    left = language.drop_undetermined(docs(spark, rows)).collect()
+    assert sorted(str(r["doc_id"]) for r in left) == sorted([*map(str, range(12)), "None"])
+
+
+def test_cells_do_not_depend_on_the_slice():
+    texts = ["a", "", "bc", "12", "d e"]
+    cells, at = language._cells(texts)
+    assert at.tolist() == [0, 1, 1, 3, 3, 5]
+    for i, t in enumerate(texts):
+        alone, _ = language._cells([t])
+        assert alone.tolist() == cells[at[i] : at[i + 1]].tolist()
+
+
 def test_no_rows_or_labels(spark):
     assert language.identify_documents(docs(spark, []), docs(spark, [])).collect() == []
     got = language.identify_documents(docs(spark, corpus(3)), docs(spark, [])).collect()

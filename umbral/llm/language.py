@@ -22,21 +22,22 @@ UNDETERMINED = "und"
 
 
 def _cells(texts: Sequence[str]):
-    """Cells of all letter trigrams of some texts, and the number of them before each text."""
+    """Cells of all letter trigrams of some texts, and the number of them before each text.
+
+    Every text has a space on either side, so its cells do not depend on the texts around it.
+    """
     import numpy as np
 
     low = [t.lower() for t in texts]
-    points = np.frombuffer(" ".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t) + 1 for t in low])
+    points = np.frombuffer(f" {' '.join(low)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in low], dtype=np.int64)
     letter = ((points >= 97) & (points <= 122)) | (points >= 170)
     c = np.where(letter, points, 32).astype(np.uint32)
-    if len(c) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     mixed = c[:-2] * np.uint32(2654435761) + c[1:-1] * np.uint32(2246822519) + c[2:] * np.uint32(3266489917)
     mixed ^= mixed >> np.uint32(15)
     keep = letter[1:-1]
     before = np.concatenate([[0], np.cumsum(keep)])
-    at = np.concatenate([[0], np.clip(ends - 1, 0, len(keep))])
+    at = np.concatenate([[0], ends - 1])
     return (mixed[keep] & np.uint32(CELLS - 1)).astype(np.int64), before[at]
 
 
@@ -181,14 +182,17 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     return _identify(pages.select(F.col("page_id").alias("id"), declared.alias("declared"), host.alias("host"), visible_text(html).alias("text")), labelled)
 
 
-def identify_documents(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Language of each document; its ``lang`` is the declared language and its source stands for a host."""
+def identify_documents(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fitted: tuple | None = None) -> DataFrame:
+    """Language of each document; its ``lang`` is the declared language and its source stands for a host.
+
+    ``fitted`` is the ``text_model`` of ``labelled`` where the caller has it already.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.lower(text_of(lang_col)).alias("declared"), F.lower(text_of(source_col)).alias("host"), text_of(text_col).alias("text"))
-    return _identify(rows, labelled)
+    return _identify(rows, labelled, fitted)
 
 
-def _identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    langs, model = text_model(labelled)
+def _identify(rows: DataFrame, labelled: DataFrame, fitted: tuple | None = None) -> DataFrame:
+    langs, model = fitted or text_model(labelled)
     if not langs:
         langs, model = [UNDETERMINED], model if len(model) else [[0.0] * CELLS]
         import numpy as np
@@ -204,10 +208,14 @@ def _identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 def drop_undetermined(docs: DataFrame) -> DataFrame:
     """Documents whose language is known; the text model comes from their own declared languages.
 
-    A document is rejected when it holds no letter or no language reaches ``LEAST``. Rows that share
-    an id stay or go together.
+    A document is rejected when it holds no letter or no language reaches ``LEAST``. Each row is judged
+    by its own text, declared language and source, whatever its id. Where no row with a letter declares
+    a language, there is no model to tell languages by, and only documents without a letter are rejected.
     """
-    found = identify_documents(docs, docs)
-    rejected = found.where(F.col("lang") == UNDETERMINED).select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"))
-    return rows.join(rejected, "id", "left_anti").select("row.*")
+    key = F.to_json(F.array(*[F.col(c).cast("string") for c in ("doc_id", "lang", "source")], F.sha2(text_of("text").cast("binary"), 256)))
+    langs, model = text_model(docs)
+    found = identify_documents(docs.withColumn("doc_id", key), docs, fitted=(langs, model))
+    unknown = F.col("lang") == UNDETERMINED if langs else F.col("n_letters") == 0
+    rejected = found.where(unknown).select(F.col("id").alias("key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    return rows.join(rejected, "key", "left_anti").select("row.*")
