@@ -157,8 +157,8 @@ def _scan_places(shared):
                 keep = _passes(bits, prints)
                 own = pa.array(text[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("key").take(own), rows.column("check").take(own), pa.array(at[keep].astype("i4")), pa.array(prints[keep]), pa.array(segment[keep])],
-                    names=["key", "check", "at", "print", "segment"],
+                    [*[rows.column(c).take(own) for c in ("key", "check", "size")], pa.array(at[keep].astype("i4")), pa.array(prints[keep]), pa.array(segment[keep])],
+                    names=["key", "check", "size", "at", "print", "segment"],
                 )
 
     return run
@@ -310,9 +310,9 @@ def fixed_filter(prints: DataFrame):
 
 
 def covered_segments(texts: DataFrame) -> DataFrame:
-    """``key``, ``check``, ``at``, ``first``, ``last``: parts of the segments at each place that are repeated.
+    """``key``, ``check``, ``size``, ``at``, ``first``, ``last``: parts of the segments at each place that are repeated.
 
-    ``texts`` has ``key``, ``check`` and ``text``. It is scanned for the fingerprints, for the kinds of
+    ``texts`` has ``key``, ``check``, ``size`` and ``text``. It is scanned for the fingerprints, for the kinds of
     segments of the repeated ones, for the bytes of segments that are not repeated whole, and for the
     places: scans cost less than keeping what they find.
     """
@@ -341,8 +341,8 @@ def covered_segments(texts: DataFrame) -> DataFrame:
     whole = segments.where("n > 1").select("print", "segment", F.lit(0).alias("first"), F.lit(WIDTH).alias("last"))
     # windows of one segment overlap, so what they cover is one run
     parts = whole.unionByName(partly.join(whole, ["print", "segment"], "left_anti"))
-    places = texts.mapInArrow(_scan_places(repeated), "key long, check int, at int, print long, segment long")
-    return places.join(parts, ["print", "segment"]).select("key", "check", "at", "first", "last")
+    places = texts.mapInArrow(_scan_places(repeated), "key long, check long, size int, at int, print long, segment long")
+    return places.join(parts, ["print", "segment"]).select("key", "check", "size", "at", "first", "last")
 
 
 def _cut(with_text: bool):
@@ -397,10 +397,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"),
         text_of(text_col).alias("text"),
     )
-    keyed = keyed.select("row", "key", F.hash("text").alias("check"), "text")
-    runs = covered_segments(keyed.select("key", "check", "text")).groupBy("key", "check").agg(F.collect_set(F.struct("at", "first", "last")).alias("runs"))
+    place = ["key", "check", "size"]  # of a document: its id, and two values that tell texts under one id apart
+    keyed = keyed.select("row", "key", F.xxhash64("text").alias("check"), F.octet_length("text").alias("size"), "text")
+    runs = covered_segments(keyed.select(*place, "text")).groupBy(*place).agg(F.collect_set(F.struct("at", "first", "last")).alias("runs"))
     schema = keyed.select("row").schema["row"].dataType.simpleString()
-    joined = keyed.join(runs, ["key", "check"], "left").select("row", "text", "runs")
+    joined = keyed.join(runs, place, "left").select("row", "text", "runs")
     return joined.mapInArrow(_cut(with_text), f"row {schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
