@@ -152,3 +152,38 @@ def test_folder_union_of_different_files(spark, tmp_path):
     df = read_folder_union(spark, [str(tmp_path / "one"), str(tmp_path / "two")], source_col="file")
     assert sorted(values(df, "id", "x", "y")) == [(1, "a", None), (2, None, 3.0)]
     assert df.where("file LIKE '%/one/%'").count() == 1
+
+
+def test_lookups_get_whole_tables(spark, monkeypatch):
+    """Rows that must not match reach the operators with a key that misses."""
+    from umbral.operators import linkage as L
+    from umbral.plans import linkage, relational
+    from umbral.plans.registry import Tables
+
+    t, seen = Tables(spark, "/root/testdata/sf0.001"), []
+
+    def spy(module, name, *at):
+        real = getattr(module, name)
+
+        def run(*args, **named):
+            seen.extend(args[i].count() for i in at)
+            return real(*args, **named)
+
+        monkeypatch.setattr(module, name, run)
+
+    spy(W, "in_column", 2)
+    spy(L, "build_activity_flags", 1, 2)
+    relational.in_column(t)
+    linkage.build_activity_flags(t)
+    assert seen == [t.customer.count(), t.lineitem.count(), t.events.count()]
+    seen.clear()
+    spy(J, "join_inner", 1)
+    spy(J, "join_anti", 1)
+    relational.join_null_safe(t)
+    relational.join_anti_variants(t)
+    assert seen == [t.customer.count()] * 2
+    seen.clear()
+    spy(J, "join_left", 1)
+    relational.activity_flags(t)
+    users = t.events.select(F.when(F.col("value") > 100, F.col("user_id")).otherwise(-1 - F.col("user_id")), "event_type")
+    assert seen == [users.distinct().count()]

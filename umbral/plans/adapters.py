@@ -5,7 +5,7 @@ Missing values, spelling variants, heaps and identifier forms are derived by exp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbral.functions.scalars import col
@@ -34,6 +34,11 @@ ODD_YEAR = 1995
 EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
 
 
+def missing_key(kept: Column, key: Column, base: Column) -> Column:
+    """``key`` where ``kept``; elsewhere a negative key made of ``base``, which no other table has."""
+    return F.when(kept, key).otherwise(F.coalesce(-1 - base, F.lit(-1)))
+
+
 def applications(t) -> DataFrame:
     o = t.orders
     c = t.customer.select("c_custkey", "c_nationkey")

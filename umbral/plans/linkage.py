@@ -232,10 +232,9 @@ GROUP BY ALL""",
 def build_activity_flags(t):
     """Activity types of a project's stands as 0/1 columns."""
     table = L.build_property_table(*admin_tables(t))
-    stands = t.lineitem.where(col("l_linenumber") < 5).select(
-        (col("l_orderkey") * 10 + col("l_linenumber")).alias("rptpre_id"), col("l_partkey").alias("rptro_id")
-    )
-    acts = t.events.where(col("value") > 400).select((col("user_id") * 7).alias("rptro_id"), col("event_type").alias("rptac_tipo"))
+    prop, stand = col("l_orderkey") * 10 + col("l_linenumber"), col("user_id") * 7
+    stands = t.lineitem.select(ad.missing_key(col("l_linenumber") < 5, prop, prop).alias("rptpre_id"), col("l_partkey").alias("rptro_id"))
+    acts = t.events.select(ad.missing_key(col("value") > 400, stand, stand).alias("rptro_id"), col("event_type").alias("rptac_tipo"))
     return L.build_activity_flags(table, stands, acts, ad.EVENT_TYPES)
 
 

@@ -161,8 +161,9 @@ SELECT o_orderkey, k FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.k IS NOT DISTI
 )
 def in_column(t):
     a = t.orders.select("o_orderkey", F.when(col("o_custkey") % 10 != 0, col("o_custkey")).alias("k"))
-    b = t.customer.where((col("c_acctbal") > 0) & (col("c_custkey") % 3 == 0))
-    return W.in_column(a, "k", b.select(F.when(col("c_custkey") % 7 != 0, col("c_custkey")).alias("k")))
+    key = F.when(col("c_custkey") % 7 != 0, col("c_custkey"))
+    b = t.customer.select(ad.missing_key((col("c_acctbal") > 0) & (col("c_custkey") % 3 == 0), key, col("c_custkey")).alias("k"))
+    return W.in_column(a, "k", b)
 
 
 @query(
@@ -202,8 +203,8 @@ def _null_keys(t):
         F.when(col("o_orderkey") % 500 != 1, col("o_custkey")).alias("prop_id"),
         col("o_totalprice").alias("val"),
     )
-    b = t.customer.where(col("c_custkey") % 4 != 2)
-    b = b.select(F.when(col("c_custkey") % 50 != 1, col("c_custkey")).alias("prop_id"), col("c_acctbal").alias("val"))
+    key = F.when(col("c_custkey") % 50 != 1, col("c_custkey"))
+    b = t.customer.select(ad.missing_key(col("c_custkey") % 4 != 2, key, col("c_custkey")).alias("prop_id"), col("c_acctbal").alias("val"))
     return a, b
 
 
@@ -251,7 +252,8 @@ FROM a FULL JOIN b ON a.prop_id IS NOT DISTINCT FROM b.prop_id""",
     ),
 )
 def join_full_coalesce(t):
-    return J.join_full(*_null_keys(t), ["prop_id"])
+    a, b = _null_keys(t)
+    return J.join_full(a, b.where(col("prop_id").isNull() | (col("prop_id") >= 0)), ["prop_id"])
 
 
 @query(
@@ -338,7 +340,7 @@ SELECT o_custkey AS project, CAST(year(o_orderdate) AS INTEGER) AS yr, """
 )
 def activity_flags(t):
     """Activity types as 0/1 columns per project and year."""
-    acts = t.events.where(col("value") > 100).select(col("user_id").alias("project"), "event_type").distinct()
+    acts = t.events.select(ad.missing_key(col("value") > 100, col("user_id"), col("user_id")).alias("project"), "event_type").distinct()
     projects = t.orders.select(col("o_custkey").alias("project"), F.year("o_orderdate").alias("yr")).distinct()
     return A.indicator_any(J.join_left(projects, acts, ["project"]), ["project", "yr"], "event_type", ad.EVENT_TYPES)
 
