@@ -200,3 +200,22 @@ def test_heap_windows(spark):
     x = np.column_stack([np.ones(m.sum()), r[m] == 50, r[m] - 50]).astype(float)
     assert np.isclose(got.coeff, np.linalg.lstsq(x, y[m], rcond=None)[0][1])
     assert df.where(F.col("r").between(40.01, 59.99)).count() == got.n
+
+
+def test_effect_plot_takes_the_selected_bandwidth(spark):
+    """The fit of the bonus sample within its own bandwidth, over the years that occur in it."""
+    from umbral.plans.registry import Tables
+    from umbral.plans.samples import effect_plot, score_sample
+
+    t = Tables(spark, "/root/testdata/sf0.01")
+    zs = ["Trees_2000", "Development_2000", "Grassland_2000", "Plantation_2001", "Water_2000", "Crop_2000"]
+    bonus = score_sample(t).where("received_bonus = 1 or not Awarded").cache()
+    h = R.rd_bandwidth(bonus, "Native", "score_centered", zs).first()["h"]
+    cols = ["Native", "score_centered", "Awarded", "years_since_contest", *zs]
+    near = bonus.where(F.abs("score_centered") <= h).select(*[F.col(c).cast("double") for c in cols]).dropna().toPandas()
+    years = near["years_since_contest"]
+    x = np.column_stack([np.ones(len(near)), near["score_centered"], near["Awarded"], years, near["Awarded"] * years, near[zs]])
+    b = np.linalg.lstsq(x, near["Native"], rcond=None)[0]
+    out = effect_plot(t).toPandas().sort_values("xvals")
+    assert len(out) == 25 and np.allclose(out["xvals"], np.linspace(years.min(), years.max(), 25), atol=1e-6)
+    assert np.allclose(out["yvals"], b[2] + b[4] * out["xvals"], rtol=1e-4, atol=1e-4)

@@ -95,18 +95,21 @@ def jitter_free_points(df: DataFrame, x: str, awarded: str) -> DataFrame:
 
 
 def effect_plot_data(
-    fits: DataFrame, treated: str, moderator: str, terms: Sequence[str], lo: float, hi: float, points: int = 25, z: float = 1.959963984540054
+    fits: DataFrame, treated: str, moderator: str, terms: Sequence[str], lo: float | Column, hi: float | Column, points: int = 25,
+    z: float = 1.959963984540054,
 ) -> DataFrame:
     """Effect of the treatment along the moderator with a 95 % band, from a fit with their product.
 
-    ``fits`` is the output of ``ols``; ``terms`` its term names in order.
+    ``fits`` is the output of ``ols``; ``terms`` its term names in order. ``lo`` and ``hi`` may be columns
+    that are the same in all rows of ``fits``.
     """
     product = f"{treated}:{moderator}"
     at = {t: i for i, t in enumerate(terms)}
     pick = lambda t: F.first(F.when(F.col("term") == t, F.struct("estimate", "vcov")), ignorenulls=True)
-    one = fits.agg(pick(treated).alias("a"), pick(product).alias("b"))
+    ends = [F.max(v if isinstance(v, Column) else F.lit(v)).cast("double").alias(n) for n, v in (("_lo", lo), ("_hi", hi))]
+    one = fits.agg(pick(treated).alias("a"), pick(product).alias("b"), *ends)
     grid = one.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.lit(float(lo)) + F.col("_i") * F.lit((hi - lo) / (points - 1))
+    x = F.col("_lo") + F.col("_i") * ((F.col("_hi") - F.col("_lo")) / (points - 1))
     v11 = F.get("a.vcov", F.lit(at[treated]))
     v33 = F.get("b.vcov", F.lit(at[product]))
     v13 = F.get("a.vcov", F.lit(at[product]))

@@ -8,8 +8,9 @@ from umbral.functions.scalars import center, col, flag_equal, z_value
 from umbral.operators import chartdata as K
 from umbral.operators import regression as E
 from umbral.operators import samples as S
-from umbral.operators.filters import donut
+from umbral.operators.filters import cross_1row, donut
 from umbral.operators.ordering import ecdf
+from umbral.operators.rd import rd_bandwidth
 from umbral.plans import adapters as ad
 from umbral.plans.registry import query
 from umbral.plans.relational import HEAP_VALUES, HEAP_WINDOWS
@@ -381,13 +382,20 @@ def welch_means(t):
 
 @query("effect_plot")
 def effect_plot(t):
-    """Effect of an award along the years since the contest, from a fit with their product."""
-    sample = score_sample(t).where(col("score_centered").between(-6, 6)).withColumn("Award", col("Awarded").cast("int"))
+    """Effect of an award along the years since the contest, from a fit with their product.
+
+    The fit takes the bonus sample within the bandwidth selected on it; the years are those of the fit's rows.
+    """
     controls = ["Trees_2000", "Development_2000", "Grassland_2000", "Plantation_2001", "Water_2000", "Crop_2000"]
+    bonus = score_sample(t).where((col("received_bonus") == 1) | (col("Awarded") == F.lit(False))).withColumn("Award", col("Awarded").cast("int"))
+    width = rd_bandwidth(bonus, "Native", "score_centered", controls).agg(F.max("h").alias("_h"))
     xs = ["score_centered", "Award", "years_since_contest", ("Award", "years_since_contest"), *controls]
-    fits = E.ols(sample, "Native", xs)
+    near = cross_1row(bonus, width).where(F.abs(col("score_centered")) <= F.col("_h"))
+    near = near.dropna(subset=["Native", "score_centered", "Award", "years_since_contest", *controls])
+    years = near.agg(F.min("years_since_contest").alias("_from"), F.max("years_since_contest").alias("_to"))
+    fits = cross_1row(E.ols(near, "Native", xs), years)
     terms = ["(Intercept)", *[E.term_name(x) for x in xs]]
-    out = K.effect_plot_data(fits, "Award", "years_since_contest", terms, 20, 26)
+    out = K.effect_plot_data(fits, "Award", "years_since_contest", terms, F.col("_from"), F.col("_to"))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
