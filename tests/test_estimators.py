@@ -219,3 +219,11 @@ def test_effect_plot_takes_the_selected_bandwidth(spark):
     out = effect_plot(t).toPandas().sort_values("xvals")
     assert len(out) == 25 and np.allclose(out["xvals"], np.linspace(years.min(), years.max(), 25), atol=1e-6)
     assert np.allclose(out["yvals"], b[2] + b[4] * out["xvals"], rtol=1e-4, atol=1e-4)
+
+
+def test_all_outcomes_have_a_bandwidth_and_a_curve(spark):
+    from umbral.plans.catalogue import QUERIES
+
+    folder, five = "/root/testdata/sf0.001", {"Native", "Eucalyptus", "Pine", "Plantation", "Forest"}
+    assert {r["outcome"] for r in QUERIES["rd_bandwidth"](spark, folder).collect()} == five
+    assert {r["outcome"] for r in QUERIES["rd_spec_curve"](spark, folder).collect()} == five

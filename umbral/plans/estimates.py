@@ -70,8 +70,8 @@ def rd_fuzzy_ratio(t):
 @query("rd_bandwidth")
 def rd_bandwidth(t):
     """Data-driven bandwidths per outcome, with covariates."""
-    long = G._long(score_sample(t), ("Native", "Forest"), "score_centered", G.BALANCE_COVARIATES, [])
-    zs = [f"_z{i}" for i in range(len(G.BALANCE_COVARIATES))]
+    long = G._long(score_sample(t), G.MAIN_OUTCOMES, "score_centered", G.MAIN_COVARIATES, [])
+    zs = [f"_z{i}" for i in range(len(G.MAIN_COVARIATES))]
     return _rounded(R.rd_bandwidth(long, "y", "_x", zs, by=["outcome"]), h=6, b=6)
 
 
@@ -212,6 +212,10 @@ def welch_table(t):
     return _rounded(out.drop("p_value"), heaper_mean=6, other_mean=6)
 
 
+#: All outcomes, in the order of the reference's chart, which leaves out the last one.
+_CURVE_OUTCOMES = ("Native", "Plantation", "Eucalyptus", "Pine", "Forest")
+
+
 @query("rd_spec_curve")
 def rd_spec_curve(t):
     """Specification curve of one sample's estimates: outcomes, bandwidths and methods in order."""
@@ -220,8 +224,8 @@ def rd_spec_curve(t):
 
     sample = score_sample(t)
     one = {"Received bonus": (col("received_bonus") == 1) | (col("Awarded") == F.lit(False))}
-    results = G.rd_grid(sample, ("Native", "Plantation"), G.BALANCE_COVARIATES, groups=one, take_up=None)
-    specs = G.spec_sequence(results, ("Native", "Plantation")).select("spec_seq", "outcome", "estimate", "se", "method", "bandwidth_method")
+    results = G.rd_grid(sample, _CURVE_OUTCOMES, groups=one, take_up=None)
+    specs = G.spec_sequence(results, _CURVE_OUTCOMES).select("spec_seq", "outcome", "estimate", "se", "method", "bandwidth_method")
     preferred = (col("bandwidth_method") == G.BANDWIDTH_ORDER[0]) & (col("method") == "bias-corrected")
     specs = specs.withColumn("preferred", preferred)
     specs = pivot_flags(pivot_flags(specs, "method", G.METHOD_ORDER), "bandwidth_method", G.BANDWIDTH_ORDER)
