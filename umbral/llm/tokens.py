@@ -1,20 +1,18 @@
 """Token ids of whole texts, by the tokenizers library, each distinct word once.
 
 A text is cut into the same words as the tokenizer's own pre-tokenizer cuts it, and a word's ids do not
-depend on what stands around it. The library encodes each distinct word once per Python worker; the ids
-of a text are those of its words in order.
+depend on what stands around it. The library's model encodes each distinct word once per Python worker; the
+ids of a text are those of its words in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 # ---- fixed values: the two pre-tokenizers that are read, as published --------------------------------
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # ------------------------------------------------------------------------------------------------------
-#: Words kept at most in a worker's cache; it is emptied beyond, which changes no result.
-CACHE = 800_000
+#: Words, and chunks between spaces, kept at most by a worker; more of them change no result.
+CACHE = 400_000
 END_ID = 1
 
 
@@ -33,8 +31,32 @@ def _letters_first(pattern: str) -> str:
     return "|".join(sorted(parts, key=lambda p: "L}+" not in p or "^" in p))
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: visible Latin-1 letters stand for
+    themselves, the other bytes for the letters from 256 on, in their order."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class _Known(dict):
+    """What ``make`` gives for a key, kept for the first ``limit`` keys."""
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) < self.limit:
+            self[key] = value
+        return value
+
+
 class WordEncoder:
-    """ids of texts as little-endian uint16 bytes; the vocabulary must be below 65,536."""
+    """ids of texts as little-endian uint16 bytes; the vocabulary must be below 65,536.
+
+    A text is first cut at its spaces, which the pre-tokenizers never cut less finely: a word ends before a
+    space that no other white space follows. Only the distinct ones of these chunks are cut into words, and
+    only the distinct words go to the library's model. A worker keeps the first ``cache`` chunks and words;
+    what comes beyond is worked out each time. Texts with white space in a row are cut whole.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
         import os
@@ -48,65 +70,62 @@ class WordEncoder:
         held = worker_cache(f"tokenizer {path}")
         if not held:
             held["tokenizer"] = Tokenizer.from_file(path)
+            held["model"] = held["tokenizer"].model
         self.tokenizer = held["tokenizer"]
+        self.pieces_of = held["model"].tokenize
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("vocabulary does not fit 16 bits")
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         cuts = config["pre_tokenizer"]
+        steps = cuts.get("pretokenizers", [{}])
         if config["post_processor"] is None and cuts["type"] == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"]:
-            pattern = BYTE_LEVEL
-        elif config["post_processor"] is None and cuts["type"] == "Sequence" and cuts["pretokenizers"][0]["pattern"] == {"Regex": WORD_LEVEL}:
-            pattern = WORD_LEVEL
+            pattern, self.space = BYTE_LEVEL, " "
+        elif (
+            config["post_processor"] is None and cuts["type"] == "Sequence" and steps[0]["pattern"] == {"Regex": WORD_LEVEL}
+            and [s["type"] for s in steps[1:]] == ["ByteLevel"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
+        ):
+            pattern, self.space = WORD_LEVEL, ""
         else:
             raise ValueError("a pre-tokenizer that is not read")
         self.find = regex.compile(_letters_first(pattern)).findall
+        self.blank_after_space = regex.compile(r" \s").search
         self.normalizer = self.tokenizer.normalizer
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.separator = self.specials[-1]
-        self.separator_id = self.tokenizer.token_to_id(self.separator)
-        self.limit = cache
-        self.words: dict[str, bytes] = worker_cache(f"words {path}")
+        self.letters = _byte_letters()
+        self.words, self.chunks = (held.setdefault(name, _Known()) for name in ("words", "chunks"))
+        for known, make in ((self.words, self._encode_word), (self.chunks, lambda chunk: self._ids_of_words(self.space + chunk))):
+            if len(known) >= cache:  # a new task may read other texts
+                known.clear()
+            known.make, known.limit = make, cache
 
-    def _learn(self, words: Iterable[str]) -> None:
-        """Encode words, many in a call: a special token between them keeps them apart."""
-        import numpy as np
+    def _encode_word(self, word: str) -> bytes:
+        spelled = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([piece.id.to_bytes(2, "little") for piece in self.pieces_of(spelled)])
 
-        words = list(words)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(self.separator.join(part), add_special_tokens=False).ids, np.uint16)
-            ends = np.append(np.flatnonzero(ids == self.separator_id), len(ids))
-            if len(ends) != len(part):
-                raise ValueError("a word holds the separator")
-            data, start = ids.astype("<u2").tobytes(), 0
-            for word, end in zip(part, ends.tolist()):
-                self.words[word] = data[2 * start : 2 * end]
-                start = end + 1
+    def _ids_of_words(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.find(self._normal(text))))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text; null counts as empty."""
-        cut: list[list[str] | None] = []
+        out, chunk_ids = [], self.chunks.__getitem__
         for text in texts:
             text = text or ""
             if "<|" in text and any(s in text for s in self.specials):
-                cut.append(None)  # special tokens cut a text elsewhere
-                continue
-            cut.append(self.find(text if self.normalizer is None else self._normal(text)))
-        fresh: set[str] = set()
-        for words in cut:
-            if words:
-                fresh.update(words)
-        known = self.words
-        new = fresh - known.keys()
-        if new and len(known) + len(new) > self.limit:  # the cache starts anew with these texts
-            known.clear()
-            new = fresh
-        self._learn(new)
-        return [b"".join(map(known.__getitem__, words)) if words is not None else self._whole(text) for text, words in zip(texts, cut)]
+                out.append(self._whole(text))  # special tokens cut a text elsewhere
+            elif "  " in text or self.blank_after_space(text):
+                out.append(self._ids_of_words(text))
+            else:
+                head, *chunks = text.split(" ")
+                out.append(self._ids_of_words(head) + b"".join(map(chunk_ids, chunks)))
+        return out
 
     def _normal(self, text: str) -> str:
         """Latin-1 text is composed already, and its small letters are the same to any library."""
+        if self.normalizer is None:
+            return text
+        if text.isascii():
+            return text.lower()
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
