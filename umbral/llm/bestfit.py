@@ -82,72 +82,57 @@ class SumIndex:
         return None
 
 
-def exact_complements(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
-    """Patterns that fill a sequence to the last token, with their counts, and how many of each length are left.
-
-    Lengths go longest first. Copies of one length leave a gap, which one, two or three shorter lengths
-    close; that pattern is used as often as all its lengths are at hand. Each such step uses a length up
-    or leaves too few copies of it for this pattern, so there are a few for each length.
+def patterns_of(histogram: dict[int, int], capacity: int, exact: bool = True) -> list[tuple[int, tuple[int, ...]]]:
+    """Packing patterns with their counts, for so many pieces of each length.
+
+    Lengths go longest first, each into the fullest open sequence with room, or else a new one. If some
+    copies of it leave a gap there that one, two or three shorter lengths close exactly, these are used up
+    with it, as often as all are at hand; the sequence is then full. The residue goes by best fit alone:
+    as many copies as fit, and the sequence stays open. A step uses up a length, a group of equal open
+    sequences, or the copies a pattern needs, so there are a few patterns for each length.
     """
     import numpy as np
 
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    index = SumIndex(np.flatnonzero(left).tolist(), capacity)
-    patterns: list[tuple[int, tuple[int, ...]]] = []
+    index = SumIndex(np.flatnonzero(left).tolist(), capacity) if exact else None
+    open_: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(capacity + 1)]
     for length in range(capacity, 0, -1):
         if not left[length]:
             continue
-        index.remove(length)  # what fills its gaps is shorter
+        if exact:
+            index.remove(length)  # what closes its gaps is shorter
+        space = length
         while left[length]:
-            most = min(capacity // length, int(left[length]))
+            while space < capacity and not open_[space]:
+                space += 1
+            n = int(left[length])
+            count, pattern = open_[space].pop() if open_[space] else (n, ())
+            most = min(space // length, n)
+            filled = None
             for copies in range(most, max(most - 1 - FEWER, 0), -1):
-                gap = capacity - copies * length
-                filled = index.fill(gap, left) if gap else ()
+                gap = space - copies * length
+                filled = () if gap == 0 else index.fill(gap, left) if exact else None
                 if filled is not None:
                     break
+            if filled is not None:
+                need = Counter(filled)
+                used = min([count, n // copies, *(int(left[x]) // k for x, k in need.items())])
+                gap = 0
+                for x, k in need.items():
+                    left[x] -= used * k
+                    if not left[x]:
+                        index.remove(x)
             else:
-                break
-            need = Counter(filled)
-            used = min([int(left[length]) // copies, *(int(left[x]) // k for x, k in need.items())])
-            patterns.append((used, (length,) * copies + filled))
+                filled, copies = (), min(space // length, -(-n // count)) if pattern else most
+                used, gap = min(count, n // copies), space - copies * length
+            if used < count and pattern:
+                open_[space].append((count - used, pattern))
+            open_[gap].append((used, (*pattern, *(length,) * copies, *filled)))
             left[length] -= used * copies
-            for x, k in need.items():
-                left[x] -= used * k
-                if not left[x]:
-                    index.remove(x)
-    return patterns, {x: int(left[x]) for x in np.flatnonzero(left).tolist()}
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Lengths longest first, each into the fullest sequence with room; all copies of a length in a few steps."""
-    free: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(capacity + 1)]
-    for length in sorted(histogram, reverse=True):
-        n, space = histogram[length], length
-        while n:
-            while space <= capacity and not free[space]:
-                space += 1
-            if space > capacity:
-                copies = capacity // length
-                for count, k in ((n // copies, copies), (1, n % copies)):
-                    if count and k:
-                        free[capacity - k * length].append((count, (length,) * k))
-                break
-            count, pattern = free[space].pop()
-            copies = min(space // length, -(-n // count))  # that sequence stays the fullest with room
-            used = min(count, n // copies)
-            if used < count:
-                free[space].append((count - used, pattern))
-            free[space - copies * length].append((used, (*pattern, *(length,) * copies)))
-            n -= used * copies
             space = length
-    return [p for packs in free for p in packs]
-
-
-def patterns_of(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    exact, left = exact_complements(histogram, capacity)
-    return exact + best_fit(left, capacity)
+    return [p for packs in open_ for p in packs]
 
 
 def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
