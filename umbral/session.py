@@ -54,4 +54,14 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._umbral_stage = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that :func:`materialise` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_umbral_stage", None)
+    if path is not None:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
