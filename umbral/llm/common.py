@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbral.session import configure, materialise
+from umbral.session import configure, materialise, release
 
-__all__ = ["configure", "materialise", "table", "part_count", "text_of", "mix", "columns_like"]
+__all__ = ["configure", "materialise", "release", "table", "part_count", "text_of", "mix", "columns_like"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbral.llm import bestfit, exact, language, near, packing, pieces, quality, suffixes, tokenfile, topk, toxicity
+from umbral.llm import bestfit, codes, exact, language, near, packing, pieces, quality, suffixes, tokenfile, topk, toxicity
 from umbral.llm.common import configure, table
 
 QUERIES: dict = {}
@@ -113,3 +113,49 @@ def op10_token_file(spark, folder):
 @query
 def op12_best_fit_pack(spark, folder):
     return bestfit.best_fit_pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op13_vector_codes(spark, folder):
+    return codes.code_digest(table(spark, folder, "embeddings"))
+
+
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """All distances of all rounds; for vectors of one length, which four divides."""
+    books = """
+b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS entry, x AS e FROM parts
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 256
+)"""
+    for t in range(rounds + 1):
+        books += f""", a{t} AS MATERIALIZED (
+  SELECT vec_id, label, parts.p, x,
+    min(CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, e)]) AS HUGEINT) * 256 + entry) AS m
+  FROM parts JOIN b{t} USING (p) GROUP BY vec_id, label, parts.p, x
+)"""
+        if t < rounds:
+            books += f""", m{t} AS (
+  SELECT p, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS e
+  FROM (
+    SELECT p, CAST(m % 256 AS BIGINT) AS entry, i, CAST(sum(x[i]) AS DOUBLE) AS total, count(*) AS n
+    FROM a{t}, generate_series(1, len(x)) g(i) GROUP BY ALL
+  ) GROUP BY p, entry
+), b{t + 1} AS MATERIALIZED (SELECT p, entry, coalesce(m{t}.e, b{t}.e) AS e FROM b{t} LEFT JOIN m{t} USING (p, entry))"""
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, generate_series(0, 3) g(p)
+), {books}, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', CAST(m % 256 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(e[i], ',' ORDER BY p, entry, i)) FROM b{rounds}, generate_series(1, len(e)) g(i)) AS codebooks_sha256
+FROM coded
+"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
