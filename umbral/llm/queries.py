@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbral.llm import bestfit, codes, exact, language, near, packing, pieces, quality, suffixes, tokenfile, topk, toxicity
+from umbral.llm import bestfit, codes, exact, language, near, packing, pieces, quality, spelling, suffixes, tokenfile, topk, toxicity
 from umbral.llm.common import configure, table
 
 QUERIES: dict = {}
@@ -110,6 +110,11 @@ def op10_token_file(spark, folder):
     return tokenfile.token_file_digest(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query
+def op11_spelling_forms(spark, folder):
+    return spelling.spelling_forms(table(spark, folder, "documents"))
+
+
 @query
 def op12_best_fit_pack(spark, folder):
     return bestfit.best_fit_pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
