@@ -181,6 +181,43 @@ def test_density(spark):
         assert np.isclose(r.density_bc, f) and np.isclose(r.se, np.sqrt(((psi - psi.mean()) ** 2).sum()))
 
 
+@pytest.mark.parametrize(("digits", "shape", "p"), [(1, "normal", 2), (3, "skewed", 2), (2, "uniform", 1), (2, "normal", 3)])
+def test_density_bandwidth(spark, digits, shape, p):
+    """All four selectors against all pairs of rows, ties included; the test and the curve use the middle ones."""
+    rng = np.random.default_rng(11)
+    draw = {"normal": rng.normal(0.6, 3, 420), "skewed": rng.gamma(2.0, 2.0, 420) - 3, "uniform": rng.uniform(-4, 6, 420)}[shape]
+    x = np.round(draw, digits)
+    df = spark.createDataFrame(pd.DataFrame({"x": x + 10}))
+    x = (x + 10) - 10
+    got = D.density_bandwidth(df, "x", 10.0, p).toPandas().set_index("selector")
+    left, right, diff, total = density_reference.bandwidths(x, p)
+    assert np.allclose([got.loc["left"].hl, got.loc["right"].hr, got.loc["diff"].hl, got.loc["sum"].hr], [left, right, diff, total], rtol=1e-6)
+    hl, hr = np.median([left, diff, total]), np.median([right, diff, total])
+    assert np.allclose(got.loc["comb"].astype(float), [hl, hr], rtol=1e-6)
+    if p == 2:
+        out = D.density_test(df, "x", 10.0).toPandas().set_index("order")
+        assert np.allclose(out.loc[3, ["f_l", "f_r", "se_l", "se_r", "se"]].astype(float), density_reference.density_jump(x, hl, hr, 3), rtol=1e-5)
+        curve = D.density_curve(df, "x", 10.0)
+        assert np.isclose(curve.where("not right").agg(F.min("x")).first()[0], max(x.min(), -3 * hl), rtol=1e-6)
+
+
+def test_density_pilot_constants():
+    """The constants of the pilot bandwidths for orders one to three, as published."""
+    assert np.allclose([D._uniform_constant(p, 1) for p in (1, 2, 3)], [4.8, 548.571428571, 100800.0])
+    for p in (1, 2):
+        bias, variance = density_reference.boundary_constants(p + 2, p + 1, np.ones_like)
+        assert np.isclose(D._uniform_constant(p + 2, p + 1), variance * float(np.prod(np.arange(1, p + 4))) ** 2 / bias**2)
+
+
+def test_density_of_few_rows(spark):
+    """One side without rows, one value, and no rows: missing numbers, no curve."""
+    for values in ([1.0, 2.0, 3.0], [-1.0, 1.0], [2.0] * 5, []):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        out = D.density_test(df, "x").collect()
+        assert [r["order"] for r in out] == [2, 3] and all(r["p_value"] is None for r in out)
+        assert D.density_curve(df, "x").collect() == []
+
+
 def test_density_power(spark):
     rng = np.random.default_rng(9)
     x = rng.uniform(-1, 1, 4000)

@@ -8,6 +8,8 @@ jackknife of the U-statistic: each row's own term and its effect on all rows abo
 
 from __future__ import annotations
 
+from math import factorial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -47,115 +49,244 @@ def _local_fit(p, r, order: int):
     return inv @ np.asarray(r[: order + 1], dtype=float), inv[1]
 
 
+class _Window:
+    """The rows within reach of the cutoff, and per side the sums that all local fits there need.
+
+    Both sides of the window together are one stretch of the running variable, so the filter reaches the
+    scan. The driver holds two rows of sums.
+    """
+
+    def __init__(self, points: DataFrame, hl: float, hr: float, top: int, kernel: str):
+        near = points.where((F.col("x") > F.lit(-hl)) & (F.col("x") < F.lit(hr))).withColumn("right", F.col("x") >= 0)
+        near = near.withColumn("h", F.when(F.col("right"), F.lit(hr)).otherwise(F.lit(hl))).withColumn("u", F.expr("x / h"))
+        self.rows = near.withColumn("k", kernel_weight(F.col("u"), kernel) / F.col("h"))
+        self.h = {False: hl, True: hr}
+        sums = self.rows.groupBy("right").agg(
+            F.first("total").alias("total"), F.sum("n").alias("n_h"), F.min(F.expr("cum_n - n")).alias("below"),
+            F.max("cum_n").alias("upto"), *_moment_array(top),
+        )
+        self.sides = {r["right"]: r for r in sums.collect()}
+
+    @property
+    def whole(self) -> bool:
+        return len(self.sides) == 2
+
+    def fit(self, order: int) -> dict[bool, tuple] | None:
+        """Per side the coefficients in powers of ``x / h``, and the row of the inverse for the slope."""
+        try:
+            return {s: _local_fit(r["P"], r["R"], order) for s, r in self.sides.items()} if self.whole else None
+        except np.linalg.LinAlgError:
+            return None
+
+    def density(self, fits: dict[bool, tuple]) -> dict[bool, float]:
+        return {s: fits[s][0][1] / self.h[s] for s in fits}
+
+    def variances(self, fits: dict[int, dict[bool, tuple]], **bucket_args) -> dict[int, tuple[float, float, float]]:
+        """Jackknife variances left and right, and the covariance, of the densities of each order.
+
+        A density is a sum over pairs of rows; its variance is the spread of the rows' shares in it. Rows
+        outside the window have no weight: those below count in every indicator of the window, those above
+        in none, so that their share is the same for all of them.
+        """
+        columns, all_g = {}, {}
+        for order, sides in fits.items():
+            for side, name in ((False, "l"), (True, "r")):
+                coef, slope = sides[side]
+                h, own = self.h[side], F.col("right") == F.lit(side)
+                g = F.col("k") / F.lit(h) * _polynomial(slope)
+                columns[f"g{order}{name}"] = F.when(own, g).otherwise(F.lit(0.0))
+                columns[f"e{order}{name}"] = F.when(own, F.col("cdf") - _polynomial(coef)).otherwise(F.lit(0.0))
+                all_g[order, name] = sum(s * m for s, m in zip(slope, self.sides[side]["P"])) / h
+        rows = self.rows.withColumns(columns)
+        keys = [f"{order}{name}" for order in fits for name in "lr"]
+        above = running_sums(rows, [], ["x"], {f"a{k}": F.expr(f"n * g{k}") for k in keys}, reverse=True, **bucket_args)
+        total = self.sides[False]["total"]
+        shares, sums = {}, {}
+        for order, sides in fits.items():
+            density = self.density(sides)
+            for side, name in ((False, "l"), (True, "r")):
+                k = f"{order}{name}"
+                # other rows: g_j * (1{x_i <= x_j} - fit_j), where sum g_j fit_j is the density; own row: g_i * (F(x_i) - fit_i)
+                others = F.col(f"a{k}") - F.col(f"g{k}") - F.lit(density[side]) + F.col(f"g{k}") * (F.col("cdf") - F.col(f"e{k}"))
+                shares[f"s{k}"] = others / F.lit(float(total - 1)) + F.col(f"g{k}") * F.col(f"e{k}")
+            for x, y in (("l", "l"), ("r", "r"), ("l", "r")):
+                sums[f"{order}{x}{y}"] = F.sum(F.expr(f"n * s{order}{x} * s{order}{y}"))
+            for x in "lr":
+                sums[f"{order}{x}"] = F.sum(F.expr(f"n * s{order}{x}"))
+        found = above.withColumns(shares).agg(*[c.alias(f"v{k}") for k, c in sums.items()]).first()
+        below, beyond = self.sides[False]["below"], total - self.sides[True]["upto"]
+        out = {}
+        for order, sides in fits.items():
+            density = dict(zip("lr", (self.density(sides)[s] for s in (False, True))))
+            low = {x: (all_g[order, x] - density[x]) / (total - 1) for x in "lr"}
+            high = {x: -density[x] / (total - 1) for x in "lr"}
+            mean = {x: found[f"v{order}{x}"] + below * low[x] + beyond * high[x] for x in "lr"}
+            out[order] = tuple(
+                found[f"v{order}{x}{y}"] + below * low[x] * low[y] + beyond * high[x] * high[y] - mean[x] * mean[y] / total
+                for x, y in (("l", "l"), ("r", "r"), ("l", "r"))
+            )
+        return out
+
+
+def _polynomial(coefficients):
+    """Sum of the coefficients times the powers of the column ``u``."""
+    out = F.lit(0.0)
+    for c in reversed(list(coefficients)):
+        out = out * F.col("u") + F.lit(float(c))
+    return out
+
+
+TEST = (
+    "order int, hl double, hr double, n_h_l long, n_h_r long, f_l double, f_r double, se_l double, se_r double, jump double, se double, t double"
+)
+
+
 def density_test(
     df: DataFrame, x: str, c: float = 0.0, h_left: float | None = None, h_right: float | None = None, p: int = 2,
     kernel: str = "triangular", **bucket_args
 ) -> DataFrame:
     """Densities on both sides of the cutoff, their jackknife errors and the test of no jump: one row per order.
 
-    Row ``order = p + 1`` is the bias-robust test; rows at the cutoff belong to the right side. Without
-    given bandwidths a rule of thumb (:func:`density_bandwidth`) is used.
+    Row ``order = p + 1`` is the bias-robust test; rows at the cutoff belong to the right side. A bandwidth
+    that is not given is selected (:func:`density_bandwidths`). Where one side has no rows, or too few
+    distinct values for a fit, all numbers are missing.
     """
     points = distribution(df, x, c, **bucket_args)
-    return _test(points, density_bandwidth(points, h_left, h_right, p), p, kernel)
+    h = _given_or_selected(points, h_left, h_right, p, kernel, **bucket_args)
+    rows, orders = [], (p, p + 1)
+    window = _Window(points, *h, p + 1, kernel) if h else None
+    fits = {o: window.fit(o) for o in orders} if window else {}
+    fits = {o: f for o, f in fits.items() if f}
+    variances = window.variances(fits, **bucket_args) if fits else {}
+    for order in orders:
+        if order not in fits:
+            rows.append((order, *[None] * 11))
+            continue
+        f, (v_l, v_r, v_lr) = window.density(fits[order]), variances[order]
+        jump, se = f[True] - f[False], max(v_l + v_r - 2 * v_lr, 0.0) ** 0.5
+        counts = [window.sides[s]["n_h"] for s in (False, True)]
+        rows.append((order, *h, *counts, f[False], f[True], v_l**0.5, v_r**0.5, jump, se, jump / se if se else None))
+    return _with_p(df.sparkSession.createDataFrame([tuple(None if v is None else float(v) if isinstance(v, float) else int(v) for v in r) for r in rows], TEST))
 
 
-def density_bandwidth(points: DataFrame, h_left: float | None, h_right: float | None, p: int) -> DataFrame:
-    """One row ``hl, hr``: the given bandwidths, or for a missing one a normal-reference rule.
+# ---- bandwidth selection -----------------------------------------------------------------------------
+#: Beyond the order of a fit, so many distinct values must lie within a bandwidth.
+LEAST_DISTINCT = 21
 
-    The rule takes the spread of the side's own rows at the rate ``n^(-1/(2p+1))``, and at least the
-    distance that holds ``20 + p + 1`` distinct values.
-    """
-    need = 20 + p + 1
-    side = F.when(F.col("x") >= 0, F.lit("r")).otherwise(F.lit("l"))
+
+def _uniform_constant(q: int, s: int) -> float:
+    """What the error of the ``s``-th derivative depends on, for a boundary fit of order ``q`` with equal weights:
+    the variance constant times the squared factorial of ``q + 1`` over the squared bias constant."""
+    i = np.arange(q + 1)
+    inv = np.linalg.inv(1.0 / (i[:, None] + i[None, :] + 1))
+    j = i[None, :]
+    rise = 1 / ((j + 2) * (i[:, None] + j + 3)) + (1 / (i[:, None] + 2) - 1 / (i[:, None] + j + 3)) / (j + 1)
+    bias = inv @ (1.0 / (i + q + 2))
+    return (inv @ rise @ inv)[s, s] * factorial(q + 1) ** 2 / bias[s] ** 2
+
+
+def _bias_constant(p: int, kernel: str) -> float:
+    """Bias of the slope of a boundary fit of order ``p``, over the next coefficient and ``h ** p``."""
+    moment = {
+        "triangular": lambda k: 1 / ((k + 1) * (k + 2)),
+        "epanechnikov": lambda k: 1 / (k + 1) - 1 / (k + 3),
+        "uniform": lambda k: 1 / (k + 1),
+    }[kernel]
+    s = np.array([[moment(i + j) for j in range(p + 1)] for i in range(p + 1)])
+    return float(np.linalg.solve(s, [moment(i + p + 1) for i in range(p + 1)])[1])
+
+
+def _hermite(k: int, z: float) -> float:
+    """The ``k``-th derivative of the normal density over the density itself, but for the sign."""
+    before, now = 0.0, 1.0
+    for i in range(k):
+        before, now = now, z * now - i * before
+    return now
+
+
+def _reach(points: DataFrame, p: int):
+    """One row: moments of the running variable, its ends, and how far the values needed on each side reach."""
+    need = {"h": LEAST_DISTINCT - 1 + p + 1, "b": LEAST_DISTINCT - 1 + p + 3}
     n, v = F.col("n"), F.col("x")
-    s = points.groupBy(side.alias("side")).agg(
-        F.sum(n).cast("double").alias("m"), F.sum(n * v).alias("sx"), F.sum(n * v * v).alias("sxx"), F.max(F.abs("x")).alias("reach")
-    )
-    sd = F.sqrt((F.col("sxx") - F.col("sx") * F.col("sx") / F.col("m")) / F.greatest(F.col("m") - 1, F.lit(1.0)))
-    rule = F.least(F.col("reach"), 2.576 * sd * F.pow(F.col("m"), F.lit(-1.0 / (2 * p + 1))))
+    s = points.agg(
+        F.sum("n").alias("n"), F.sum(n * v).alias("sx"), F.sum(n * v * v).alias("sxx"), F.min("x").alias("low"), F.max("x").alias("high"),
+    )
+    side = F.when(F.col("x") >= 0, F.lit("r")).otherwise(F.lit("l"))
     near = points.select(side.alias("side"), F.abs("x").alias("a"))
-    # distance of the ``need``-th nearest distinct value: the rank limit is applied before the shuffle
-    ranked = near.withColumn("_rn", F.row_number().over(Window.partitionBy("side").orderBy("a"))).where(F.col("_rn") <= need)
-    least = ranked.groupBy("side").agg(F.max("a").alias("least"))
-    per = s.join(least, "side").select("side", F.greatest(rule, F.col("least") * (1 + 1e-9)).alias("h"))
-    hl = F.max(F.when(F.col("side") == "l", F.col("h")))
-    hr = F.max(F.when(F.col("side") == "r", F.col("h")))
-    return per.agg(
-        (F.lit(float(h_left)) if h_left else hl).alias("hl"), (F.lit(float(h_right)) if h_right else hr).alias("hr")
-    )
+    # distance of the n-th nearest distinct value: the rank limit is applied before the shuffle
+    ranked = near.withColumn("_rn", F.row_number().over(Window.partitionBy("side").orderBy("a"))).where(F.col("_rn") <= max(need.values()))
+    least = ranked.agg(*[
+        F.max(F.when((F.col("side") == at) & (F.col("_rn") <= k), F.col("a"))).alias(f"{name}_{at}") for name, k in need.items() for at in "lr"
+    ])
+    return s.crossJoin(least).first()  # two rows of one row each
 
 
-def _test(points: DataFrame, bandwidths: DataFrame, p: int, kernel: str) -> DataFrame:
-    orders = (p, p + 1)
-    top = max(orders)
-    both = points.crossJoin(F.broadcast(bandwidths)).withColumn("right", F.col("x") >= 0)
-    placed = both.withColumn("h", F.expr("IF(right, hr, hl)")).withColumn("u", F.expr("x / h"))
-    weighted = placed.withColumn("k", kernel_weight(F.col("u"), kernel) / F.col("h"))
-    sums = weighted.where(F.col("k") > 0).groupBy("right").agg(
-        F.first("h").alias("h"), F.first("total").alias("total"), F.sum("n").alias("n_h"), *_moment_array(top)
-    )
-    schema = T.StructType.fromDDL(
-        "order int, total bigint, hl double, hr double, n_h_l bigint, n_h_r bigint, f_l double, f_r double, "
-        "bl array<double>, br array<double>, al array<double>, ar array<double>"
-    )
+def density_bandwidths(points: DataFrame, p: int = 2, kernel: str = "triangular", **bucket_args) -> dict[str, float] | None:
+    """Bandwidths with the least estimated mean squared error: ``left``, ``right``, their ``diff`` and their ``sum``.
 
-    def solve(batches):
-        sides = pd.concat(list(batches))
-        sides = {bool(r["right"]): r for _, r in sides.iterrows()}
-        rows = []
-        for order in orders:
-            if len(sides) < 2:
-                rows.append([order] + [None] * 11)
-                continue
-            fits = {s: _local_fit(r["P"], r["R"], order) for s, r in sides.items()}
-            left, right = sides[False], sides[True]
-            slope = {s: fits[s][0][1] / sides[s]["h"] for s in fits}
-            rows.append([
-                order, int(left["total"]), left["h"], right["h"], int(left["n_h"]), int(right["n_h"]), slope[False], slope[True],
-                fits[False][0].tolist(), fits[True][0].tolist(), fits[False][1].tolist(), fits[True][1].tolist(),
-            ])
-        yield pd.DataFrame(rows, columns=schema.names)
-
-    # two rows in all: one per side
-    state = materialise(sums.coalesce(1).mapInPandas(solve, schema))
-    rows = weighted.drop("hl", "hr", "total").join(F.broadcast(state))
-    poly = lambda v: " + ".join(f"coalesce(get({v}, {i}), 0) * pow(u, {i})" for i in range(top + 1))
-    rows = rows.withColumns({"coef": F.expr("IF(right, br, bl)"), "slope": F.expr("IF(right, ar, al)")})
-    rows = rows.withColumns({"g": F.expr(f"k / h * ({poly('slope')})"), "fit": F.expr(poly("coef"))})
-    base = rows.select("order", "x", "n", "cdf", "total", "right", "g", "fit")
-    base = base.withColumns(
-        {"gl": F.expr("IF(right, 0, g)"), "gr": F.expr("IF(right, g, 0)")}
-    ).withColumns({"wl": F.expr("n * gl"), "wr": F.expr("n * gr")})
-    above = running_sums(base, ["order"], ["x"], {"above_l": F.col("wl"), "above_r": F.col("wr")}, reverse=True)
-    fitted = base.groupBy("order").agg(F.sum(F.expr("wl * fit")).alias("all_l"), F.sum(F.expr("wr * fit")).alias("all_r"))
-    psi = above.join(F.broadcast(fitted), "order")
-    for s in "lr":
-        # other rows: g_j * (1{x_i <= x_j} - fit_j); own row: g_i * (F(x_i) - fit_i)
-        psi = psi.withColumn(
-            f"psi_{s}",
-            F.expr(f"((above_{s} - g{s}) - (all_{s} - g{s} * fit)) / (total - 1) + g{s} * (cdf - fit)"),
-        )
-    v = psi.groupBy("order").agg(
-        F.first("total").alias("total"),
-        *[F.sum(F.expr(f"n * psi_{s}")).alias(f"m_{s}") for s in "lr"],
-        F.sum(F.expr("n * psi_l * psi_l")).alias("ll"),
-        F.sum(F.expr("n * psi_r * psi_r")).alias("rr"),
-        F.sum(F.expr("n * psi_l * psi_r")).alias("lr"),
-    ).drop("total")
-    full = state.join(v, "order")
-    # the slope is a sum over pairs of rows; its variance is the spread of the rows' shares in it
-    out = full.withColumns(
-        {
-            "v_l": F.expr("ll - m_l * m_l / total"),
-            "v_r": F.expr("rr - m_r * m_r / total"),
-            "v_lr": F.expr("lr - m_l * m_r / total"),
-        }
-    ).select(
-        "order", "hl", "hr", "n_h_l", "n_h_r", "f_l", "f_r", F.expr("sqrt(v_l)").alias("se_l"), F.expr("sqrt(v_r)").alias("se_r"),
-        F.expr("f_r - f_l").alias("jump"), F.expr("sqrt(v_l + v_r - 2 * v_lr)").alias("se"),
-    ).withColumn("t", F.try_divide(F.col("jump"), F.col("se")))
-    return _with_p(out)
+    Pilot bandwidths come from a normal density with the mean and spread of all rows. With the one, a fit of
+    order ``p + 2`` gives the next coefficient of the distribution function on each side, hence the bias;
+    with the other, a fit of order ``p`` gives the variance. A bandwidth reaches to at least
+    ``LEAST_DISTINCT + p`` distinct values (as far as there are so many) and at most to the end of its side.
+    None where a side has no rows or a pilot fit is not possible. ``points``: :func:`distribution`.
+    """
+    s = _reach(points, p)
+    if s["h_l"] is None or s["h_r"] is None or s["n"] < 2:
+        return None
+    n, mean = s["n"], s["sx"] / s["n"]
+    sd = (max(s["sxx"] - n * mean * mean, 0.0) / (n - 1)) ** 0.5
+    end = {"left": -s["low"], "right": s["high"]}
+    end["diff"] = end["sum"] = farthest = max(end.values())
+    z = mean / sd
+    density = float(np.exp(-z * z / 2) / np.sqrt(2 * np.pi))
+
+    def pilot(k: int, constant: float, power: int, least: float) -> float:
+        curve = _hermite(k, z) ** 2 * density
+        h = sd * (constant / (curve * n)) ** (1 / power) if curve > 0 else farthest
+        return max(min(h, farthest), least)
+
+    wide = pilot(p + 2, (2 * p + 1) / 4 * _uniform_constant(p + 2, p + 1), 2 * p + 5, max(s["b_l"], s["b_r"]))
+    narrow = pilot(p, _uniform_constant(p, 1) / (2 * p), 2 * p + 1, max(s["h_l"], s["h_r"]))
+    bias_window = _Window(points, wide, wide, p + 2, kernel)
+    window = _Window(points, narrow, narrow, p, kernel)
+    higher, fit = bias_window.fit(p + 2), window.fit(p)
+    if not higher or not fit:
+        return None
+    v_l, v_r, v_lr = window.variances({p: fit}, **bucket_args)[p]
+    constant = _bias_constant(p, kernel)
+    bias = {side: higher[side][0][p + 1] / wide ** (p + 1) * constant * (1 if side else (-1) ** p) for side in (False, True)}
+    errors = {
+        "left": (v_l, bias[False]), "right": (v_r, bias[True]),
+        "diff": (v_l + v_r - 2 * v_lr, bias[True] - bias[False]), "sum": (v_l + v_r + 2 * v_lr, bias[True] + bias[False]),
+    }
+    least = {"left": s["h_l"], "right": s["h_r"], "diff": max(s["h_l"], s["h_r"]), "sum": max(s["h_l"], s["h_r"])}
+    out = {}
+    for name, (variance, b) in errors.items():
+        h = (max(variance, 0.0) * narrow / (2 * p * b * b)) ** (1 / (2 * p + 1)) if b else farthest
+        out[name] = float(max(min(h, end[name]), least[name]))
+    return out
+
+
+def _given_or_selected(points: DataFrame, h_left: float | None, h_right: float | None, p: int, kernel: str, **bucket_args):
+    """The bandwidths given; for a missing one the middle one of its side's, the difference's and the sum's."""
+    if h_left and h_right:
+        return float(h_left), float(h_right)
+    found = density_bandwidths(points, p, kernel, **bucket_args)
+    if found is None:
+        return None
+    left, right = (float(np.median([found[side], found["diff"], found["sum"]])) for side in ("left", "right"))
+    return float(h_left or left), float(h_right or right)
+
+
+def density_bandwidth(df: DataFrame, x: str, c: float = 0.0, p: int = 2, kernel: str = "triangular", **bucket_args) -> DataFrame:
+    """One row per selector (``left``, ``right``, ``diff``, ``sum``, and ``comb``, which the test uses) with ``hl`` and ``hr``."""
+    found = density_bandwidths(distribution(df, x, c, **bucket_args), p, kernel, **bucket_args)
+    if found is None:
+        return df.sparkSession.createDataFrame([], "selector string, hl double, hr double")
+    comb = [float(np.median([found[side], found["diff"], found["sum"]])) for side in ("left", "right")]
+    rows = [("left", found["left"], None), ("right", None, found["right"]), *[(k, found[k], found[k]) for k in ("diff", "sum")], ("comb", *comb)]
+    return df.sparkSession.createDataFrame(rows, "selector string, hl double, hr double")
+# ------------------------------------------------------------------------------------------------------
 
 
 def _with_p(tests: DataFrame) -> DataFrame:
@@ -178,7 +309,10 @@ def density_curve(
     centred on the fit of order ``p + 1`` (``density_bc``) with its jackknife error.
     """
     pts = distribution(df, x, c, **bucket_args)
-    one = density_bandwidth(pts, h_left, h_right, p).crossJoin(F.broadcast(pts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))))
+    h = _given_or_selected(pts, h_left, h_right, p, kernel, **bucket_args)
+    hl, hr = h or (None, None)
+    one = pts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    one = one.withColumns({"hl": F.lit(hl).cast("double"), "hr": F.lit(hr).cast("double")}).where(F.col("hl").isNotNull())
     sides = one.select(
         F.explode(
             F.array(

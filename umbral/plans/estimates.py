@@ -115,6 +115,12 @@ def density_test(t):
     return _rounded(out, hl=6, hr=6, f_l=8, f_r=8, se_l=8, se_r=8, jump=8, se=8, t=6, p_value=6)
 
 
+@query("density_bandwidth")
+def density_bandwidth(t):
+    """Bandwidths of the density test by each selector, and the ones it takes."""
+    return _rounded(D.density_bandwidth(score_sample(t), "score_centered"), hl=6, hr=6)
+
+
 @query("density_curve")
 def density_curve(t):
     out = D.density_curve(score_sample(t), "score_centered")
