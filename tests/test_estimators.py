@@ -264,3 +264,23 @@ def test_all_outcomes_have_a_bandwidth_and_a_curve(spark):
     folder, five = "/root/testdata/sf0.001", {"Native", "Eucalyptus", "Pine", "Plantation", "Forest"}
     assert {r["outcome"] for r in QUERIES["rd_bandwidth"](spark, folder).collect()} == five
     assert {r["outcome"] for r in QUERIES["rd_spec_curve"](spark, folder).collect()} == five
+
+
+def test_outcomes_share_mass_points(spark):
+    """Estimates of several outcomes at once, some missing in some rows, are those of each outcome alone."""
+    x, y, t, z = rd_data(ties=True)
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"x": x, "a": y, "b": y**2, "c": y + x, "d": np.nan, "t": t, "z": z[:, 0], "g": rng.integers(0, 2, len(x)).astype(str)})
+    pdf.loc[rng.uniform(size=len(x)) < 0.3, "b"] = np.nan
+    pdf.loc[rng.uniform(size=len(x)) < 0.2, ["c", "b"]] = np.nan
+    df = spark.createDataFrame(pdf)
+    points = R.RdPoints(df, ["a", "b", "c", "d"], "x", ["z"], "t", ["g"], block=37, buckets=7)
+    for take_up in (None, "t"):
+        together = points.fits(bool(take_up)).toPandas()
+        assert set(together.outcome) == {"a", "b", "c"}
+        for name in "abc":
+            alone = R.rd_sharp(df, name, "x", ["z"], take_up, by=["g"]).toPandas()
+            own = together[together.outcome == name]
+            keys = ["g", "method"]
+            one, two = (v.sort_values(keys)[["estimate", "se", "pval", "bandwidth", "bias_bandwidth", "Obs", "eff_obs"]].to_numpy(float) for v in (own, alone))
+            assert len(one) == 6 and np.allclose(one, two, rtol=1e-8)

@@ -72,11 +72,14 @@ def test_nearest(spark):
 def test_neighbours_cross_blocks(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"spec": "a", "x": np.round(rng.normal(size=300), 2), "y": rng.normal(size=300)})
-    pts = M.prepare(spark.createDataFrame(pdf), [F.col("y")], block=7, buckets=7).toPandas().sort_values("x").reset_index(drop=True)
+    pts, _ = M.prepare(spark.createDataFrame(pdf), ["y"], [], ["spec"], block=7, buckets=7)
+    pts = pts.toPandas().sort_values("x").reset_index(drop=True)
     assert (pts["rank"] == np.arange(1, len(pts) + 1)).all()
+    near = np.stack(pts["near"]).reshape(len(pts), 6, 3)
+    own = pd.Series([v[0] for v in pts["s"]])
     for j in (1, 2, 3):
-        assert np.allclose(pts[f"xl{j}"].values, pts.x.shift(j).values, equal_nan=True)
-        assert np.allclose(pts[f"s0_r{j}"].values, pts.s0.shift(-j).values, equal_nan=True)
+        assert np.allclose(near[:, j - 1, 0], pts.x.shift(j).values, equal_nan=True)
+        assert np.allclose(near[:, 2 + j, 2], own.shift(-j).values, equal_nan=True)
 
 
 def test_first_per_key_limits_before_the_shuffle(spark):

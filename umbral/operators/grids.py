@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from umbral.functions.scalars import col
 from umbral.operators.columns import order_key
-from umbral.operators.rd import MSE_LABEL, rd_sharp
-from umbral.operators.regression import outcome_rows
+from umbral.operators.rd import MSE_LABEL, RdPoints
 from umbral.operators.samples import sample_groups
 
 # ---- fixed values: outcomes, covariates, orders -----------------------------------------------------
@@ -30,16 +29,6 @@ METHOD_ORDER = ("conventional", "bias-corrected", "robust")
 # -----------------------------------------------------------------------------------------------
 
 
-def _long(df: DataFrame, outcomes: Sequence[str], x: str, covs: Sequence[str], more: Sequence[str]) -> DataFrame:
-    """One row per outcome. Covariates get positional names, since an outcome may be a covariate too."""
-    base = df.select(
-        *[col(m) for m in more], col(x).cast("double").alias("_x"),
-        *[col(z).cast("double").alias(f"_z{i}") for i, z in enumerate(covs)],
-        *[col(o).cast("double").alias(o) for o in outcomes],
-    )
-    return outcome_rows(base, outcomes, [*more, "_x", *[f"_z{i}" for i in range(len(covs))]])
-
-
 def _labelled(fits: DataFrame, label: str) -> DataFrame:
     name = F.when(F.col("multiple") == 1, F.lit(label)).otherwise(F.lit(f"2 x {label}"))
     return fits.withColumn("bandwidth_method", name).drop("multiple")
@@ -60,26 +49,33 @@ def rd_grid(
 
     ``bandwidth`` is the bandwidth of the row's own fit; ``sharp_bandwidth`` the one of the sharp fit.
     """
-    more = ["data_group", *([take_up] if take_up else [])]
-    long = _long(sample_groups(df, groups), outcomes, x, covs, more)
-    zs = [f"_z{i}" for i in range(len(covs))]
-    sharp = _labelled(rd_sharp(long, "y", "_x", zs, by=["data_group", "outcome"], multiples=(1.0, 2.0), **rd_args), MSE_LABEL)
+    tagged = sample_groups(df, groups)
+    if take_up:
+        tagged = tagged.withColumn("_take_up", F.coalesce(col(take_up), F.lit(0)))
+    how, estimate = _split(rd_args)
+    points = RdPoints(tagged, outcomes, x, covs, "_take_up" if take_up else None, ["data_group"], **how)
+    sharp = _labelled(points.fits(multiples=(1.0, 2.0), **estimate), MSE_LABEL)
     sharp = sharp.withColumn("sharp_bandwidth", F.col("bandwidth"))
     if not take_up:
         return sharp
-    one = long.where(F.col("data_group") == fuzzy_group).withColumn(take_up, F.coalesce(col(take_up), F.lit(0)))
-    fuzzy = _labelled(rd_sharp(one, "y", "_x", zs, take_up, by=["data_group", "outcome"], **rd_args), MSE_LABEL)
+    fuzzy = _labelled(points.where(F.col("data_group") == fuzzy_group).fits(take_up=True, **estimate), MSE_LABEL)
     chosen = sharp.where((F.col("data_group") == fuzzy_group) & (F.col("bandwidth_method") == MSE_LABEL) & (F.col("method") == "robust"))
     fuzzy = fuzzy.join(chosen.select("outcome", F.col("bandwidth").alias("sharp_bandwidth")), "outcome", "left")
     return sharp.unionByName(fuzzy.withColumn("data_group", F.lit("fuzzy")))
 
 
+def _split(args: dict) -> tuple[dict, dict]:
+    """Arguments of the mass points, and of the estimates."""
+    estimate = {k: args[k] for k in ("h", "b", "p", "kernel", "bwcheck") if k in args}
+    return {k: v for k, v in args.items() if k not in estimate}, estimate
+
+
 def balance_grid(
     df: DataFrame, outcomes: Sequence[str] = BALANCE_OUTCOMES, covs: Sequence[str] = BALANCE_COVARIATES, x: str = "score_centered", **rd_args
 ) -> DataFrame:
     """Sharp estimates for variables fixed before treatment."""
-    fits = rd_sharp(_long(df, outcomes, x, covs, []), "y", "_x", [f"_z{i}" for i in range(len(covs))], by=["outcome"], **rd_args)
-    return _labelled(fits, MSE_LABEL)
+    how, estimate = _split(rd_args)
+    return _labelled(RdPoints(df, outcomes, x, covs, **how).fits(**estimate), MSE_LABEL)
 
 
 def rd_size_grid(
@@ -95,9 +91,9 @@ def rd_size_grid(
     tags = F.array(*[F.when(rule, F.struct(F.lit(tag).alias("tag"), col(running[tag]).cast("double").alias("run"))) for tag, rule in rules.items()])
     tagged = df.withColumn("_t", F.explode(F.array_compact(tags)))
     tagged = tagged.withColumns({"sample_rule": F.col("_t.tag"), "_run": F.col("_t.run")})
-    long = _long(tagged, outcomes, "_run", covs, ["sample_rule", take_up])
-    fits = rd_sharp(long, "y", "_x", [f"_z{i}" for i in range(len(covs))], take_up, by=["sample_rule", "outcome"], multiples=(1.0, 2.0), **rd_args)
-    return _labelled(fits, "optimal")
+    how, estimate = _split(rd_args)
+    points = RdPoints(tagged, outcomes, "_run", covs, take_up, ["sample_rule"], **how)
+    return _labelled(points.fits(take_up=True, multiples=(1.0, 2.0), **estimate), "optimal")
 
 
 def selection_filter(results: DataFrame, bandwidth_method: str = MSE_LABEL, method: str = "bias-corrected") -> DataFrame:

@@ -1,7 +1,7 @@
 """Distinct values of a running variable with the sums an estimator needs, in order and with neighbours.
 
-An estimator never goes back to the rows: for each specification and distinct ``x`` the table holds the
-row count, the sums of the variables ``d`` (outcome, take-up, covariates) and of their products, the
+An estimator never goes back to the rows: for each group of rows and distinct ``x`` the table holds the
+row count, the sums of the variables (outcomes, take-up, covariates) and of their products, the
 running count, and the next three distinct values on either side with their counts and sums. Ranks come
 from two-level running sums, neighbours from windows over blocks of equal length with a rim of three
 points copied from the adjoining blocks, so no window spans a whole side.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbral.operators.ordering import running_sums
@@ -21,23 +21,14 @@ NEIGHBOURS = 3
 BLOCK = 20_000
 
 
-def mass_points(rows: DataFrame, d: Sequence[Column], keys: Sequence[str] = ("spec",), x: str = "x") -> DataFrame:
-    """``(keys, x, n, s0.., q0_0..)``: one row per specification and distinct ``x``, combined on the map side."""
-    named = rows.select(*keys, F.col(x).cast("double").alias("x"), *[c.cast("double").alias(f"d{i}") for i, c in enumerate(d)])
-    named = named.dropna()
-    k = len(d)
-    sums = [F.sum(f"d{i}").alias(f"s{i}") for i in range(k)]
-    sums += [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"q{i}_{j}") for i in range(k) for j in range(i, k)]
-    return named.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"), *sums)
-
-
 def ordered(points: DataFrame, keys: Sequence[str] = ("spec",), **bucket_args) -> DataFrame:
     """Add ``cum_n`` (rows at or below) and ``rank`` (distinct values at or below)."""
     return running_sums(points, list(keys), ["x"], {"cum_n": F.col("n"), "rank": F.lit(1)}, **bucket_args)
 
 
-def with_neighbours(points: DataFrame, sums: Sequence[str], keys: Sequence[str] = ("spec",), block: int = BLOCK) -> DataFrame:
-    """Add the three next distinct values on each side: ``xl1..``, ``nl1..``, ``<sum>_l1..`` and likewise ``r``."""
+def with_neighbours(points: DataFrame, keys: Sequence[str] = ("spec",), block: int = BLOCK) -> DataFrame:
+    """Add ``near``: ``x``, ``n`` and the sums ``s`` of the three next distinct values on the left, nearest first,
+    and then on the right, one after the other in one array; NaN where there is none."""
     if block <= 2 * NEIGHBOURS:
         raise ValueError("block too short")
     at = F.col("rank") - 1
@@ -50,61 +41,93 @@ def with_neighbours(points: DataFrame, sums: Sequence[str], keys: Sequence[str]
             F.when(pos >= block - NEIGHBOURS, home + 1),
         )
     )
-    copies = points.withColumns({"_home": home, "_block": F.explode(homes)})
+    own = F.concat(F.array(F.col("x"), F.col("n").cast("double")), F.col("s"))
+    none = F.transform("s", lambda _: F.lit(float("nan")))
+    copies = points.withColumns({"_home": home, "_block": F.explode(homes), "_own": own})
     w = Window.partitionBy(*keys, "_block").orderBy("x")
-    near = {}
-    for j in range(1, NEIGHBOURS + 1):
-        for c, out in [("x", "x"), ("n", "n"), *[(s, f"{s}_") for s in sums]]:
-            near[f"{out}l{j}"] = F.lag(c, j).over(w)
-            near[f"{out}r{j}"] = F.lead(c, j).over(w)
-    return copies.withColumns(near).where(F.col("_block") == F.col("_home")).drop("_block", "_home")
-
-
-NAMES = [f"{side}{j}" for side in "lr" for j in range(1, NEIGHBOURS + 1)]
+    beside = [step("_own", j).over(w) for step in (F.lag, F.lead) for j in range(1, NEIGHBOURS + 1)]
+    found = copies.withColumns({f"_near{i}": c for i, c in enumerate(beside)}).where(F.col("_block") == F.col("_home"))
+    missing = F.concat(F.array(F.lit(float("nan")), F.lit(0.0)), none)
+    near = F.concat(*[F.coalesce(F.col(f"_near{i}"), missing) for i in range(len(beside))])
+    return found.select(*points.columns, near.alias("near"))
 
 
-def neighbour_set(reach: str) -> list[dict[str, Column]]:
-    """Columns ``_take_<neighbour>`` and ``_N``, in stages, for the nearest-neighbour set of a mass point.
+def neighbour_set(x, n, right: bool, reach: float, near_x, near_n):
+    """Which of the six neighbours (rows of ``near_x``, ``near_n``) are in the set of each mass point, and the
+    number of rows of the set, the point's own included.
 
-    A neighbour is in the set if it lies on the same side (column ``right``) with ``|x|`` below the SQL
-    expression ``reach`` and fewer than three other rows are strictly nearer; equally near points enter
-    together. ``_N`` counts the rows of the set, the point's own included.
+    A neighbour is in the set if it lies on the same side with ``|x|`` below ``reach`` and fewer than three
+    other rows are strictly nearer; equally near points enter together. Missing neighbours are NaN.
     """
-    dist, count, take = {}, {}, {}
-    for m in NAMES:
-        ok = f"x{m} IS NOT NULL AND (x{m} >= 0) = right AND abs(x{m}) < {reach}"
-        dist[f"_dist_{m}"] = F.expr(f"CASE WHEN {ok} THEN abs(x{m} - x) END")
-        count[f"_count_{m}"] = F.expr(f"CASE WHEN {ok} THEN n{m} ELSE 0 END")
-        nearer = " + ".join(f"CASE WHEN _dist_{o} < _dist_{m} THEN _count_{o} ELSE 0 END" for o in NAMES if o != m)
-        take[f"_take_{m}"] = F.expr(f"_dist_{m} IS NOT NULL AND n - 1 + {nearer} < {NEIGHBOURS}")
-    total = " + ".join(f"CASE WHEN _take_{m} THEN _count_{m} ELSE 0 END" for m in NAMES)
-    return [{**dist, **count}, take, {"_N": F.expr(f"n + {total}")}]
+    import numpy as np
 
+    with np.errstate(invalid="ignore"):
+        ok = ((near_x >= 0) == right) & (np.abs(near_x) < reach) & ~np.isnan(near_x)
+        distance = np.where(ok, np.abs(near_x - x), np.inf)
+    count = np.where(ok, near_n, 0.0)
+    take = np.empty_like(ok)
+    for m in range(len(near_x)):
+        nearer = ((distance < distance[m]) * count).sum(axis=0)
+        take[m] = ok[m] & (n - 1 + nearer < NEIGHBOURS)
+    return take, n + (take * count).sum(axis=0)
 
-def residual_stages(name: str, v: str, k: int) -> list[dict[str, Column]]:
-    """Column ``name``: summed squared nearest-neighbour residuals of the combination ``v`` of the ``k`` variables.
+
+def residuals(v, n, sums, products, near_sums, take, size):
+    """Summed squared nearest-neighbour residuals of the combination ``v`` of the variables, per mass point.
 
     With ``J = N - 1`` neighbours a row's residual is ``sqrt(J/(J+1)) * (d - mean of the others)``; over a
     mass point only its count, sum and square sum and the set's count and sum are needed. A point without
-    any neighbour gives 0. Needs the columns of :func:`neighbour_set`.
+    any neighbour gives 0. ``products``: those of each pair of variables, row by row of the upper triangle.
     """
+    import numpy as np
 
-    def dot(ending=""):
-        return " + ".join(f"get({v}, {i}) * s{i}{ending}" for i in range(k))
+    k = len(v)
+    weights = np.array([v[i] * v[j] * (1 if i == j else 2) for i in range(k) for j in range(i, k)])
+    e, q = v @ sums, weights @ products
+    other = sum(np.where(take[m], v @ np.where(take[m], near_sums[m], 0.0), 0.0) for m in range(len(take)))
+    t = e + other
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(size > 1, (size * size * q - 2 * size * t * e + n * t * t) / (size * (size - 1)), 0.0)
 
-    square = " + ".join(
-        f"get({v}, {i}) * get({v}, {j}) * q{i}_{j} * {1 if i == j else 2}" for i in range(k) for j in range(i, k)
-    )
-    near = " + ".join(f"CASE WHEN _take_{m} THEN {dot('_' + m)} ELSE 0 END" for m in NAMES)
-    parts = {f"_e_{name}": F.expr(dot()), f"_q_{name}": F.expr(square), f"_o_{name}": F.expr(near)}
-    e, q, t = f"_e_{name}", f"_q_{name}", f"(_e_{name} + _o_{name})"
-    r = f"CASE WHEN _N > 1 THEN (_N * _N * {q} - 2 * _N * {t} * {e} + n * {t} * {t}) / (_N * (_N - 1)) ELSE 0 END"
-    return [parts, {name: F.expr(r)}]
+
+def product_pairs(outcomes: int, variables: int) -> list[tuple[int, int]]:
+    """Pairs of variables whose products are summed: no outcome with another outcome."""
+    return [(i, j) for i in range(variables) for j in range(i, variables) if i == j or j >= outcomes]
 
 
 def prepare(
-    rows: DataFrame, d: Sequence[Column], keys: Sequence[str] = ("spec",), block: int = BLOCK, x: str = "x", **bucket_args
-) -> DataFrame:
-    """Mass points in order with neighbours, written once to the shared folder."""
-    points = materialise(mass_points(rows, d, keys, x))
-    return materialise(with_neighbours(ordered(points, keys, **bucket_args), [f"s{i}" for i in range(len(d))], keys, block))
+    rows: DataFrame, outcomes: Sequence[str], shared: Sequence[str], keys: Sequence[str], block: int = BLOCK, x: str = "x", **bucket_args
+) -> tuple[DataFrame, list[int]]:
+    """Mass points in order with neighbours, one table for all outcomes, and the class of each outcome.
+
+    Rows carry all variables, so a row is there once however many outcomes it has. Outcomes that are missing
+    in the same rows are a class; a class has mass points of its own (column ``_class``), since a missing
+    value changes which points are there. ``s`` has the sums of the outcomes and then the shared variables,
+    ``q`` those of the products of :func:`product_pairs`.
+    The driver holds the distinct patterns of missing outcomes. Written once to the shared folder.
+    """
+    m, names = len(outcomes), [*outcomes, *shared]
+    missing = [F.col(o).isNull() | F.isnan(o) for o in outcomes]
+    mask = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(missing)), F.lit(0)).cast("long")
+    filled = [F.when(c, F.lit(0.0)).otherwise(F.col(o)) for c, o in zip(missing, outcomes)] + [F.col(z) for z in shared]
+    base = rows.where(~F.isnan(x)).select(*keys, F.col(x).alias("x"), mask.alias("_mask"), *[c.alias(f"d{i}") for i, c in enumerate(filled)])
+    base = base.where(F.col("_mask") < (1 << m) - 1) if m else base
+    pairs = product_pairs(m, len(names))
+    sums = F.array(*[F.sum(f"d{i}") for i in range(len(names))])
+    products = F.array(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i, j in pairs])
+    points = materialise(base.groupBy(*keys, "_mask", "x").agg(F.count(F.lit(1)).alias("n"), sums.alias("s"), products.alias("q")))
+    masks = sorted(r[0] for r in points.select("_mask").distinct().collect())
+    present = [frozenset(k for k in masks if not k >> i & 1) for i in range(m)]
+    kinds = list(dict.fromkeys(present))
+    if len(masks) > 1 or not kinds:
+        of = F.lit(None).cast("array<int>")
+        for k in masks:
+            of = F.when(F.col("_mask") == k, F.array(*[F.lit(c) for c, rows_of in enumerate(kinds) if k in rows_of]).cast("array<int>")).otherwise(of)
+        totals = [F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)]).alias(c) for c, n in (("s", len(names)), ("q", len(pairs)))]
+        points = points.withColumn("_class", F.explode(of)).groupBy(*keys, "_class", "x").agg(F.sum("n").alias("n"), *totals)
+        points = materialise(points)
+    else:
+        points = points.drop("_mask").withColumn("_class", F.lit(0))
+    own = [*keys, "_class"]
+    found = with_neighbours(ordered(points, own, **bucket_args), own, block)
+    return materialise(found), [kinds.index(p) for p in present]

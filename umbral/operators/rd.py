@@ -1,12 +1,12 @@
 """Regression discontinuity by local polynomials: sharp and fuzzy, with covariates, data-driven bandwidth,
 bias correction and robust errors.
 
-The rows are reduced once to ordered mass points with their neighbours (``masspoints``). Every further
-step is one pass over that table: a join with the state (one small row per specification), sums per
-(specification, side) that combine on the map side, and a small solve on the sums. The state stays on
-the left of every step: a specification that cannot be solved keeps its row, with missing numbers and a
-reason. The new state is written to the shared folder, so every pass is a short plan of its own. A whole
-grid of specifications runs in the same passes.
+The rows are reduced once to ordered mass points with their neighbours (``masspoints``), one table for all
+outcomes and both designs. Every further step is one pass over the part of that table within the largest
+window still in use: each task adds up its rows' moments per (specification, side) by matrix products,
+Spark adds up the tasks' sums, and the driver, which holds one small state per specification, solves on
+them. A specification that cannot be solved keeps its row, with missing numbers and a reason. A whole grid
+of specifications runs in the same passes.
 
 Powers are taken of ``x / h``, so that the moment matrices stay well conditioned.
 """
@@ -17,7 +17,6 @@ from collections.abc import Callable, Sequence
 from math import factorial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +24,6 @@ from pyspark.sql import types as T
 from umbral.functions.distributions import p_normal
 from umbral.functions.scalars import col
 from umbral.operators import masspoints as M
-from umbral.session import materialise
 
 # ---- fixed values: pilot constants per kernel, weights of the mass-point rule ------------------------
 PILOT = {"triangular": 2.576, "epanechnikov": 2.34, "uniform": 1.843}
@@ -55,28 +53,50 @@ def _pairs(k: int):
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-class _Window:
-    """Sums of one kernel window of width ``h`` (an SQL expression): ``P`` powers of ``x / h``, ``U`` powers
-    times ``d``, ``C`` products of ``d``."""
-
-    def __init__(self, tag: str, h: str, top: int, d_top: int, k: int, kernel: str, cross: bool):
-        self.tag, self.h, self.top, self.d_top, self.k, self.kernel, self.cross = tag, h, top, d_top, k, kernel, cross
-
-    def stages(self) -> list[dict[str, Column]]:
-        """Columns ``<tag>u`` and ``<tag>0..``, the weight times the powers of u."""
-        t, u = self.tag, F.col(f"{self.tag}u")
-        powers = {f"{t}{i}": F.expr(" * ".join([f"{t}0"] + [f"{t}u"] * i)) for i in range(1, self.top + 1)}
-        return [{f"{t}u": F.expr(f"x / {self.h}")}, {f"{t}0": kernel_weight(u, self.kernel) / F.expr(self.h)}, powers]
-
-    def columns(self) -> list[Column]:
-        t, k = self.tag, self.k
-        out = [F.expr("array(" + ", ".join(f"sum({t}{i} * n)" for i in range(self.top + 1)) + ")").alias(f"{t}P")]
-        sums = ", ".join(f"sum({t}{j} * s{i})" for j in range(self.d_top + 1) for i in range(k))
-        out.append(F.expr(f"array({sums})").alias(f"{t}U"))
-        if self.cross:
-            out.append(F.expr("array(" + ", ".join(f"sum({t}0 * q{i}_{j})" for i, j in _pairs(k)) + ")").alias(f"{t}C"))
+def _kernel(u, kernel: str):
+    """The same as :func:`kernel_weight` on an array."""
+    a = np.abs(u)
+    k = 1 - a if kernel == "triangular" else 0.75 * (1 - u * u) if kernel == "epanechnikov" else np.full_like(u, 0.5)
+    return np.where(a < 1, k, 0.0)
+
+
+class _Rows:
+    """Mass points of one specification and side, as arrays: a row of ``sums`` for each of its variables."""
+
+    def __init__(self, batch: dict, at, right: bool, variables: Sequence[int], pairs: dict[tuple[int, int], int]):
+        self.batch, self.at, self.right, self.v, self.pairs = batch, at, right, list(variables), pairs
+        self.x, self.n = batch["x"][at], batch["n"][at]
+        self.sums = batch["s"][np.ix_(at, self.v)].T
+
+    @property
+    def products(self) -> np.ndarray:
+        own = [self.pairs[tuple(sorted((self.v[i], self.v[j])))] for i, j in _pairs(len(self.v))]
+        return self.batch["q"][np.ix_(self.at, own)].T
+
+    def window(self, tag: str, h: float, top: int, d_top: int, kernel: str, cross: bool = False) -> dict[str, np.ndarray]:
+        """Sums of a kernel window of width ``h``: ``P`` powers of ``x / h``, ``U`` powers times the variables,
+        ``C`` products of the variables."""
+        powers = self.powers(h, top, kernel)
+        out = {f"{tag}P": powers @ self.n, f"{tag}U": (powers[: d_top + 1] @ self.sums.T).ravel()}
+        return out | ({f"{tag}C": self.products @ powers[0]} if cross else {})
+
+    def powers(self, h: float, top: int, kernel: str) -> np.ndarray:
+        """Weight times the powers of ``x / h``, a row for each power."""
+        u = self.x / h
+        out = np.empty((top + 1, len(u)))
+        out[0] = _kernel(u, kernel) / h
+        for i in range(top):
+            out[i + 1] = out[i] * u
         return out
 
+    def residuals(self, vs: Sequence[np.ndarray], reach: float) -> list[np.ndarray]:
+        """For each combination of the variables, summed squared residuals of the mass points."""
+        near = self.batch["near"][self.at].reshape(len(self.at), 2 * M.NEIGHBOURS, -1)
+        take, size = M.neighbour_set(self.x, self.n, self.right, reach, near[:, :, 0].T, near[:, :, 1].T)
+        near = near[:, :, [2 + i for i in self.v]].transpose(1, 2, 0)
+        products = self.products
+        return [M.residuals(np.asarray(v, float), self.n, self.sums, products, near, take, size) for v in vs]
+
 
 def _hankel(p: Sequence[float], order: int) -> np.ndarray:
     return np.array([[p[i + j] for j in range(order + 1)] for i in range(order + 1)], dtype=float)
@@ -150,78 +170,71 @@ def _direction(gamma: np.ndarray | None, n_y: int, fuzzy: bool, tau: Callable[[n
     return sy / tt - st * ty / tt**2
 
 
-def _poly(coef: str, tag: str, order: int, start: int = 0) -> str:
-    """Weighted polynomial over the columns of a window, as SQL."""
-    return " + ".join(f"get({coef}, {start + i}) * {tag}{i}" for i in range(order + 1))
+SUMS = "spec int, right boolean, name string, at int, value double"
 
 
 class _Passes:
-    """The passes over one prepared mass-point table."""
-
-    def __init__(self, points: DataFrame, keys: Sequence[str], k: int, n_y: int, p: int, q: int, kernel: str):
-        self.points, self.keys = points.withColumn("right", F.col("x") >= 0), list(keys)
-        self.k, self.n_y, self.p, self.q, self.kernel = k, n_y, p, q, kernel
-        self.fuzzy = n_y == 2
-        self.key_fields = [points.schema[c] for c in self.keys]
+    """The passes of one design over prepared mass points; ``states`` are the specifications' dicts."""
+
+    def __init__(self, points: "RdPoints", fuzzy: bool, covs: bool, p: int, q: int, kernel: str):
+        self.points, self.keys = points.table, [*points.keys, "_class"]
+        self.source, self.fuzzy = points, fuzzy
+        self.shared = [*([points.take_up] if fuzzy else []), *(points.covs if covs else [])]
+        self.n_y, self.k = 1 + fuzzy, 1 + len(self.shared)
+        self.p, self.q, self.kernel = p, q, kernel
         self.orders = ((q + 1, q + 1), (q, p + 1), (p, 0))  # (order, derivative) of the three pilot fits
 
-    def _step(self, state: DataFrame, reach: str, stages: list[dict[str, Column]], sums: list[Column],
-              solve: Callable, ddl: str, by: Sequence[str] = ()) -> DataFrame:
-        """Broadcast the state, sum per side, and solve per specification."""
-        keys = [*self.keys, *by]
-        if "reason" not in state.columns:
-            state = state.withColumn("reason", F.lit(None).cast("string"))
-        carried = [c for c in state.columns if c not in [*keys, "reason"]]
-        packed = state.select(*keys, F.struct(*carried).alias("st"))
-        joined = self.points.join(packed, self.keys).where(F.expr(f"abs(x) <= {reach}"))
-        for columns in stages:
-            joined = joined.withColumns(columns)
-        per_side = joined.groupBy(*keys, "right").agg(*sums)
-        fields = [*[state.schema[c] for c in [*keys, *carried]], *T.StructType.fromDDL(ddl).fields, T.StructField("reason", T.StringType())]
-        schema = T.StructType(fields)
-        width = len(T.StructType.fromDDL(ddl).fields)
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            first = pdf.iloc[0]
-            st = {c: first[c] for c in carried}
-            st = {c: None if v is None or (np.isscalar(v) and pd.isna(v)) else v for c, v in st.items()}
-            sides = {bool(r["right"]): r for _, r in pdf.iterrows() if not pd.isna(r["right"])}
-            reason, out = first["reason"], [None] * width
-            if isinstance(reason, str):
-                pass
-            elif len(sides) < 2:
-                reason = "no rows on both sides of the cutoff"
-            else:
-                try:
-                    out = solve(st, sides[False], sides[True])
-                    if any(isinstance(v, float) and not np.isfinite(v) for v in out):
-                        reason = "not finite"
-                except np.linalg.LinAlgError:
-                    reason = "too few distinct values in the window"
-                except (TypeError, ZeroDivisionError):
-                    reason = "not finite"
-            row = [*[first[c] for c in keys], *[st[c] for c in carried], *out, reason if isinstance(reason, str) else None]
-            return pd.DataFrame([row], columns=schema.names).astype(object)
-
-        solved = state.join(per_side, keys, "left").groupBy(*keys).applyInPandas(run, schema)
-        return materialise(solved)
+    def _step(self, states: list[dict], reach: Callable[[dict], float], sums: Callable, solve: Callable, near: bool = False) -> None:
+        """One pass: ``sums(state, rows)`` of each specification and side, then ``solve(state, left, right)``,
+        whose result enters the state, or else a reason."""
+        active = [i for i, st in enumerate(states) if st["reason"] is None]
+        specs: dict[str, list] = {}
+        for i in active:
+            if np.isfinite(reach(states[i])):
+                specs.setdefault(states[i]["_key"], []).append((i, states[i], reach(states[i]), [states[i]["_y"], *self.shared]))
+        found: dict[tuple[int, bool], dict[str, dict[int, float]]] = {}
+        if specs:
+            farthest = max(r for own in specs.values() for *_, r, _ in own)
+            rows = self.points.where((F.col("x") <= F.lit(farthest)) & (F.col("x") >= F.lit(-farthest)))
+            rows = rows.select("_key", "x", F.col("n").cast("double").alias("n"), "s", "q", *(["near"] if near else []))
+            moments = rows.mapInArrow(_moments(specs, self.source.pairs, sums), SUMS).groupBy("spec", "right", "name", "at").agg(F.sum("value").alias("value"))
+            for r in moments.collect():  # the moments of each specification
+                found.setdefault((r["spec"], r["right"]), {}).setdefault(r["name"], {})[r["at"]] = r["value"]
+        sides = {key: {name: np.array([v[i] for i in range(len(v))]) for name, v in own.items()} for key, own in found.items()}
+        for i in active:
+            st = states[i]
+            try:
+                if (i, False) not in sides or (i, True) not in sides:
+                    st["reason"] = "no rows on both sides of the cutoff"
+                    continue
+                out = solve(st, sides[i, False], sides[i, True])
+                st.update(out)
+                if any(isinstance(v, float) and not np.isfinite(v) for v in out.values()):
+                    st["reason"] = "not finite"
+            except np.linalg.LinAlgError:
+                st["reason"] = "too few distinct values in the window"
+            except (TypeError, ZeroDivisionError):
+                st["reason"] = "not finite"
 
     def _constant_take_up(self) -> Column:
         """True if take-up does not vary on one side; the bandwidth is then that of the sharp design."""
         if not self.fuzzy:
             return F.lit(True)
-        n, right = F.col("n"), F.col("right")
+        n, right = F.col("n"), F.col("x") >= 0
 
         def spread(side):
-            count, total, square = (F.sum(F.when(side, F.col(c)).otherwise(0)) for c in ("n", "s1", "q1_1"))
+            at = self.source.take_up
+            own = (F.col("n"), F.get("s", F.lit(at)), F.get("q", F.lit(self.source.pairs[at, at])))
+            count, total, square = (F.sum(F.when(side, c).otherwise(0)) for c in own)
             return square - F.try_divide(total * total, count)
 
         return F.least(spread(right), spread(~right)) <= 1e-10 * F.sum(n)
 
-    def totals(self, bwcheck: int | None) -> DataFrame:
-        """Pilot bandwidth, the largest and smallest admissible ones, and the range of each side."""
-        n, x, right = F.col("n"), F.col("x"), F.col("right")
-        t = self.points.groupBy(*self.keys).agg(
+    def totals(self, bwcheck: int | None) -> list[dict]:
+        """A state for each outcome and group of rows: pilot bandwidth, the largest and smallest admissible ones,
+        and the range of each side."""
+        n, x, right = F.col("n"), F.col("x"), F.col("x") >= 0
+        t = self.points.groupBy("_key").agg(
             F.sum(n).cast("double").alias("Obs"),
             F.count(F.lit(1)).cast("double").alias("distinct"),
             F.sum(F.when(~right, n).otherwise(0)).cast("double").alias("rows_l"),
@@ -232,7 +245,7 @@ class _Passes:
             F.abs(F.max(x)).alias("range_r"),
             self._constant_take_up().alias("sharp_bw"),
         )
-        seen = self.points.join(t, self.keys)
+        seen = self.points.join(t, "_key")
         cum, rank = F.col("cum_n"), F.col("rank")
 
         def quartile(share):
@@ -247,7 +260,7 @@ class _Passes:
         near_l = F.max(F.when(rank == F.col("dist_l") - F.least(need, F.col("dist_l")) + 1, F.abs(x)))
         near_r = F.max(F.when(rank == F.col("dist_l") + F.least(need, m_r), F.abs(x)))
         firsts = [F.first(c).alias(c) for c in ("Obs", "distinct", "rows_l", "dist_l", "sx", "sxx", "range_l", "range_r", "sharp_bw")]
-        s = seen.groupBy(*self.keys).agg(
+        s = seen.groupBy("_key", *self.keys).agg(
             *firsts, (quartile(0.75) - quartile(0.25)).alias("iqr"), near_l.alias("near_l"), near_r.alias("near_r")
         )
         sd = F.sqrt((F.col("sxx") - F.col("sx") * F.col("sx") / F.col("Obs")) / (F.col("Obs") - 1))
@@ -259,20 +272,39 @@ class _Passes:
         bw_max = F.greatest("range_l", "range_r")
         bw_min = F.when(checked, F.greatest("near_l", "near_r") + 1e-8).otherwise(0.0)
         pilot = PILOT[self.kernel] * F.least(sd, F.col("iqr") / 1.349) * F.pow(F.col("distinct"), F.lit(-0.2))
-        return s.select(
-            *self.keys, "Obs", "sharp_bw", "range_l", "range_r", bw_max.alias("bw_max"), bw_min.alias("bw_min"),
+        found = s.select(
+            "_key", *self.keys, "Obs", "sharp_bw", "range_l", "range_r", bw_max.alias("bw_max"), bw_min.alias("bw_min"),
             F.greatest(F.least(pilot, bw_max), bw_min).alias("c_bw"),
         )
+        return self._states(found.collect())  # a row for each group of specifications
+
+    def _states(self, rows) -> list[dict]:
+        out = []
+        for r in rows:
+            for i, kind in enumerate(self.source.classes):
+                if kind == r["_class"]:
+                    st = {k: float("nan") if v is None and k not in self.keys else v for k, v in r.asDict().items()}
+                    out.append({**st, "outcome": self.source.outcomes[i], "_y": i, "reason": None})
+        return out
+
+    def given(self, h: float, b: float) -> list[dict]:
+        """States with given bandwidths."""
+        rows = self.points.groupBy("_key", *self.keys).agg(F.sum("n").cast("double").alias("Obs")).collect()
+        return [{**st, "h": h, "b": b} for st in self._states(rows)]
 
     # ---- bandwidth ------------------------------------------------------------------------------
 
-    def bandwidth(self, bwcheck: int | None = None, regularise: float = 1.0) -> DataFrame:
-        """MSE-optimal common bandwidths ``h`` and ``b`` per specification."""
+    def bandwidth(self, bwcheck: int | None = None, regularise: float = 1.0) -> list[dict]:
+        """States with the MSE-optimal common bandwidths ``h`` and ``b``."""
         k, n_y, fuzzy, orders = self.k, self.n_y, self.fuzzy, self.orders
-        p, q, kernel = self.p, self.q, self.kernel
+        kernel = self.kernel
         top = orders[0][0]
-        win_c = _Window("c", "st.c_bw", 2 * top + 1, top, k, kernel, cross=True)
-        win_r = _Window("r", "IF(right, st.range_r, st.range_l)", 2 * (top + 1), top + 1, k, kernel, cross=False)
+        states = self.totals(bwcheck)
+
+        def pilot_sums(st, rows):
+            reach = st["range_r"] if rows.right else st["range_l"]
+            own = rows.window("c", st["c_bw"], 2 * top + 1, top, kernel, cross=True)
+            return own | rows.window("r", reach, 2 * (top + 1), top + 1, kernel)
 
         def pilot_solve(st, left, right):
             out_a, out_s, out_b, out_d = [], [], [], []
@@ -301,23 +333,20 @@ class _Passes:
                 out_s.append(np.concatenate(s).tolist())
                 out_b.append(bc)
                 out_d.append(float(np.sqrt(2 * (o + 1 - nu)) * bc[0] * high))
-            return [out_a[0], out_a[1], out_s[0], out_s[1], out_b[0], out_b[1], out_d]
+            return {"al": out_a[0], "ar": out_a[1], "sl": out_s[0], "sr": out_s[1], "bl": out_b[0], "br": out_b[1], "db": out_d}
 
-        state = self._step(
-            self.totals(bwcheck), "st.bw_max", [*win_c.stages(), *win_r.stages()],
-            [*win_c.columns(), *win_r.columns()], pilot_solve,
-            "al array<double>, ar array<double>, sl array<double>, sr array<double>, bl array<double>, br array<double>, db array<double>",
-        )
+        self._step(states, lambda st: st["bw_max"], pilot_sums, pilot_solve)
 
-        by_side = {"a": F.expr("IF(right, st.ar, st.al)"), "s": F.expr("IF(right, st.sr, st.sl)")}
-        stages = [by_side, *M.neighbour_set("st.c_bw"), *win_c.stages()]
-        meat, at = [], 0
-        for i, (o, _) in enumerate(orders):
-            stages += [{f"s_{i}": F.expr(f"slice(s, {i * k + 1}, {k})")}, *M.residual_stages(f"r{i}", f"s_{i}", k)]
-            stages.append({f"weight{i}": F.expr(_poly("a", "c", o, at))})
-            meat.append(f"sum(weight{i} * weight{i} * r{i})")
-            at += o + 1
-        pilot_meat = [F.expr(f"array({', '.join(meat)})").alias("V")]
+        def meat(st, rows):
+            a, vs = (st[c + ("r" if rows.right else "l")] for c in "as")
+            powers = rows.powers(st["c_bw"], max(o for o, _ in orders), kernel)
+            residuals = rows.residuals([vs[i * k : (i + 1) * k] for i in range(len(orders))], st["c_bw"])
+            out, at = [], 0
+            for (o, _), r in zip(orders, residuals):
+                weight = np.asarray(a[at : at + o + 1]) @ powers[: o + 1]
+                out.append(weight @ (weight * r))
+                at += o + 1
+            return {"V": np.array(out)}
 
         def clamp(st, h):
             return float(max(min(h, st["bw_max"]), st["bw_min"]))
@@ -326,17 +355,19 @@ class _Passes:
             v = [(2 * nu + 1) * st["c_bw"] * (left["V"][i] + right["V"][i]) for i, (_, nu) in enumerate(orders)]
             o = orders[0][0]
             d_bw = (v[0] / (st["db"][1] - st["db"][0]) ** 2) ** (1 / (2 * o + 3))
-            return [v, clamp(st, d_bw)]
+            return {"v": v, "d_bw": clamp(st, d_bw)}
 
-        state = self._step(state, "st.c_bw", stages, pilot_meat, pilot_finish, "v array<double>, d_bw double")
+        self._step(states, lambda st: st["c_bw"], meat, pilot_finish, near=True)
 
-        def refine(state: DataFrame, which: int, window: str, out: str) -> DataFrame:
+        def refine(which: int, window: str, out: str) -> None:
             o, nu = orders[which]
             o_b = o + 1
-            h = f"st.{window}"
-            win = _Window("w", h, 2 * o_b, o_b, k, kernel, cross=False)
-            squares = ", ".join(f"sum(w0 * w{i} * r)" for i in range(2 * o_b + 1))
-            sums = [*win.columns(), F.expr(f"array({squares})").alias("Q")]
+
+            def sums(st, rows):
+                v = st["sr" if rows.right else "sl"][which * k : (which + 1) * k]
+                powers = rows.powers(st[window], 2 * o_b, kernel)
+                (r,) = rows.residuals([v], st[window])
+                return rows.window("w", st[window], 2 * o_b, o_b, kernel) | {"Q": powers @ (powers[0] * r)}
 
             def solve(st, left, right):
                 bias, reg = [], []
@@ -351,25 +382,25 @@ class _Passes:
                     bias.append(np.sqrt(2 * (o + 1 - nu)) * bc * high)
                     reg.append(2 * (o + 1 - nu) * 3 * bc**2 * var)
                 bottom = (bias[1] - bias[0]) ** 2 + regularise * (reg[0] + reg[1])
-                return [clamp(st, (st["v"][which] / bottom) ** (1 / (2 * o + 3)))]
+                return {out: clamp(st, (st["v"][which] / bottom) ** (1 / (2 * o + 3)))}
 
-            s_side = F.expr(f"slice(IF(right, st.sr, st.sl), {which * k + 1}, {k})")
-            stages = [{"s": s_side}, *M.neighbour_set(h), *M.residual_stages("r", "s", k), *win.stages()]
-            return self._step(state, h, stages, sums, solve, f"{out} double")
+            self._step(states, lambda st: st[window], sums, solve, near=True)
 
-        state = refine(state, 1, "d_bw", "b")
-        state = refine(state, 2, "b", "h")
-        return state.select(*self.keys, "Obs", "h", "b", "reason")
+        refine(1, "d_bw", "b")
+        refine(2, "b", "h")
+        return states
 
     # ---- estimates ------------------------------------------------------------------------------
 
-    def fit(self, state: DataFrame, by: Sequence[str]) -> DataFrame:
-        """Estimates for every row of ``state`` (keys, ``by``, ``Obs``, ``h``, ``b``)."""
+    def fit(self, states: list[dict]) -> None:
+        """Estimates and errors for every state with ``h`` and ``b``."""
         k, n_y, fuzzy, p, q, kernel = self.k, self.n_y, self.fuzzy, self.p, self.q, self.kernel
-        reach = "greatest(st.h, st.b)"
-        win_h = _Window("h", "st.h", 2 * p + 1, p, k, kernel, cross=True)
-        win_b = _Window("b", "st.b", 2 * q, q, k, kernel, cross=False)
-        windows = [*win_h.stages(), *win_b.stages()]
+
+        def reach(st):
+            return max(st["h"], st["b"])
+
+        def sums(st, rows):
+            return rows.window("h", st["h"], 2 * p + 1, p, kernel, cross=True) | rows.window("b", st["b"], 2 * q, q, kernel)
 
         def solve(st, left, right):
             ratio = (st["h"] / st["b"]) ** (p + 1)
@@ -395,28 +426,62 @@ class _Passes:
             else:
                 tau, tau_bc = float(jump @ s), float(jump_bc @ s)
             coefs = [np.concatenate([side[0], side[1]]).tolist() for side in sides]
-            return [tau, tau_bc, s.tolist(), coefs[0], coefs[1]]
+            return {"tau": tau, "tau_bc": tau_bc, "s": s, "wl": coefs[0], "wr": coefs[1]}
 
-        state = self._step(state, reach, windows, [*win_h.columns(), *win_b.columns()], solve, "tau double, tau_bc double, s array<double>, wl array<double>, wr array<double>", by)
+        self._step(states, reach, sums, solve)
 
-        stages = [{"w": F.expr("IF(right, st.wr, st.wl)")}, *windows, *M.neighbour_set(reach), *M.residual_stages("r", "st.s", k)]
-        stages += [{"plain": F.expr(_poly("w", "h", p))}, {"corrected": F.expr(f"plain - ({_poly('w', 'b', q, p + 1)})")}]
-        meat = [
-            F.expr("sum(plain * plain * r)").alias("v_cl"),
-            F.expr("sum(corrected * corrected * r)").alias("v_rb"),
-            F.expr("CAST(sum(IF(h0 > 0, n, 0)) AS double)").alias("n_h"),
-        ]
+        def meat(st, rows):
+            w = np.asarray(st["wr" if rows.right else "wl"])
+            powers = rows.powers(st["h"], p, kernel)
+            plain = w[: p + 1] @ powers
+            corrected = plain - w[p + 1 :] @ rows.powers(st["b"], q, kernel)
+            (r,) = rows.residuals([st["s"]], reach(st))
+            return {"v": np.array([plain @ (plain * r), corrected @ (corrected * r), rows.n[powers[0] > 0].sum()])}
 
         def finish(st, left, right):
-            if st["tau"] is None:
-                return [None] * 6
-            se, se_rb = np.sqrt(left["v_cl"] + right["v_cl"]), np.sqrt(left["v_rb"] + right["v_rb"])
-            eff = int(left["n_h"] + right["n_h"])
+            v = left["v"] + right["v"]
+            se, se_rb = float(np.sqrt(v[0])), float(np.sqrt(v[1]))
             zs = [st["tau"] / se, st["tau_bc"] / se, st["tau_bc"] / se_rb] if se > 0 and se_rb > 0 else [None] * 3
-            return [float(se), float(se_rb), eff, *[p_normal(z) for z in zs]]
-
-        return self._step(state, reach, stages, meat, finish,
-                          "se double, se_rb double, eff_obs bigint, p1 double, p2 double, p3 double", by)
+            ps = dict(zip(("p1", "p2", "p3"), (None if z is None else float(p_normal(z)) for z in zs)))
+            return {"se": se, "se_rb": se_rb, "eff_obs": round(v[2]), **ps}
+
+        self._step(states, reach, meat, finish, near=True)
+
+
+def _moments(specs: dict[str, list], pairs: dict[tuple[int, int], int], sums: Callable):
+    """Sums of a task's mass points for each specification and side."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total: dict[tuple[int, bool], dict[str, np.ndarray]] = {}
+        for batch in batches:
+            keys = batch.column("_key").dictionary_encode()
+            codes = keys.indices.to_numpy()
+            arrays = {c: batch.column(c).to_numpy() for c in ("x", "n")}
+            for c in batch.schema.names:
+                if c in ("s", "q", "near"):
+                    arrays[c] = batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = arrays["x"]
+            for code, key in enumerate(keys.dictionary.to_pylist()):
+                for i, st, reach, variables in specs.get(key, ()):
+                    inside = (codes == code) & (np.abs(x) <= reach)
+                    for right in (False, True):
+                        at = np.flatnonzero(inside & ((x >= 0) == right))
+                        if not len(at):
+                            continue
+                        held = total.setdefault((i, right), {})
+                        for name, values in sums(st, _Rows(arrays, at, right, variables, pairs)).items():
+                            held[name] = held[name] + values if name in held else values
+        for (i, right), own in total.items():
+            for name, values in own.items():
+                n = len(values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i] * n, pa.int32()), pa.array([right] * n), pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array(values, pa.float64())],
+                    names=["spec", "right", "name", "at", "value"],
+                )
+
+    return run
 
 
 def rd_result_rows(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -439,26 +504,79 @@ def rd_result_rows(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _points(df: DataFrame, y: str, x: str, covs: Sequence[str], take_up: str | None, by: Sequence[str], c: float,
-            within: float | None, block: int, **bucket_args):
-    d = [col(y), *([col(take_up)] if take_up else []), *[col(z) for z in covs]]
-    keys = list(by) or ["_all"]
-    run = (col(x) - F.lit(float(c))).cast("double")
-    base = df.withColumn("_all", F.lit(1)) if not by else df
-    rows = base.select(*keys, run.alias("_run"), *[v.cast("double").alias(f"_d{i}") for i, v in enumerate(d)])
-    names = [f"_d{i}" for i in range(len(d))]
-    rows = rows.dropna(subset=[*keys, "_run", *names])
-    points = M.prepare(rows, [F.col(n) for n in names], keys, block, x="_run", **bucket_args)
-    return points, keys, len(d), 2 if take_up else 1
+class RdPoints:
+    """Mass points of all outcomes of one call, written once; several designs can be estimated from them."""
+
+    def __init__(self, df: DataFrame, outcomes: Sequence[str], x: str, covs: Sequence[str] = (), take_up: str | None = None,
+                 by: Sequence[str] = (), c: float = 0.0, block: int = M.BLOCK, **bucket_args):
+        self.keys, self.outcomes = list(by), list(outcomes)
+        shared = [*([take_up] if take_up else []), *covs]
+        self.take_up = len(outcomes) if take_up else None
+        self.covs = list(range(len(outcomes) + bool(take_up), len(outcomes) + len(shared)))
+        ys, zs = [f"_y{i}" for i in range(len(outcomes))], [f"_d{i}" for i in range(len(shared))]
+        rows = df.select(
+            *[col(k) for k in by], (col(x) - F.lit(float(c))).cast("double").alias("_run"),
+            *[col(o).cast("double").alias(name) for o, name in zip([*outcomes, *shared], [*ys, *zs])],
+        ).dropna(subset=[*by, "_run", *zs])
+        points, self.classes = M.prepare(rows, ys, zs, by, block, "_run", **bucket_args)
+        key = F.to_json(F.struct(*[col(k).cast("string").alias(f"k{i}") for i, k in enumerate([*by, "_class"])]))
+        self.table = points.withColumn("_key", key)
+        self.pairs = {pair: i for i, pair in enumerate(M.product_pairs(len(ys), len(ys) + len(zs)))}
+        self.spark = df.sparkSession
+
+    def where(self, condition: Column) -> "RdPoints":
+        """The specifications whose keys meet the condition."""
+        out = object.__new__(RdPoints)
+        out.__dict__.update(self.__dict__, table=self.table.where(condition))
+        return out
+
+    def bandwidths(self, take_up: bool = False, covs: bool = True, p: int = 1, kernel: str = "triangular", bwcheck: int | None = None) -> DataFrame:
+        """``h`` and ``b`` for each outcome and specification."""
+        states = _Passes(self, take_up, covs, p, p + 1, kernel).bandwidth(bwcheck)
+        fields = T.StructType([*self._key_fields(), *_fields("Obs long, h double, b double, reason string")])
+        return self.spark.createDataFrame([self._row(st, fields) for st in states], fields)
+
+    def fits(self, take_up: bool = False, covs: bool = True, h: float | None = None, b: float | None = None, multiples: Sequence[float] = (1.0,),
+             p: int = 1, kernel: str = "triangular", bwcheck: int | None = None) -> DataFrame:
+        """Three rows for each outcome, specification and multiple of the bandwidth; see :func:`rd_sharp`."""
+        passes = _Passes(self, take_up, covs, p, p + 1, kernel)
+        states = passes.bandwidth(bwcheck) if h is None else passes.given(float(h), float(b if b is not None else h))
+        states = [
+            {**st, "multiple": float(m)} | ({} if st["reason"] else {"h": st["h"] * m, "b": st["b"] if m == 1 else st["h"] * m})
+            for st in states for m in multiples
+        ]
+        passes.fit(states)
+        fields = T.StructType([*self._key_fields(), *_fields(
+            "multiple double, Obs double, h double, b double, reason string, tau double, tau_bc double, se double, se_rb double, eff_obs long, p1 double, p2 double, p3 double"
+        )])
+        fits = self.spark.createDataFrame([self._row(st, fields) for st in states], fields)
+        return rd_result_rows(fits, [*self.keys, "outcome", "multiple"])
+
+    def _key_fields(self) -> list[T.StructField]:
+        return [*[self.table.schema[k] for k in self.keys], T.StructField("outcome", T.StringType())]
+
+    @staticmethod
+    def _row(st: dict, fields: T.StructType) -> tuple:
+        """The state's values as Python numbers; what is not finite is missing."""
+        out = []
+        for f in fields:
+            v = st.get(f.name)
+            if isinstance(v, (float, np.floating)):
+                v = (int(v) if isinstance(f.dataType, T.LongType) else float(v)) if np.isfinite(v) else None
+            out.append(v)
+        return tuple(out)
+
+
+def _fields(ddl: str) -> list[T.StructField]:
+    return T.StructType.fromDDL(ddl).fields
 
 
 def rd_bandwidth(df: DataFrame, y: str, x: str, covs: Sequence[str] = (), take_up: str | None = None, by: Sequence[str] = (),
                  c: float = 0.0, p: int = 1, kernel: str = "triangular", bwcheck: int | None = None, block: int = M.BLOCK,
                  **bucket_args) -> DataFrame:
     """MSE-optimal bandwidths ``h`` (estimate) and ``b`` (bias) per specification."""
-    points, keys, k, n_y = _points(df, y, x, covs, take_up, by, c, None, block, **bucket_args)
-    out = _Passes(points, keys, k, n_y, p, p + 1, kernel).bandwidth(bwcheck)
-    return out.select(*by, F.col("Obs").cast("bigint").alias("Obs"), "h", "b", "reason")
+    points = RdPoints(df, [y], x, covs, take_up, by, c, block, **bucket_args)
+    return points.bandwidths(bool(take_up), p=p, kernel=kernel, bwcheck=bwcheck).drop("outcome")
 
 
 def rd_sharp(df: DataFrame, y: str, x: str, covs: Sequence[str] = (), take_up: str | None = None, by: Sequence[str] = (),
@@ -468,23 +586,11 @@ def rd_sharp(df: DataFrame, y: str, x: str, covs: Sequence[str] = (), take_up: s
 
     Rows at the cutoff belong to the right side; rows with a missing value are left out. Without ``h``
     the MSE-optimal bandwidth is taken; a multiple of it other than 1 is a given bandwidth with ``b = h``.
-    ``by`` holds specification columns enumerated by the caller: one small state row per specification
-    is broadcast in each pass. ``take_up`` turns the estimate into the ratio of two jumps (fuzzy).
+    ``by`` holds specification columns enumerated by the caller: the driver holds one small state per
+    specification. ``take_up`` turns the estimate into the ratio of two jumps (fuzzy).
     """
-    points, keys, k, n_y = _points(df, y, x, covs, take_up, by, c, None, block, **bucket_args)
-    passes = _Passes(points, keys, k, n_y, p, p + 1, kernel)
-    if h is None:
-        state = passes.bandwidth(bwcheck)
-    else:
-        state = points.groupBy(*keys).agg(F.sum("n").cast("double").alias("Obs"))
-        state = state.withColumns({"h": F.lit(float(h)), "b": F.lit(float(b if b is not None else h)), "reason": F.lit(None).cast("string")})
-    ways = F.array(*[F.lit(float(m)) for m in multiples])
-    state = state.withColumn("multiple", F.explode(ways)).select(
-        *keys, "multiple", "Obs", "reason",
-        (F.col("h") * F.col("multiple")).alias("h"),
-        F.when(F.col("multiple") == 1, F.col("b")).otherwise(F.col("h") * F.col("multiple")).alias("b"),
-    )
-    return rd_result_rows(passes.fit(state, ["multiple"]), [*by, "multiple"])
+    points = RdPoints(df, [y], x, covs, take_up, by, c, block, **bucket_args)
+    return points.fits(bool(take_up), True, h, b, multiples, p, kernel, bwcheck).drop("outcome")
 
 
 def rd_fuzzy(df: DataFrame, y: str, x: str, take_up: str, **args) -> DataFrame:

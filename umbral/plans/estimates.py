@@ -70,9 +70,8 @@ def rd_fuzzy_ratio(t):
 @query("rd_bandwidth")
 def rd_bandwidth(t):
     """Data-driven bandwidths per outcome, with covariates."""
-    long = G._long(score_sample(t), G.MAIN_OUTCOMES, "score_centered", G.MAIN_COVARIATES, [])
-    zs = [f"_z{i}" for i in range(len(G.MAIN_COVARIATES))]
-    return _rounded(R.rd_bandwidth(long, "y", "_x", zs, by=["outcome"]), h=6, b=6)
+    points = R.RdPoints(score_sample(t), G.MAIN_OUTCOMES, "score_centered", G.MAIN_COVARIATES)
+    return _rounded(points.bandwidths(), h=6, b=6)
 
 
 @query("rd_covariates_grid")
