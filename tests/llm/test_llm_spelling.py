@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from umbral.llm import spelling
-from umbral.llm.spelling import KdTree, counts_of, letters_of, near_pairs, one_more, spelling_forms
+from umbral.llm.spelling import KdTree, Steps, counts_of, letters_of, near_pairs, one_more, spelling_forms
 
 SCHEMA = "doc_id long, text string, word string, n int, form string"
 
@@ -122,7 +122,8 @@ def test_tree_prunes_and_loses_nothing(longer):
     reach = 1 if longer else 2
     looked_at = sum(len(rows) * len(tree.leaves[leaf]) for leaf, rows in tree.within(own_points, reach))
     assert looked_at < 700 * 1500 / 3
-    got = sorted((int(q), int(p)) for a, b in near_pairs(tree, points, letters, own_points, own_letters) for q, p in zip(a, b))
+    steps = Steps(points)
+    got = sorted((int(q), int(p)) for a, b in near_pairs(tree, steps, steps.of(points), letters, own_points, own_letters) for q, p in zip(a, b))
     want = sorted((q, p) for q, w in enumerate(asked) for p, v in enumerate(own) if (v in {w[:i] + w[i + 1 :] for i in range(7)} if longer else sum(x != y for x, y in zip(w, v)) == 1))
     assert got == want
 

@@ -25,7 +25,9 @@ DIMS = 32
 #: the boxes are made from.
 BOX, BLOCK, BLOCK_BYTES, SAMPLE = 8192, 16_384, 8 << 20, 1 << 18
 #: Words in a leaf of the tree that is searched within a box; words of the sample for a box at least.
-LEAF, SAMPLE_BOX = 32, 8
+LEAF, SAMPLE_BOX = 128, 8
+#: Letters' steps that are multiplied; words with more of them are compared count by count.
+STEPS = 512
 #: Cells of a comparison in memory at once.
 CELLS = 1 << 22
 
@@ -130,21 +132,45 @@ class KdTree:
                     ways.append((child, rows[near], farther, far[near]))
 
 
-def near_pairs(tree: KdTree, points, letters, own_points, own_letters):
+class Steps:
+    """Counts as steps: a one for each letter and each number up to its count. The product of two words' steps
+    is the number of letters that they share."""
+
+    def __init__(self, points):
+        import numpy as np
+
+        most = points.max(axis=0)
+        self.letter = np.repeat(np.arange(DIMS), most)
+        self.step = np.concatenate([np.arange(1, m + 1) for m in most.tolist()])
+        self.narrow = len(self.step) <= STEPS
+
+    def of(self, counts):
+        import numpy as np
+
+        return (counts[:, self.letter] >= self.step).astype(np.float32) if self.narrow else counts
+
+    def shared(self, a, b):
+        """Letters that each of ``a`` shares with each of ``b``."""
+        import numpy as np
+
+        return a @ b.T if self.narrow else np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2)
+
+
+def near_pairs(tree: KdTree, steps: Steps, point_steps, letters, own_points, own_letters):
     """Rows (query, point) one edit apart; all points have one length, queries the same or one letter more."""
     import numpy as np
 
-    longer = own_letters.shape[1] - letters.shape[1]
-    reach = 1 if longer else 2
-    for leaf, rows in tree.within(own_points, reach):
+    length = letters.shape[1]
+    longer = own_letters.shape[1] - length
+    own_steps = steps.of(own_points)
+    for leaf, rows in tree.within(own_points, 1 if longer else 2):
         members = tree.leaves[leaf]
-        step = max(1, CELLS // (DIMS * len(members)))
+        step = max(1, CELLS // (len(members) * (1 if steps.narrow else DIMS)))
         for start in range(0, len(rows), step):
             part = rows[start : start + step]
-            apart = np.abs(own_points[part][:, None, :] - points[members][None, :, :]).sum(axis=2)
-            q, p = np.nonzero(apart <= reach)
+            q, p = np.nonzero(steps.shared(own_steps[part], point_steps[members]) >= (length if longer else length - 1))
             q, p = part[q], members[p]
-            width = max(1, CELLS // letters.shape[1])
+            width = max(1, CELLS // length)
             for at in range(0, len(q), width):
                 a, b = own_letters[q[at : at + width]], letters[p[at : at + width]]
                 near = one_more(a, b) if longer else (a != b).sum(axis=1) == 1
@@ -250,7 +276,7 @@ def _search(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     cell, words, counts, tree = None, [], [], None
-    points = letters = None
+    steps = point_steps = letters = None
     for batch in batches:
         cells, kinds = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
         texts, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
@@ -269,12 +295,13 @@ def _search(batches: Iterator) -> Iterator:
             if tree is None:
                 letters = letters_of(words)
                 points = counts_of(letters)
-                tree = KdTree(points, LEAF)
+                tree, steps = KdTree(points, LEAF), Steps(points)
+                point_steps = steps.of(points)
             step = max(1, BLOCK_BYTES // len(texts[a]))
             for start in range(a, b, step):
                 own = texts[start : min(start + step, b)]
                 own_letters = letters_of(own)
-                for q, p in near_pairs(tree, points, letters, counts_of(own_letters), own_letters):
+                for q, p in near_pairs(tree, steps, point_steps, letters, counts_of(own_letters), own_letters):
                     pairs = [(own[i], words[j], int(n[start + i]), counts[j]) for i, j in zip(q.tolist(), p.tolist())]
                     if kinds[a] == 1:  # both words are queries here
                         pairs = [x for x in pairs if x[0] > x[1]]
