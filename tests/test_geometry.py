@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from umbral.functions import geometry as G
 from umbral.operators import projection as P
+from umbral.operators import rasters as R
 from umbral.operators import spatial as Z
 from umbral.sources.tables import RINGS
 
@@ -104,3 +105,87 @@ def test_other_zone_and_datum_are_dropped(spark):
     df = spark.createDataFrame([(d, z, 3.5e5, 5.6e6) for d, z in rows], "datum string, huso int, easting double, northing double")
     assert P.clean_coordinates(df).count() == 2
     assert P.clean_coordinates(df, strict=True).count() == 1
+
+
+def inside_ring(x, y, ring):
+    """Even-odd rule for arrays of points."""
+    import numpy as np
+
+    out = np.zeros(len(x), bool)
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+    return out
+
+
+def test_runs_are_the_cells(spark):
+    """Runs against fine samples of each cell; a hole, a slanted outline, another corner and cell size."""
+    import numpy as np
+
+    df = layer(spark, [[SLANT, HOLE], [SQUARE], None, []])
+    for grid in (R.Grid(), R.Grid(-0.35, 0.2, 0.7), R.Grid(1.0, -3.0, 5.0)):
+        runs = R.zone_runs(df, "id", {"a": grid}, band_rows=2).collect()
+        assert {r.id for r in runs} == {0, 1}
+        share = {(r.id, c, r.row): r.share for r in runs for c in range(r.col_from, r.col_to + 1)}
+        assert len(share) == sum(r.col_to - r.col_from + 1 for r in runs)
+        at = (np.arange(60) + 0.5) / 60
+        for col in range(-2, 12):
+            for row in range(-2, 12):
+                x, y = (v.ravel() for v in np.meshgrid(grid.x0 + (col + at) * grid.res, grid.y0 + (row + at) * grid.res))
+                for i, rings in ((0, (SLANT, HOLE)), (1, (SQUARE,))):
+                    hit = inside_ring(x, y, rings[0])
+                    for hole in rings[1:]:
+                        hit &= ~inside_ring(x, y, hole)
+                    assert abs(hit.mean() - share.get((i, col, row), 0.0)) < 0.02
+        one_by_one = Z.zone_cells(df, "id", x0=grid.x0, y0=grid.y0, res=grid.res).collect()
+        assert {(r.id, r["col"], r.row): r.share for r in one_by_one} == pytest.approx(share)
+
+
+def test_a_large_zone_is_many_tasks(spark):
+    """A million cells: a few runs for each row, dealt over the tasks, and the exact total."""
+    big = [(0.5, 0.25), (1000.5, 0.25), (1000.5, 1000.75), (0.5, 1000.75), (0.5, 0.25)]
+    df = layer(spark, [[big]])
+    runs = R.zone_runs(df, "id", {"a": R.Grid()}, partitions=8).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in runs}) > 1 and len(runs) == 3 * 1001
+    assert sum(r.share * (r.col_to - r.col_from + 1) for r in runs) == pytest.approx(1000 * 1000.5)
+    px = spark.range(1100).select(F.lit("a").alias("raster"), F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(1099))).alias("col"), (F.col("id") % 3).alias("class"))
+    stretches = R.raster_runs(px)
+    assert stretches.count() == 1100 * 18
+    cover = {r["class"]: r.cover for r in R.zonal_runs(df, px, "id", {"a": R.Grid()}).collect()}
+    assert sum(cover.values()) == pytest.approx(1000 * 1000.5) and cover[1] == pytest.approx(1000 * 333.75)
+
+
+def test_each_raster_has_its_own_system(spark):
+    """Zones in UTM on rasters in degrees and in the next zone, against projected sample points."""
+    import numpy as np
+
+    ring = [(230_300, 5_780_200), (236_700, 5_781_400), (233_900, 5_787_000), (230_300, 5_780_200)]
+    df = layer(spark, [[ring]])
+    own = R.Crs(19, "aust_SA")
+    grids = {"deg": R.Grid(-72.1, -38.2, 0.011, R.Crs(None, "aust_SA")), "utm18": R.Grid(745_000.0, 5_760_000.0, 900.0, R.Crs(18, "aust_SA")), "own": R.Grid(230_000.0, 5_780_000.0, 1000.0, own)}
+    runs = R.zone_runs(df, "id", grids, crs=own, step=200.0).collect()
+    for name, grid in grids.items():
+        share = {(c, r.row): r.share for r in runs if r.raster == name for c in range(r.col_from, r.col_to + 1)}
+        assert len(share) > 20
+        at = (np.arange(25) + 0.5) / 25
+        cells = [(c, r) for c, r in share] + [(c + 1, r) for c, r in share if (c + 1, r) not in share]
+        xs, ys = zip(*[(grid.x0 + (c + a) * grid.res, grid.y0 + (r + b) * grid.res) for c, r in cells for a in at for b in at])
+        points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(xs, ys))], "i int, x double, y double")
+        placed = points.select("i", R.projected(F.col("x"), F.col("y"), grid.crs, own).alias("p")).orderBy("i").select("p.*").toPandas()
+        hit = inside_ring(placed.x.to_numpy(), placed.y.to_numpy(), ring).reshape(len(cells), -1).mean(axis=1)
+        for cell, mean in zip(cells, hit):
+            assert abs(mean - share.get(cell, 0.0)) < 0.04
+    with pytest.raises(ValueError):
+        R.zone_runs(df, "id", grids, crs=own)
+
+
+def test_many_classes_without_a_label(spark, monkeypatch):
+    """Beyond the number of columns, what has no label goes to a map, exactly."""
+    monkeypatch.setattr(Z, "MAX_CODES", 3)
+    zones = layer(spark, [[SQUARE], [[(9, 9), (9.5, 9), (9.5, 9.5), (9, 9.5), (9, 9)]]])
+    cells = [("a", c, r, 4 * r + c if (c, r) != (3, 3) else None) for c in range(4) for r in range(4)] + [("b", 0, 0, 1)]
+    px = spark.createDataFrame(cells, "raster string, col int, row int, class int")
+    out = {r.id: r for r in Z.zonal_class_sum(zones, px, "id", {"a": {"0": "zero"}, "b": {}}, {}, total_of="a").collect()}
+    assert out[0].zero == 1.0 and out[0].pixels_count == 16.0
+    assert out[0].unlabelled == {**{f"a:{i}": 1.0 for i in range(1, 15)}, "a": 1.0, "b:1": 1.0}
+    assert out[1].zero == 0.0 and not out[1].unlabelled
