@@ -12,7 +12,7 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # ------------------------------------------------------------------------------------------------------
 #: Words, and chunks between spaces, kept at most by a worker; more of them change no result.
-CACHE = 400_000
+CACHE = 160_000
 END_ID = 1
 
 
