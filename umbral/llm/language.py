@@ -18,6 +18,8 @@ POWER = 0.1
 ALPHA = 4.0
 #: Below this posterior, or without any letter, a language is undetermined.
 LEAST = 0.5
+#: Bytes of text that are worked on at once, a single text aside.
+SLICE = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -48,7 +50,7 @@ def _count(batches: Iterator) -> Iterator:
 
     totals: dict[str, np.ndarray] = {}
     for whole in batches:
-        for batch in slices(whole, size=4 << 20):
+        for batch in slices(whole, size=SLICE):
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = np.array(batch.column("text").to_pylist(), object)
             for lang in set(langs.tolist()):
@@ -83,7 +85,7 @@ def _score(model):
         import pyarrow as pa
 
         for whole in batches:
-            for batch in slices(whole, size=4 << 20):
+            for batch in slices(whole, size=SLICE):
                 cells, at = _cells(batch.column("text").to_pylist())
                 sums = np.empty((batch.num_rows, len(model)))
                 for i, row in enumerate(model):
@@ -113,22 +115,25 @@ def fuse(rows: DataFrame, langs: list[str], alpha: float = ALPHA, power: float =
     size = len(langs)
     zero = F.array(*[F.lit(0.0)] * size)
     top = F.array_position("text_log", F.array_max("text_log")).cast("int") - 1
-    rows = rows.withColumn("own", F.when(F.col("n_letters") > 0, top).otherwise(F.lit(-1)))
-    one = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == F.col("own")).cast("double"))
-    rows = materialise(rows.withColumn("one", one))
+    rows = materialise(rows.withColumn("own", F.when(F.col("n_letters") > 0, top).otherwise(F.lit(-1))))
+    # what speaks beside the text is the same for all rows of a combination, and worked out once for it
+    known = ["host", "declared", "own"]
+    combined = rows.groupBy(*known, "domain", "suffix").agg(F.count(F.lit(1)).cast("double").alias("n_rows"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == F.col("own"), F.col("n_rows")).otherwise(F.lit(0.0)))
+    combined = materialise(combined.withColumn("one", each))
 
     def counted(keys: list[str], name: str, table: DataFrame) -> DataFrame:
         sums = [F.sum(F.col("one")[i]).alias(f"s{i}") for i in range(size)]
         return table.groupBy(*keys).agg(*sums).select(*keys, F.array(*[F.col(f"s{i}") for i in range(size)]).alias(name))
 
-    hosts = materialise(counted(["host", "domain", "suffix"], "by_host", rows))
+    hosts = materialise(counted(["host", "domain", "suffix"], "by_host", combined))
     above = hosts.withColumnRenamed("by_host", "one")
     hosts = hosts.join(counted(["domain", "suffix"], "by_domain", above), ["domain", "suffix"]).join(counted(["suffix"], "by_suffix", above), ["suffix"])
     total = F.broadcast(above.agg(F.array(*[F.coalesce(F.sum(F.col("one")[i]), F.lit(0.0)) for i in range(size)]).alias("by_all")))
-    declared = counted(["declared"], "by_declared", rows)
+    declared = counted(["declared"], "by_declared", combined)
 
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    less = lambda xs: F.zip_with(xs, F.col("one"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
+    less = lambda xs: F.zip_with(xs, F.sequence(F.lit(0), F.lit(size - 1)), lambda a, i: F.greatest(a - (i == F.col("own")).cast("double"), F.lit(0.0)))
 
     def smooth(counts: Column, prior: Column) -> Column:
         return F.zip_with(counts, prior, lambda n, p: (n + F.lit(alpha) * p) / (add(counts) + F.lit(alpha)))
@@ -137,19 +142,21 @@ def fuse(rows: DataFrame, langs: list[str], alpha: float = ALPHA, power: float =
         """log P(evidence | language), smoothed towards the evidence's overall share."""
         return F.zip_with(counts, all_, lambda n, m: F.log((n + F.lit(alpha) * share) / (m + F.lit(alpha))))
 
-    joined = rows.join(hosts, ["host", "domain", "suffix"]).join(declared, "declared").crossJoin(total)
+    joined = combined.join(hosts, ["host", "domain", "suffix"]).join(declared, "declared").crossJoin(total)
     for level in ("host", "domain", "suffix", "declared", "all"):
         joined = joined.withColumn(f"by_{level}", less(F.col(f"by_{level}")))
     joined = joined.withColumn("p_all", F.transform("by_all", lambda n: (n + 1.0) / (add(F.col("by_all")) + float(size))))
     for level, over in (("suffix", "all"), ("domain", "suffix"), ("host", "domain")):
         joined = joined.withColumn(f"p_{level}", smooth(F.col(f"by_{level}"), F.col(f"p_{over}")))
     share = lambda counts: (add(counts) + 1.0) / (add(F.col("by_all")) + 2.0)
-    logs = F.col("text_log")
-    logs = F.zip_with(F.transform(logs, lambda x: x * F.lit(power)), F.transform("p_host", lambda p: F.log(p)), lambda a, b: a + b)
+    logs = F.transform("p_host", lambda p: F.log(p))
     logs = F.zip_with(logs, F.when(F.col("declared") == "", zero).otherwise(spoken(F.col("by_declared"), F.col("by_all"), share(F.col("by_declared")))), lambda a, b: a + b)
     logs = F.zip_with(logs, F.when(F.col("suffix") == "", zero).otherwise(spoken(F.col("by_suffix"), F.col("by_all"), share(F.col("by_suffix")))), lambda a, b: a + b)
+    evidence = materialise(joined.select(*known, logs.alias("evidence")))
     names = F.array(*[F.lit(x) for x in langs])
-    scored = joined.withColumn("posteriors", _softmax(logs)).withColumn("posterior", F.array_max("posteriors"))
+    logs = F.zip_with("text_log", "evidence", lambda x, e: x * F.lit(power) + e)
+    joined = rows.join(evidence, known).withColumn("logs", logs)
+    scored = joined.withColumn("posteriors", _softmax(F.col("logs"))).withColumn("posterior", F.array_max("posteriors"))
     best = F.element_at(names, F.array_position("posteriors", F.col("posterior")).cast("int"))
     sure = (F.col("posterior") >= least) & (F.col("n_letters") > 0)
     return scored.select(
