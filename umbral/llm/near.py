@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbral.llm.common import materialise, mix, text_of
+from umbral.llm.common import materialise, mix, part_count, text_of
 from umbral.llm.components import components
 from umbral.llm.suffixes import FILTER_BITS, fixed_filter
 from umbral.llm.tokens import slices
@@ -25,9 +25,11 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Texts that are compared all with all in one task: so many, and, a single text aside, so many bytes.
 BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 20
+#: Nodes that are compared with one copy of their hub's text.
+SHARE = 512
 COLUMNS = 8192
-CACHE = 300_000
-SLICE = 8 << 20
+CACHE = 160_000
+SLICE = 4 << 20
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -166,37 +168,47 @@ def _texts_of(shared, words: int):
 
 
 def _verify(threshold: float, words: int):
-    """Pairs of texts whose bags are similar enough, by their exact overlap."""
+    """Pairs of texts whose bags are similar enough, by their exact overlap. Rows come by hub and share of its
+    nodes, the hub's own text (no ``node``) first, so that it is read once for a share."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        hashes, held = Hashes(), {}
-
-        def bag(node, text):
-            if node not in held:
-                if len(held) >= 64:
-                    held.pop(next(iter(held)))
-                held[node] = bags([text], hashes, words)[1:]
-            return held[node]
-
+        hashes, own, bag = Hashes(), None, None
         for batch in batches:
             keep = []
-            hubs, nodes = batch.column("hub").to_pylist(), batch.column("node").to_pylist()
-            for i, (hub, node) in enumerate(zip(hubs, nodes)):
-                a, m = bag(hub, batch.column("hub_text")[i].as_py() if hub not in held else None)
-                b, n = bags([batch.column("text")[i].as_py()], hashes, words)[1:]
+            hubs, shares, nodes = (batch.column(c).to_pylist() for c in ("hub", "share", "node"))
+            for i, (hub, share, node) in enumerate(zip(hubs, shares, nodes)):
+                found = bags([batch.column("text")[i].as_py()], hashes, words)[1:]
+                if node is None:
+                    own, bag = (hub, share), found
+                    continue
+                if own != (hub, share):
+                    raise ValueError("a share without its hub's text")
+                (a, m), (b, n) = bag, found
                 _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
                 both = int(np.minimum(m[x], n[y]).sum())
                 if both / (int(m.sum()) + int(n.sum()) - both) >= threshold:
                     keep.append(i)
-            own = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("hub").take(own), batch.column("node").take(own)], names=["hub", "node"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("hub").take(at), batch.column("node").take(at)], names=["hub", "node"])
 
     return run
 
 
+def _with_hub_texts(fitting: DataFrame, found: DataFrame) -> DataFrame:
+    """``hub, share, node, text``: the nodes of each hub in shares of about ``SHARE``, each with the hub's text once."""
+    sizes = fitting.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    shared = fitting.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(SHARE))).alias("share"), "node")
+    shared = materialise(shared)
+    heads = shared.select("hub", "share").distinct().join(found.select(F.col("node").alias("hub"), "text"), "hub")
+    rows = shared.join(found, "node").select("hub", "share", "node", "text")
+    rows = rows.unionByName(heads.select("hub", "share", F.lit(None).cast("long").alias("node"), "text"))
+    n = part_count(fitting.sparkSession)
+    return rows.repartition(n, "hub", "share").sortWithinPartitions("hub", "share", F.asc_nulls_first("node"))
+
+
 def _blocks(batches: Iterator) -> Iterator:
     """Consecutive rows as blocks of bounded size."""
     import pyarrow as pa
@@ -316,7 +328,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = members.join(hubs, "bucket").where(F.col("node") != F.col("hub"))
     fits = F.least("weight", "hub_weight") >= F.lit(threshold) * F.greatest("weight", "hub_weight")
     fitting = pairs.where(fits).select("hub", "node").distinct()
-    with_text = fitting.join(found, "node").join(found.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    with_text = _with_hub_texts(fitting, found)
     links = materialise(with_text.mapInArrow(_verify(threshold, words), "hub long, node long"))
     roots = materialise(components(links))
     # what is left: buckets whose nodes are not linked yet, in blocks of nodes that such buckets connect
