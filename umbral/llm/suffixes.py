@@ -32,6 +32,8 @@ WIDTH = REACH + LENGTH
 #: Distinct segments of a collection that one task builds (some 100 MB); larger ones are compared window by window,
 #: in a grouped count without any group in a task.
 COLLECTION = 65_536
+#: Pairs of fingerprint and segment that a scan remembers, so as not to send their bytes again.
+SEEN = 1 << 17
 #: Segments whose columns are built together, at least.
 BATCH = 8192
 #: Bits of the filters that spare rows a shuffle; a false hit costs a row and changes nothing.
@@ -165,7 +167,8 @@ def _scan_places(shared):
 
 
 def _scan_segments(shared, others=None):
-    """Bytes of the segments whose fingerprint is in a filter but not in another, each once per task."""
+    """Bytes of the segments whose fingerprint is in a filter but not in another; repeated ones seldom, ``SEEN``
+    of them are remembered."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -183,6 +186,8 @@ def _scan_segments(shared, others=None):
                 fresh = []
                 for i, pair in enumerate(pairs):
                     if pair not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(pair)
                         fresh.append(i)
                 keep = keep[fresh]
