@@ -41,7 +41,7 @@ def test_sql(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(str, theirs))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op11_spelling_forms"}))  # which has a row for each word
 def test_one_row_per_document(spark, name):
     df = QUERIES[name](spark, FOLDER)
     key = "id" if "id" in df.columns else "doc_id"
