@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from umbral.functions.scalars import bin_count, bin_edges, bin_end, bin_mid, col, z_value
 from umbral.operators.aggregates import group_share
 from umbral.operators.filters import cross_1row
+from umbral.operators.joins import join_inner
 from umbral.operators.ranking import order_estimates
 from umbral.operators.regression import outcome_rows
 from umbral.session import materialise
@@ -189,28 +194,77 @@ def label_rows(labels: Mapping[str, Sequence[str]]) -> list[tuple[str, str, int,
     return out
 
 
-def _order_statistics(mass: DataFrame, wanted: DataFrame, keys: Sequence[str], cells: int) -> DataFrame:
-    """Distance ``_d`` of the ``_rank``-th nearest row from each ``xvals``, for every row of ``wanted``.
+def _per_point(mass: DataFrame, states: dict[tuple, np.ndarray], keys: Sequence[str], ddl: str, compute: Callable) -> DataFrame:
+    """One pass over the mass points: ``compute(x, n, s, state)`` gives rows for the grid points of each group.
+
+    The driver holds a few numbers for each grid point. A task works on one Arrow batch at a time and its result is
+    a row for each grid point and cell at most.
+    """
+    schema = T.StructType([*[mass.schema[k] for k in keys], *T.StructType.fromDDL(ddl).fields])
+
+    def run(batches):
+        for b in batches:
+            for key, g in b.groupby(list(keys), dropna=False, sort=False):
+                key = tuple(None if pd.isna(v) else v for v in key)
+                columns = compute(g["_x"].to_numpy(), g["_n"].to_numpy(), g["_s"].to_numpy(), states[key])
+                out = pd.DataFrame(columns)
+                for k, v in zip(keys, key):
+                    out[k] = v
+                yield out[schema.names]
+
+    return mass.mapInPandas(run, schema)
+
+
+def _order_statistics(mass: DataFrame, wanted: dict[tuple, np.ndarray], keys: Sequence[str], cells: int) -> dict[tuple, np.ndarray]:
+    """Distance of the k-th nearest row from each grid point; ``wanted``: per group, rows of (point, k).
 
     A bracket around the wanted distance is counted in ``cells`` equal cells per pass and narrowed to the
     distances that occur in the cell with the wanted rank, until only one is left. Memory is bounded by
     the cells, and every pass divides the bracket by their number, so a handful of passes are exact.
     """
-    ids = [*keys, "_i", "_rank"]
-    state = wanted.withColumns({"_lo": F.lit(0.0), "_hi": F.lit(float("inf")), "_below": F.lit(0.0)})
-    first = mass.join(state, list(keys)).groupBy(*ids).agg(F.max(F.abs(F.col("_x") - F.col("xvals"))).alias("_hi"))
-    state = materialise(state.drop("_hi").join(first, ids))
-    while not state.where("_lo < _hi").isEmpty():
-        open_ = state.where("_lo < _hi")
-        near = mass.join(open_, list(keys)).withColumn("_d", F.abs(F.col("_x") - F.col("xvals"))).where("_d BETWEEN _lo AND _hi")
-        cell = F.least(F.floor((F.col("_d") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1))
-        counts = near.groupBy(*ids, cell.alias("_cell")).agg(F.sum("_n").alias("_n"), F.min("_d").alias("_least"), F.max("_d").alias("_most"))
-        up_to = Window.partitionBy(*ids).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("_cum", F.sum("_n").over(up_to)).join(open_.select(*ids, "xvals", "_below"), ids)
-        found = counts.where((F.col("_below") + F.col("_cum") >= F.col("_rank")) & (F.col("_below") + F.col("_cum") - F.col("_n") < F.col("_rank")))
-        narrowed = found.select(*ids, "xvals", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), (F.col("_below") + F.col("_cum") - F.col("_n")).alias("_below"))
-        state = materialise(state.where("_lo = _hi").unionByName(narrowed))
-    return state.select(*ids, "xvals", F.col("_lo").alias("_d"))
+    # per group, for each wanted distance: point, rank, ends of the bracket, rows nearer than the bracket
+    states = {key: np.column_stack([v, np.zeros(len(v)), np.full(len(v), np.inf), np.zeros(len(v))]) for key, v in wanted.items()}
+
+    def farthest(x, n, s, state):
+        return {"_w": np.arange(len(state)), "_most": np.abs(state[:, 0] - np.array([[x.min()], [x.max()]])).max(axis=0)}
+
+    for r in _per_point(mass, states, keys, "_w int, _most double", farthest).groupBy(*keys, "_w").agg(F.max("_most").alias("_most")).collect():
+        states[tuple(r[k] for k in keys)][r["_w"], 3] = r["_most"]
+
+    def count(x, n, s, state):
+        out = []
+        for w in np.flatnonzero(state[:, 2] < state[:, 3]):
+            point, _, low, high, _ = state[w]
+            d = np.abs(x - point)
+            inside = (d >= low) & (d <= high)
+            d, own = d[inside], n[inside]
+            if not len(d):
+                continue
+            cell = np.minimum(np.floor((d - low) / (high - low) * cells), cells - 1).astype(np.int64)
+            found, at = np.unique(cell, return_inverse=True)
+            least, most = np.full(len(found), np.inf), np.full(len(found), -np.inf)
+            np.minimum.at(least, at, d)
+            np.maximum.at(most, at, d)
+            out.append((np.full(len(found), w), found, np.bincount(at, own), least, most))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 5
+        return dict(zip(("_w", "_cell", "_n", "_least", "_most"), columns))
+
+    while any((s[:, 2] < s[:, 3]).any() for s in states.values()):
+        counts = _per_point(mass, states, keys, "_w int, _cell int, _n double, _least double, _most double", count)
+        counts = counts.groupBy(*keys, "_w", "_cell").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+        up_to = Window.partitionBy(*keys, "_w").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        ranks = F.create_map(*[x for i, (key, s) in enumerate(states.items()) for x in (F.lit(i), F.array(*[F.lit(float(v)) for v in s[:, 1] - s[:, 4]]))])
+        group = reduce(lambda out, i: F.when(_is_group(keys, i[1]), F.lit(i[0])).otherwise(out), enumerate(states), F.lit(-1))
+        rank = F.get(F.try_element_at(ranks, group), F.col("_w"))
+        counts = counts.withColumns({"_cum": F.sum("_n").over(up_to), "_rank": rank})
+        for r in counts.where((F.col("_cum") >= F.col("_rank")) & (F.col("_cum") - F.col("_n") < F.col("_rank"))).collect():  # one for each distance
+            state = states[tuple(r[k] for k in keys)][r["_w"]]
+            state[2:] = r["_least"], r["_most"], state[4] + r["_cum"] - r["_n"]
+    return {key: s[:, 2] for key, s in states.items()}
+
+
+def _is_group(keys: Sequence[str], values: Sequence) -> Column:
+    return reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, values)])
 
 
 def side_smooth(
@@ -229,23 +283,39 @@ def side_smooth(
         F.count(F.lit(1)).cast("double").alias("_n"), F.sum(col(y).cast("double")).alias("_s")
     )
     mass = materialise(mass)
-    spread = mass.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_rows"))
-    grid = spread.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    grid = grid.withColumn("xvals", F.col("_lo") + F.col("_i") * (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1)))
-    grid = grid.withColumn("_at", (F.col("_rows") - 1) * F.lit(float(span)))
-    grid = materialise(grid.select(*keys, "_i", "xvals", "_at"))
-    wanted = grid.select(*keys, "_i", "xvals", F.explode(F.array_distinct(F.array(F.floor("_at") + 1.0, F.ceil("_at") + 1.0))).alias("_rank"))
+    spread = mass.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_rows")).collect()  # a row for each side
+    grid, wanted, ats = {}, {}, {}
+    for r in spread:
+        key = tuple(r[k] for k in keys)
+        grid[key] = r["_lo"] + np.arange(points) * (r["_hi"] - r["_lo"]) / float(points - 1)
+        ats[key] = at = (r["_rows"] - 1) * float(span)
+        wanted[key] = np.array([(x, k) for x in grid[key] for k in (np.floor(at) + 1, np.ceil(at) + 1)])
     found = _order_statistics(mass, wanted, keys, cells)
-    ends = found.groupBy(*keys, "_i").agg(F.min("_d").alias("_d0"), F.max("_d").alias("_d1"))
-    share = F.col("_at") - F.floor("_at")
-    width = grid.join(ends, [*keys, "_i"]).select(*keys, "_i", "xvals", (F.col("_d0") * (1 - share) + F.col("_d1") * share).alias("_q"))
-    w = mass.join(width, keys).withColumn("_u", (F.col("_x") - F.col("xvals")) / F.col("_q"))
-    inside = w.where(F.abs("_u") < 1).withColumn("_k", F.pow(1 - F.pow(F.abs("_u"), F.lit(3.0)), F.lit(3.0)))
-    u = F.col("_u")
-    powers = [F.lit(1.0), u, u * u, u * u * u, u * u * u * u]
-    sums = [F.sum(F.col("_k") * F.col("_n") * p).alias(f"_p{i}") for i, p in enumerate(powers)]
-    sums += [F.sum(F.col("_k") * F.col("_s") * p).alias(f"_r{i}") for i, p in enumerate(powers[:3])]
-    m = inside.groupBy(*keys, "_i").agg(F.first("xvals").alias("xvals"), *sums)
+    widths = {}
+    for key, d in found.items():
+        share = ats[key] - np.floor(ats[key])
+        widths[key] = np.column_stack([grid[key], d[0::2] * (1 - share) + d[1::2] * share])
+
+    def moments(x, n, s, state):
+        """Sums of the weight times powers of the scaled distance, and those times ``y``."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = (x[None, :] - state[:, :1]) / state[:, 1:]
+            k = np.where(np.abs(u) < 1, (1 - np.abs(u) ** 3) ** 3, 0.0)
+        u = np.where(k > 0, u, 0.0)
+        out = {"_i": np.arange(len(state))}
+        for i in range(5):
+            out[f"_p{i}"] = k @ n
+            if i < 3:
+                out[f"_r{i}"] = k @ s
+            k = k * u
+        return out
+
+    names = [f"_p{i}" for i in range(5)] + [f"_r{i}" for i in range(3)]
+    sums = _per_point(mass, widths, keys, "_i int, " + ", ".join(f"{c} double" for c in names), moments)
+    m = sums.groupBy(*keys, "_i").agg(*[F.sum(c).alias(c) for c in names]).where("_p0 > 0")
+    rows = [(*key, i, float(x)) for key, xs in grid.items() for i, x in enumerate(xs)]
+    at_x = df.sparkSession.createDataFrame(rows, T.StructType([*[mass.schema[k] for k in keys], *T.StructType.fromDDL("_i int, xvals double").fields]))
+    m = join_inner(m, at_x, [*keys, "_i"])
     p = [F.col(f"_p{i}") for i in range(5)]
     r = [F.col(f"_r{i}") for i in range(3)]
     det = p[0] * (p[2] * p[4] - p[3] * p[3]) - p[1] * (p[1] * p[4] - p[3] * p[2]) + p[2] * (p[1] * p[3] - p[2] * p[2])

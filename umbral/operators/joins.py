@@ -2,7 +2,7 @@
 
 All keys are compared with ``<=>``, which Spark plans as hash or sort-merge keys. Inner joins can be
 split on both sides by adaptive skew handling, left joins on the left. A full join cannot, so it is
-put together from an inner join and two anti joins against distinct keys.
+put together from a left join and an anti join against distinct keys.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbral.functions.scalars import col
-from umbral.session import materialise
 
 
 def _key(i: int) -> str:
@@ -85,15 +84,14 @@ def join_anti(left, right, on: Sequence[str], na_matches: bool = True) -> DataFr
 def join_full(left, right, on: Sequence[str], suffixes=("_x", "_y"), na_matches: bool = True) -> DataFrame:
     """All rows of both frames with one coalesced set of key columns.
 
-    Both frames are written to the shared folder first: the three joins below read them there instead of
-    working them out three times, also where full joins are nested.
+    A left join gives the matches and the left frame's own rows; the right frame's own rows are found against
+    the left frame's distinct keys. So each frame is read twice, and adaptive execution can split a hot key. The
+    caller writes a frame first that is costly to work out, as the inner one of nested full joins.
     """
-    left, right = materialise(left), materialise(right)
-    matched = join_inner(left, right, on, suffixes, na_matches)
+    kept = join_left(left, right, on, suffixes, na_matches)
     left_named, right_named = _suffixed(left, right, on, suffixes)
-    only_left = join_anti(left_named, right, on, na_matches)
     only_right = join_anti(right_named, left, on, na_matches)
-    return matched.unionByName(only_left, allowMissingColumns=True).unionByName(only_right, allowMissingColumns=True)
+    return kept.unionByName(only_right, allowMissingColumns=True)
 
 
 def join_window(df: DataFrame, x: str, points: Sequence[tuple[float, float]], point_col: str = "point") -> DataFrame:

@@ -208,7 +208,7 @@ def build_property_table(
     other_label: str = "Otros Interesados",
 ) -> DataFrame:
     """Projects, properties and owners side by side with contest type, flags and identifier parts."""
-    joined = join_full(join_full(projects, properties, [project]), owners, [prop])
+    joined = join_full(materialise(join_full(projects, properties, [project])), owners, [prop])
     rol1, rol2 = split_id(raw_id, 2)
     contest_type = F.when(col(contest) == other_label, "Other interested").when(col(contest).isNotNull(), "Smallholder")
     return joined.withColumns(
