@@ -34,6 +34,10 @@ ODD_YEAR = 1995
 EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
 
 
+#: Keys counted down from here are apart from those of :func:`missing_key`.
+OTHER_KEYS = -1_000_000_000_000
+
+
 def missing_key(kept: Column, key: Column, base: Column) -> Column:
     """``key`` where ``kept``; elsewhere a negative key made of ``base``, which no other table has."""
     return F.when(kept, key).otherwise(F.coalesce(-1 - base, F.lit(-1)))
@@ -108,7 +112,7 @@ app AS (
 
 
 def cadastre_sources(t) -> tuple[DataFrame, DataFrame]:
-    """Two overlapping boundary layers with identifiers, place names and areas."""
+    """Two boundary layers with identifiers, place names and areas; either has some identifiers that no application has."""
     c = t.customer
     n = t.nation.select("n_nationkey", "n_name")
     df = c.join(n, c["c_nationkey"] == n["n_nationkey"])
@@ -121,9 +125,13 @@ def cadastre_sources(t) -> tuple[DataFrame, DataFrame]:
         F.replace(F.col("n_name"), F.lit("A"), F.lit("Á")).alias("desccomu"),
         (F.col("c_acctbal") / 50 + 150).alias("polyarea"),
     )
-    first = base.where(key % 3 != 0)
-    second = base.where(key % 4 != 1).withColumns(
-        {"polyarea": F.col("polyarea") + 1, "poly_id": F.col("poly_id") + 1_000_000_000}
+    first = base.withColumn("rol", F.when(F.col("poly_id") % 3 == 0, F.concat(F.lit("x"), "rol")).otherwise(F.col("rol")))
+    second = base.withColumns(
+        {
+            "rol": F.when(F.col("poly_id") % 4 == 1, F.concat(F.lit("x"), "rol")).otherwise(F.col("rol")),
+            "polyarea": F.col("polyarea") + 1,
+            "poly_id": F.col("poly_id") + 1_000_000_000,
+        }
     )
     return first, second
 
@@ -135,9 +143,9 @@ cadbase AS (
     replace(n.n_name, 'A', 'Á') AS desccomu, c.c_acctbal / 50 + 150 AS polyarea
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
 cadsrc AS (
-  SELECT poly_id, rol, desccomu, polyarea, 'first' AS source, 1 AS src_prty FROM cadbase WHERE poly_id % 3 <> 0
+  SELECT poly_id, CASE WHEN poly_id % 3 = 0 THEN 'x' ELSE '' END || rol AS rol, desccomu, polyarea, 'first' AS source, 1 AS src_prty FROM cadbase
   UNION ALL
-  SELECT poly_id + 1000000000, rol, desccomu, polyarea + 1, 'second', 0 FROM cadbase WHERE poly_id % 4 <> 1),
+  SELECT poly_id + 1000000000, CASE WHEN poly_id % 4 = 1 THEN 'x' ELSE '' END || rol, desccomu, polyarea + 1, 'second', 0 FROM cadbase),
 cad AS (
   SELECT poly_id, lower(strip_accents(desccomu)) AS desccomu, polyarea, source, src_prty, rol AS ROL, 1 AS rol_prty_ciren FROM cadsrc
   UNION ALL

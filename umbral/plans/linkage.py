@@ -151,8 +151,8 @@ def match_stands(t):
 def admin_tables(t):
     """Projects, properties and owners with unmatched and missing keys on each side."""
     key = col("o_orderkey")
-    projects = t.orders.where(key % 20 != 0).select(
-        F.when(key != 21, key).alias("rptpro_id"),
+    projects = t.orders.select(
+        F.when(key % 20 == 0, -1 - key).when(key != 21, key).alias("rptpro_id"),
         F.year("o_orderdate").alias("rptpro_ano"),
         F.when(col("o_orderpriority") == "5-LOW", None)
         .when(col("o_orderpriority") == "1-URGENT", "Otros Interesados")
@@ -171,25 +171,26 @@ def admin_tables(t):
         .otherwise(F.concat("l_partkey", F.lit("-"), "l_suppkey"))
         .alias("rptpre_rol"),
     )
-    owners = t.lineitem.where(col("l_suppkey") % 3 == 0).select(
-        (ok * 10 + col("l_linenumber") + F.when(ok % 13 == 0, 1).otherwise(0)).alias("rptpre_id"), col("l_suppkey").alias("owner")
+    prop = ok * 10 + col("l_linenumber") + F.when(ok % 13 == 0, 1).otherwise(0)
+    owners = t.lineitem.select(
+        F.when(col("l_suppkey") % 3 == 0, prop).otherwise(ad.OTHER_KEYS - prop).alias("rptpre_id"), col("l_suppkey").alias("owner")
     )
     return projects, properties, owners
 
 
-ADMIN = """
+ADMIN = f"""
 projects AS (
-  SELECT CASE WHEN o_orderkey <> 21 THEN o_orderkey END AS rptpro_id, CAST(year(o_orderdate) AS INTEGER) AS rptpro_ano,
+  SELECT CASE WHEN o_orderkey % 20 = 0 THEN -1 - o_orderkey WHEN o_orderkey <> 21 THEN o_orderkey END AS rptpro_id, CAST(year(o_orderdate) AS INTEGER) AS rptpro_ano,
     CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '1-URGENT' THEN 'Otros Interesados' ELSE 'Pequenos Propietarios' END AS tipo,
     CASE o_orderkey % 3 WHEN 0 THEN 'Si' WHEN 1 THEN 'No' END AS bono, CASE o_orderkey % 4 WHEN 0 THEN 'Si' WHEN 1 THEN 'No' END AS plan
-  FROM orders WHERE o_orderkey % 20 <> 0),
+  FROM orders),
 properties AS (
   SELECT l_orderkey * 10 + l_linenumber AS rptpre_id, CASE WHEN l_partkey % 100 <> 7 THEN l_orderkey END AS rptpro_id,
     CASE l_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN CAST(l_partkey AS VARCHAR)
       WHEN 2 THEN l_partkey || '/' || l_suppkey || '.' || l_linenumber ELSE l_partkey || '-' || l_suppkey END AS rptpre_rol FROM lineitem),
 owners AS (
-  SELECT l_orderkey * 10 + l_linenumber + CASE WHEN l_orderkey % 13 = 0 THEN 1 ELSE 0 END AS rptpre_id, l_suppkey AS owner
-  FROM lineitem WHERE l_suppkey % 3 = 0),
+  SELECT CASE WHEN l_suppkey % 3 = 0 THEN k ELSE {ad.OTHER_KEYS} - k END AS rptpre_id, l_suppkey AS owner
+  FROM (SELECT *, l_orderkey * 10 + l_linenumber + CASE WHEN l_orderkey % 13 = 0 THEN 1 ELSE 0 END AS k FROM lineitem)),
 pp AS (
   SELECT coalesce(a.rptpro_id, b.rptpro_id) AS rptpro_id, rptpro_ano, tipo, bono, plan, rptpre_id, rptpre_rol
   FROM projects a FULL JOIN properties b ON a.rptpro_id IS NOT DISTINCT FROM b.rptpro_id),

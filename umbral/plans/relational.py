@@ -194,7 +194,7 @@ def donut_sample(t):
 
 _NULL_KEYS = """
 a AS (SELECT o_orderkey AS app_id, CASE WHEN o_orderkey % 500 = 1 THEN NULL ELSE o_custkey END AS prop_id, o_totalprice AS val FROM orders),
-b AS (SELECT CASE WHEN c_custkey % 50 = 1 THEN NULL ELSE c_custkey END AS prop_id, c_acctbal AS val FROM customer WHERE c_custkey % 4 <> 2)"""
+b AS (SELECT CASE WHEN c_custkey % 50 = 1 THEN NULL WHEN c_custkey % 4 = 2 THEN -1 - c_custkey ELSE c_custkey END AS prop_id, c_acctbal AS val FROM customer)"""
 
 
 def _null_keys(t):
@@ -252,8 +252,7 @@ FROM a FULL JOIN b ON a.prop_id IS NOT DISTINCT FROM b.prop_id""",
     ),
 )
 def join_full_coalesce(t):
-    a, b = _null_keys(t)
-    return J.join_full(a, b.where(col("prop_id").isNull() | (col("prop_id") >= 0)), ["prop_id"])
+    return J.join_full(*_null_keys(t), ["prop_id"])
 
 
 @query(
@@ -318,11 +317,11 @@ def value_counts(t):
         body="""
 SELECT region, round(CASE WHEN count(*) = count(size_ha) THEN avg(size_ha) END, 4) AS strict_size,
   round(avg(size_ha), 4) AS lenient_size, round(CASE WHEN count(*) = count(score) THEN avg(score) END, 4) AS strict_score
-FROM app WHERE region <> 3 OR size_ha IS NOT NULL GROUP BY region""",
+FROM (SELECT * EXCLUDE (size_ha), CASE WHEN region = 3 THEN coalesce(size_ha, 0) ELSE size_ha END AS size_ha FROM app) GROUP BY region""",
     ),
 )
 def strict_and_lenient_mean(t):
-    app = ad.applications(t).where((col("region") != 3) | col("size_ha").isNotNull())
+    app = ad.applications(t).withColumn("size_ha", F.when(col("region") == 3, F.coalesce("size_ha", F.lit(0))).otherwise(col("size_ha")))
     strict = A.group_mean(app, ["region"], ["size_ha", "score"], strict=True)
     strict = C.rename(strict, {"size_ha": "strict_size", "score": "strict_score"})
     lenient = C.rename(A.group_mean(app, ["region"], ["size_ha"]), {"size_ha": "lenient_size"})
