@@ -108,18 +108,38 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text; null counts as empty."""
-        out, chunk_ids = [], self.chunks.__getitem__
-        for text in texts:
+        out: list[bytes] = [b""] * len(texts)
+        at_spaces = []
+        for i, text in enumerate(texts):
             text = text or ""
             if "<|" in text and any(s in text for s in self.specials):
-                out.append(self._whole(text))  # special tokens cut a text elsewhere
+                out[i] = self._whole(text)  # special tokens cut a text elsewhere
             elif "  " in text or self.blank_after_space(text):
-                out.append(self._ids_of_words(text))
+                out[i] = self._ids_of_words(text)
             else:
-                head, *chunks = text.split(" ")
-                out.append(self._ids_of_words(head) + b"".join(map(chunk_ids, chunks)))
+                at_spaces.append(i)
+        for i, found in zip(at_spaces, self._encode_chunks([texts[i] or "" for i in at_spaces])):
+            out[i] = found
         return out
 
+    def _encode_chunks(self, texts: list[str]):
+        """ids of texts that are cut at each of their spaces: only their distinct chunks are Python strings."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        chunks = cut.values.dictionary_encode()
+        ids = pa.array(map(self.chunks.__getitem__, chunks.dictionary.to_pylist()), pa.large_binary()).take(chunks.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(ids) + 1, ids.offset * 8)
+        data = memoryview(data) if data is not None else memoryview(b"")
+        first = cut.offsets.to_numpy()
+        for text, a, b in zip(texts, ends[first[:-1] + 1].tolist(), ends[first[1:]].tolist()):
+            yield self._ids_of_words(text.partition(" ")[0]) + data[a:b]
+
     def _normal(self, text: str) -> str:
         """Latin-1 text is composed already, and its small letters are the same to any library."""
         if self.normalizer is None:
