@@ -189,3 +189,25 @@ def test_many_classes_without_a_label(spark, monkeypatch):
     assert out[0].zero == 1.0 and out[0].pixels_count == 16.0
     assert out[0].unlabelled == {**{f"a:{i}": 1.0 for i in range(1, 15)}, "a": 1.0, "b:1": 1.0}
     assert out[1].zero == 0.0 and not out[1].unlabelled
+
+
+def test_runs_never_pass_the_driver(spark):
+    """Runs and class totals compress so well that a size check would broadcast them."""
+    px = spark.createDataFrame([("a", c, r, "1") for c in range(4) for r in range(4)], "raster string, col int, row int, class string")
+    zones = layer(spark, [[SQUARE], [SLANT]])
+    long = R.zonal_runs(zones, px, "id", {"a": R.Grid()}, combine=True)
+    wide = Z.zonal_class_sum(zones, px, "id", {"a": {"1": "Water"}}, {}, total_of="a", combine=True)
+    for df in (long, wide):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_zones_are_dealt_before_they_are_projected(spark):
+    """The zones of one small file are the work of many tasks."""
+    ring = [(230_300, 5_780_200), (236_700, 5_781_400), (233_900, 5_787_000), (230_300, 5_780_200)]
+    df = layer(spark, [[ring]] * 8).coalesce(1)
+    own = R.Crs(19, "aust_SA")
+    runs = R.zone_runs(df, "id", {"deg": R.Grid(-72.1, -38.2, 0.011, R.Crs(None, "aust_SA"))}, crs=own, step=500.0, partitions=4)
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 4, true" in plan
+    assert {r["count"] for r in runs.groupBy("id").count().collect()} == {runs.where("id = 0").count()}

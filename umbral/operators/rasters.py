@@ -76,13 +76,16 @@ def on_grid(geom: Column, grid: Grid, source: Crs | None = None, step: float | N
     """Rings in units of a grid's cells. Where the coordinate system changes, edges are densified to ``step`` first."""
 
     def place(p):
-        at = projected(p["x"], p["y"], source, grid.crs) if grid.crs and source else p
-        return F.struct(((at["x"] - grid.x0) / grid.res).alias("x"), ((at["y"] - grid.y0) / grid.res).alias("y"))
+        return F.struct(((p["x"] - grid.x0) / grid.res).alias("x"), ((p["y"] - grid.y0) / grid.res).alias("y"))
+
+    def moved(p):
+        return projected(p["x"], p["y"], source, grid.crs)
 
     bends = grid.crs is not None and source is not None and grid.crs != source
     if bends and step is None:
         raise ValueError("a change of the coordinate system needs a step for densification")
-    return F.transform(geom, lambda ring: F.transform(densified(ring, step) if bends else ring, place))
+    # two steps, so that a point is projected once for both of its coordinates
+    return F.transform(geom, lambda ring: F.transform(F.transform(densified(ring, step), moved) if bends else ring, place))
 
 
 def zone_runs(
@@ -95,7 +98,10 @@ def zone_runs(
     there. Zones without a geometry, or without any area, have no runs.
     """
     on = F.array(*[F.struct(F.lit(name).alias("raster"), on_grid(col(geom), grid, crs, step).alias("geom")) for name, grid in grids.items()])
-    z = zones.where(col(geom).isNotNull()).select(col(zone_id).alias(zone_id), F.explode(on).alias("_g"))
+    n = partitions or int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # zones are few bytes and much work: a small file would be projected by one task
+    z = zones.where(col(geom).isNotNull()).select(col(zone_id).alias(zone_id), col(geom).alias(geom)).repartition(n)
+    z = z.select(zone_id, F.explode(on).alias("_g"))
     z = z.select(zone_id, F.col("_g.raster").alias("raster"), F.col("_g.geom").alias("_geom"))
     b = bounds(F.col("_geom"))
     z = z.select(
@@ -108,7 +114,6 @@ def zone_runs(
     bands = bands.select(
         zone_id, "raster", "_band", near.alias("_edges"), F.greatest("_r1", low).alias("_r1"), F.least("_r2", low + size - 1).alias("_r2")
     ).where(F.size("_edges") > 0)
-    n = partitions or int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = bands.repartition(n, zone_id, "raster", "_band")
     rows = dealt.select(zone_id, "raster", "_edges", F.explode(F.sequence("_r1", "_r2")).alias("row"))
     parts = rows.select(zone_id, "raster", "row", edges_in_row(F.col("_edges"), F.col("row")).alias("_parts"))
@@ -119,7 +124,7 @@ def zone_runs(
 def _row_runs(parts: Column) -> Column:
     """Runs of one row from the parts of the edges in it."""
     passed = F.flatten(F.transform(parts, lambda p: F.sequence(F.floor(F.least(p["x1"], p["x2"])), F.floor(F.greatest(p["x1"], p["x2"])))))
-    passed = F.array_sort(F.array_distinct(passed))
+    passed = F.sort_array(F.array_distinct(passed))
 
     def run(first, last):
         return F.struct(first.alias("col_from"), last.alias("col_to"), row_parts_cover(parts, first).alias("share"))
@@ -155,13 +160,14 @@ def zonal_runs(
     """Covered cells per ``(zone, raster, class)``: overlaps of the zones' runs and the rasters'.
 
     A run is cut at the ends of stretches of a row, so an interval meets a few others only, and neither a large
-    zone nor a long run of one class is a hot key. Rasters without a grid take no part.
+    zone nor a long run of one class is a hot key. Rasters without a grid take no part. Runs compress so well that
+    Spark's size check would send them through the driver; they are always sorted instead.
     """
     z = zone_runs(zones, zone_id, grids, **zone_args)
     size = F.lit(stretch)
     z = z.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("col_from") / size), F.floor(F.col("col_to") / size))))
     z = z.withColumns({"col_from": F.greatest("col_from", F.col("stretch") * size), "col_to": F.least("col_to", F.col("stretch") * size + size - 1)})
     p = raster_runs(pixels.where(F.col("raster").isin(*grids)), combine, stretch)
-    met = z.join(p, ["raster", "row", "stretch"]).where((F.col("first") <= F.col("col_to")) & (F.col("last") >= F.col("col_from")))
+    met = z.join(p.hint("merge"), ["raster", "row", "stretch"]).where((F.col("first") <= F.col("col_to")) & (F.col("last") >= F.col("col_from")))
     cells = F.least("last", "col_to") - F.greatest("first", "col_from") + 1
     return met.groupBy(zone_id, "raster", "class").agg(F.sum(F.col("share") * F.col("weight") * cells).alias("cover"))
