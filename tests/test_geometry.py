@@ -211,3 +211,24 @@ def test_zones_are_dealt_before_they_are_projected(spark):
     plan = runs._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition 4, true" in plan
     assert {r["count"] for r in runs.groupBy("id").count().collect()} == {runs.where("id = 0").count()}
+
+
+def test_match_spatial_looks_up_areas(spark):
+    """A place shared by applications and polygons: the winners of all pairs, without pairing them off."""
+    sizes = [5.0, 7.5, None, 12.0, 3.0, 7.0]
+    props = spark.createDataFrame(
+        [(i, i, "ab", s, 2010, "1-2") for i, s in enumerate(sizes)] + [(9, 9, "zz", 5.0, 2010, "1-2")],
+        "rptpro_id int, rptpre_id int, rptpre_comuna string, rptpre_superficie_predial double, rptpro_ano int, ROL string",
+    )
+    own = spark.createDataFrame([(i, "SAD 69", 1.0, 1.0, 19) for i in range(10)], "rptpre_id int, rptub_datum string, rptub_este double, rptub_norte double, rptub_huso int")
+    stand = spark.createDataFrame([(4, None, 90.0, 90.0, None)], "rptpre_id int, rptro_datum string, rptro_este double, rptro_norte double, rptro_huso int")
+    polygons = [(1, "ab", 4.0, 1, 0), (2, "ab", 6.0, 1, 0), (3, "abc", 6.0, 1, 1), (4, "ab", 9.0, 1, 1), (5, "xyz", 5.0, 1, 1), (6, "ab", 5.0, 0, 1), (7, "ab", 13.0, 1, 1)]
+    cad = layer(spark, [[SQUARE]] * len(polygons)).join(
+        spark.createDataFrame([(i, "r", *p) for i, p in enumerate(polygons)], "id int, ROL string, poly_id int, desccomu string, polyarea double, rol_prty_ciren int, src_prty int"), "id"
+    ).drop("id")
+    out = Z.match_spatial(props, own, stand, cad, cell=2.0)
+    # equal differences go to the better source: of 4.0, 6.0 and 6.0 the last; 7.5 is as far from 6.0 as from 9.0
+    assert {r.rptpre_id: (r.poly_id, r.area_diff) for r in out.collect()} == {0: (3, 1.0), 1: (3, 1.5), 3: (7, 1.0), 5: (3, 1.0)}
+    assert "_edges" not in out._jdf.queryExecution().optimizedPlan().toString()
+    gap = Z.match_spatial(props, own, stand, cad.withColumn("polyarea", F.when(F.col("poly_id") != 2, F.col("polyarea"))), cell=2.0)
+    assert gap.count() == 0
