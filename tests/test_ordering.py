@@ -86,3 +86,13 @@ def test_first_per_key_limits_before_the_shuffle(spark):
     _, df = frame(spark)
     plan = R.first_per_key(df, ["k"], ["v", "id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_ranges_carry_their_keys_once(spark):
+    """Keys are shuffled and written inside ``_group`` only, and are columns again afterwards."""
+    df = spark.createDataFrame([("a", 2.0, 1), ("a", 1.0, 2), (None, 3.0, 3)], "k string, v double, n int")
+    out = O.range_buckets(df, ["k"], ["v"], 2)
+    assert out.columns == ["k", "v", "n", "_group", "_bucket"]
+    assert sorted((r.k or "", r.v, r.n, r._group.k or "") for r in out.collect()) == [("", 3.0, 3, ""), ("a", 1.0, 2, "a"), ("a", 2.0, 1, "a")]
+    (scan,) = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in x]
+    assert scan.split("[")[1].startswith("v#")
