@@ -187,3 +187,24 @@ def test_lookups_get_whole_tables(spark, monkeypatch):
     relational.activity_flags(t)
     users = t.events.select(F.when(F.col("value") > 100, F.col("user_id")).otherwise(-1 - F.col("user_id")), "event_type")
     assert seen == [users.distinct().count()]
+
+
+def test_match_by_id_drops_unknown_identifiers_first(spark, monkeypatch):
+    """Applications that no boundary can match are not written, and the others match as before."""
+    from umbral.operators import linkage
+
+    apps = spark.createDataFrame(
+        [(1, "5-1", "ab", 4.0), (2, "8-1", "ab", 4.0), (3, "5-1", "zzz", 4.0), (4, None, "ab", 2.0), (5, "6-1", "ab", 4.0)],
+        "prop_id int, rol string, comuna string, size_ha double",
+    )
+    cad = spark.createDataFrame(
+        [("5-1", 1, "abc", 3.0, 1, 1), ("5-1", 2, "ab", 6.0, 1, 0), (None, 3, "ab", 2.5, 1, 0), ("6-1", 4, "qqq", 4.0, 1, 0), ("9-1", 5, "zzz", 4.0, 1, 0)],
+        "ROL string, poly_id int, desccomu string, polyarea double, rol_prty_ciren int, src_prty int",
+    )
+    written = []
+    monkeypatch.setattr(linkage, "materialise", lambda df: written.append(df) or df)
+    out = linkage.match_by_id(apps, cad)
+    # a missing identifier is an identifier, and its normal form is NA-NA
+    assert {(r.prop_id, r.ROL, r.poly_id) for r in out.collect()} == {(1, "5-1", 2), (4, None, 3)}
+    (probes,) = [df for df in written if "prop_id" in df.columns]
+    assert {r.prop_id for r in probes.collect()} == {1, 4}
