@@ -208,3 +208,33 @@ def test_match_by_id_drops_unknown_identifiers_first(spark, monkeypatch):
     assert {(r.prop_id, r.ROL, r.poly_id) for r in out.collect()} == {(1, "5-1", 2), (4, None, 3)}
     (probes,) = [df for df in written if "prop_id" in df.columns]
     assert {r.prop_id for r in probes.collect()} == {1, 4}
+
+
+def test_missing_keys_are_spread(spark):
+    """Rows of the left frame that miss a key meet in many tasks, and match as in a plain left join."""
+    from umbral.operators.joins import join_left, join_left_spread
+
+    left = spark.createDataFrame([(i, None if i % 4 else i, "k") for i in range(800)] + [(3, None, "k")] * 2, "id int, a int, b string")
+    right = spark.createDataFrame([(None, "k", "x"), (None, "k", "y"), (8, "k", "z"), (None, None, "w")], "a int, b string, v string")
+    on = ["a", "b"]
+    assert sorted(map(str, join_left_spread(left, right, on).collect())) == sorted(map(str, join_left(left, right, on).collect()))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = join_left_spread(left, right, on).where("a is null").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(out) > 4 and max(r["count"] for r in out) < 600
+
+
+def test_activity_flags_of_missing_stands(spark):
+    """A property without stands meets the activities without a stand, one without an id the stands without one."""
+    from umbral.operators.linkage import build_activity_flags
+
+    table = spark.createDataFrame([(1, 2010, 10), (1, 2010, 11), (2, 2010, None), (3, None, 12)], "rptpro_id int, rptpro_ano int, rptpre_id int")
+    stands = spark.createDataFrame([(10, 5), (None, 6)], "rptpre_id int, rptro_id int")
+    acts = spark.createDataFrame([(5, "a"), (6, "b"), (None, "c"), (7, "a")], "rptro_id int, rptac_tipo string")
+    out = build_activity_flags(table, stands, acts, ("a", "b", "c"))
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == [(1, 2010, 1, 0, 1), (2, 2010, 0, 1, 0), (3, None, 0, 0, 1)]
