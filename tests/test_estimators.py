@@ -284,3 +284,22 @@ def test_outcomes_share_mass_points(spark):
             keys = ["g", "method"]
             one, two = (v.sort_values(keys)[["estimate", "se", "pval", "bandwidth", "bias_bandwidth", "Obs", "eff_obs"]].to_numpy(float) for v in (own, alone))
             assert len(one) == 6 and np.allclose(one, two, rtol=1e-8)
+
+
+def test_smoother_rows_of_a_task_do_not_grow_with_its_points(spark):
+    """A task gives a row for each grid point (and cell) once, however many batches of points it reads."""
+    from umbral.operators import chartdata as C
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        mass = spark.range(3000).selectExpr("'left' side", "double(id) _x", "1D _n", "double(id) _s").coalesce(1)
+
+        def add(held, x, n, s, state):
+            assert len(x) <= C.POINTS_AT_ONCE
+            return np.append(n.sum(), [len(x)]) if held is None else held + [n.sum(), len(x)]
+
+        out = C._per_point(mass, {("left",): np.zeros((2, 5))}, ["side"], "_i int, _n double", add, lambda held: {"_i": [0, 1], "_n": held}).collect()
+        assert [(r["_i"], r["_n"]) for r in out] == [(0, 3000.0), (1, 3000.0)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

@@ -194,23 +194,33 @@ def label_rows(labels: Mapping[str, Sequence[str]]) -> list[tuple[str, str, int,
     return out
 
 
-def _per_point(mass: DataFrame, states: dict[tuple, np.ndarray], keys: Sequence[str], ddl: str, compute: Callable) -> DataFrame:
-    """One pass over the mass points: ``compute(x, n, s, state)`` gives rows for the grid points of each group.
+#: Mass points that a task sets against all grid points at a time.
+POINTS_AT_ONCE = 2048
 
-    The driver holds a few numbers for each grid point. A task works on one Arrow batch at a time and its result is
-    a row for each grid point and cell at most.
+
+def _per_point(mass: DataFrame, states: dict[tuple, np.ndarray], keys: Sequence[str], ddl: str, add: Callable, finish: Callable) -> DataFrame:
+    """One pass over the mass points: ``add(held, x, n, s, state)`` adds some points of a group to what the task holds of
+    the group (None at first) and returns it, ``finish(held)`` gives rows for the group's grid points.
+
+    The driver holds a few numbers for each grid point. A task works on few points at a time; what it holds and its
+    result, given once, are a row for each grid point and cell at most, however many points it reads.
     """
     schema = T.StructType([*[mass.schema[k] for k in keys], *T.StructType.fromDDL(ddl).fields])
 
     def run(batches):
+        held = {}
         for b in batches:
             for key, g in b.groupby(list(keys), dropna=False, sort=False):
                 key = tuple(None if pd.isna(v) else v for v in key)
-                columns = compute(g["_x"].to_numpy(), g["_n"].to_numpy(), g["_s"].to_numpy(), states[key])
-                out = pd.DataFrame(columns)
-                for k, v in zip(keys, key):
-                    out[k] = v
-                yield out[schema.names]
+                x, n, s = (g[c].to_numpy() for c in ("_x", "_n", "_s"))
+                for i in range(0, len(x), POINTS_AT_ONCE):
+                    own = slice(i, i + POINTS_AT_ONCE)
+                    held[key] = add(held.get(key), x[own], n[own], s[own], states[key])
+        for key, own in held.items():
+            out = pd.DataFrame(finish(own))
+            for k, v in zip(keys, key):
+                out[k] = v
+            yield out[schema.names]
 
     return mass.mapInPandas(run, schema)
 
@@ -225,32 +235,39 @@ def _order_statistics(mass: DataFrame, wanted: dict[tuple, np.ndarray], keys: Se
     # per group, for each wanted distance: point, rank, ends of the bracket, rows nearer than the bracket
     states = {key: np.column_stack([v, np.zeros(len(v)), np.full(len(v), np.inf), np.zeros(len(v))]) for key, v in wanted.items()}
 
-    def farthest(x, n, s, state):
-        return {"_w": np.arange(len(state)), "_most": np.abs(state[:, 0] - np.array([[x.min()], [x.max()]])).max(axis=0)}
+    def farthest(held, x, n, s, state):
+        most = np.abs(state[:, 0] - np.array([[x.min()], [x.max()]])).max(axis=0)
+        return most if held is None else np.maximum(held, most)
 
-    for r in _per_point(mass, states, keys, "_w int, _most double", farthest).groupBy(*keys, "_w").agg(F.max("_most").alias("_most")).collect():
+    def farthest_rows(held):
+        return {"_w": np.arange(len(held)), "_most": held}
+
+    for r in _per_point(mass, states, keys, "_w int, _most double", farthest, farthest_rows).groupBy(*keys, "_w").agg(F.max("_most").alias("_most")).collect():
         states[tuple(r[k] for k in keys)][r["_w"], 3] = r["_most"]
 
-    def count(x, n, s, state):
-        out = []
+    def count(held, x, n, s, state):
+        if held is None:
+            shape = (len(state), cells)
+            held = np.zeros(shape), np.full(shape, np.inf), np.full(shape, -np.inf)
         for w in np.flatnonzero(state[:, 2] < state[:, 3]):
             point, _, low, high, _ = state[w]
             d = np.abs(x - point)
             inside = (d >= low) & (d <= high)
-            d, own = d[inside], n[inside]
+            d = d[inside]
             if not len(d):
                 continue
             cell = np.minimum(np.floor((d - low) / (high - low) * cells), cells - 1).astype(np.int64)
-            found, at = np.unique(cell, return_inverse=True)
-            least, most = np.full(len(found), np.inf), np.full(len(found), -np.inf)
-            np.minimum.at(least, at, d)
-            np.maximum.at(most, at, d)
-            out.append((np.full(len(found), w), found, np.bincount(at, own), least, most))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 5
-        return dict(zip(("_w", "_cell", "_n", "_least", "_most"), columns))
+            held[0][w] += np.bincount(cell, n[inside], cells)
+            np.minimum.at(held[1][w], cell, d)
+            np.maximum.at(held[2][w], cell, d)
+        return held
+
+    def count_rows(held):
+        w, cell = np.nonzero(held[0])
+        return {"_w": w, "_cell": cell} | {c: v[w, cell] for c, v in zip(("_n", "_least", "_most"), held)}
 
     while any((s[:, 2] < s[:, 3]).any() for s in states.values()):
-        counts = _per_point(mass, states, keys, "_w int, _cell int, _n double, _least double, _most double", count)
+        counts = _per_point(mass, states, keys, "_w int, _cell int, _n double, _least double, _most double", count, count_rows)
         counts = counts.groupBy(*keys, "_w", "_cell").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
         up_to = Window.partitionBy(*keys, "_w").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
         ranks = F.create_map(*[x for i, (key, s) in enumerate(states.items()) for x in (F.lit(i), F.array(*[F.lit(float(v)) for v in s[:, 1] - s[:, 4]]))])
@@ -268,7 +285,7 @@ def _is_group(keys: Sequence[str], values: Sequence) -> Column:
 
 
 def side_smooth(
-    df: DataFrame, x: str, y: str, by: Sequence[str] = (), c: float = 0.0, points: int = 80, span: float = 0.75, cells: int = 4096
+    df: DataFrame, x: str, y: str, by: Sequence[str] = (), c: float = 0.0, points: int = 80, span: float = 0.75, cells: int = 1024
 ) -> DataFrame:
     """Local quadratic curve per side of the cutoff (and group) on an even grid, tricube weights.
 
@@ -296,22 +313,26 @@ def side_smooth(
         share = ats[key] - np.floor(ats[key])
         widths[key] = np.column_stack([grid[key], d[0::2] * (1 - share) + d[1::2] * share])
 
-    def moments(x, n, s, state):
+    names = [f"_p{i}" for i in range(5)] + [f"_r{i}" for i in range(3)]
+
+    def moments(held, x, n, s, state):
         """Sums of the weight times powers of the scaled distance, and those times ``y``."""
         with np.errstate(divide="ignore", invalid="ignore"):
             u = (x[None, :] - state[:, :1]) / state[:, 1:]
             k = np.where(np.abs(u) < 1, (1 - np.abs(u) ** 3) ** 3, 0.0)
         u = np.where(k > 0, u, 0.0)
-        out = {"_i": np.arange(len(state))}
+        out = {}
         for i in range(5):
             out[f"_p{i}"] = k @ n
             if i < 3:
                 out[f"_r{i}"] = k @ s
             k = k * u
-        return out
+        return out if held is None else {c: held[c] + out[c] for c in names}
 
-    names = [f"_p{i}" for i in range(5)] + [f"_r{i}" for i in range(3)]
-    sums = _per_point(mass, widths, keys, "_i int, " + ", ".join(f"{c} double" for c in names), moments)
+    def moment_rows(held):
+        return {"_i": np.arange(len(held["_p0"]))} | held
+
+    sums = _per_point(mass, widths, keys, "_i int, " + ", ".join(f"{c} double" for c in names), moments, moment_rows)
     m = sums.groupBy(*keys, "_i").agg(*[F.sum(c).alias(c) for c in names]).where("_p0 > 0")
     rows = [(*key, i, float(x)) for key, xs in grid.items() for i, x in enumerate(xs)]
     at_x = df.sparkSession.createDataFrame(rows, T.StructType([*[mass.schema[k] for k in keys], *T.StructType.fromDDL("_i int, xvals double").fields]))
