@@ -129,3 +129,18 @@ def test_pack(spark):
         assert at <= LENGTH
     assert len(sequences) * LENGTH <= sum(map(len, want)) * 1.05 + LENGTH
     assert pack(rows(spark, []), BYTE).collect() == []
+
+
+def test_chunks_cut_without_a_search():
+    """Letters, a mark behind them and two lines give the library's ids; chunks of two lines are not kept."""
+    texts = [
+        "Das Öl, the end.\nNext line; ÀÉÎ? stop: Ünder!", "a\n\nb c\n d", "x.\ny\nz it's 'll\n's ok", "\nlead trail\n", "ªº µm ß. ẞ, Ÿa İx ǅ.",
+        "é\nf café.\ńx a \nb a\n b", "don't.\nStop 12.\n3a word.. a,b", "Σας ΑΣ\nΑΣ. 字\n字, x\t\ny", " . , \n ", "the.\n<|x Nor",
+    ]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        encoder, library = WordEncoder(path), Tokenizer.from_file(path)
+        for _ in range(2):
+            for text, found in zip(texts, encoder.encode(texts)):
+                assert np.frombuffer(found, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, (name, text)
+        assert encoder.chunks and not any("\n" in c for c in encoder.chunks)

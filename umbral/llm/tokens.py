@@ -7,13 +7,17 @@ ids of a text are those of its words in order.
 
 from __future__ import annotations
 
+from array import array
+
 # ---- fixed values: the two pre-tokenizers that are read, as published --------------------------------
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # ------------------------------------------------------------------------------------------------------
-#: Words, and chunks between spaces, kept at most by a worker; more of them change no result.
-CACHE = 160_000
+#: Words, and half of the chunks between spaces, kept at most by a worker; more of them change no result.
+CACHE = 120_000
 END_ID = 1
+#: Marks that are words of their own behind a letter, in either pre-tokenizer.
+MARKS = frozenset(".,;:!?")
 
 
 def worker_cache(name) -> dict:
@@ -42,6 +46,8 @@ def _byte_letters() -> dict[int, int]:
 class _Known(dict):
     """What ``make`` gives for a key, kept for the first ``limit`` keys."""
 
+    limit = 1
+
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(self) < self.limit:
@@ -49,13 +55,24 @@ class _Known(dict):
         return value
 
 
+class _Chunks(_Known):
+    """Chunks of two lines are hardly ever met again, and not kept."""
+
+    def __missing__(self, key: str) -> bytes:
+        return self.make(key) if "\n" in key else super().__missing__(key)
+
+
+def _latin_letters(text: str) -> bool:
+    return text.isalpha() and (text.isascii() or max(text) <= "\xff")
+
+
 class WordEncoder:
     """ids of texts as little-endian uint16 bytes; the vocabulary must be below 65,536.
 
     A text is first cut at its spaces, which the pre-tokenizers never cut less finely: a word ends before a
     space that no other white space follows. Only the distinct ones of these chunks are cut into words, and
-    only the distinct words go to the library's model. A worker keeps the first ``cache`` chunks and words;
-    what comes beyond is worked out each time. Texts with white space in a row are cut whole.
+    only the distinct words go to the library's model. A worker keeps the first ``cache`` words and twice as
+    many chunks; what comes beyond is worked out each time. Texts with white space in a row are cut whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -93,15 +110,27 @@ class WordEncoder:
         self.normalizer = self.tokenizer.normalizer
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.words, self.chunks = (held.setdefault(name, _Known()) for name in ("words", "chunks"))
-        for known, make in ((self.words, self._encode_word), (self.chunks, lambda chunk: self._ids_of_words(self.space + chunk))):
-            if len(known) >= cache:  # a new task may read other texts
+        self.words, self.chunks = held.setdefault("words", _Known()), held.setdefault("chunks", _Chunks())
+        for known, make in ((self.words, self._encode_word), (self.chunks, self._encode_chunk)):
+            if len(known) >= known.limit:  # a new task may read other texts
                 known.clear()
-            known.make, known.limit = make, cache
+            known.make, known.limit = make, cache if known is self.words else 2 * cache
 
     def _encode_word(self, word: str) -> bytes:
         spelled = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([piece.id.to_bytes(2, "little") for piece in self.pieces_of(spelled)])
+        return array("H", [piece.id for piece in self.pieces_of(spelled)]).tobytes()
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        """ids of what stands between two spaces. Latin letters only, these with a mark behind them, and two lines are
+        cut as the pre-tokenizers cut them, without a search."""
+        if _latin_letters(chunk):
+            return self._encode_word(self.space + self._normal(chunk))
+        if chunk[-1:] in MARKS and _latin_letters(chunk[:-1]):
+            return self.chunks[chunk[:-1]] + self.words[chunk[-1]]
+        line, end, rest = chunk.partition("\n")
+        if end and line and rest and "\n" not in rest and not line[-1].isspace() and not rest[0].isspace():
+            return self.chunks[line] + (self._ids_of_words("\n" + rest) if self.space else self.chunks[rest])
+        return self._ids_of_words(self.space + chunk)
 
     def _ids_of_words(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.find(self._normal(text))))
