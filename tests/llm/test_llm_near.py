@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from umbral.llm import near
 from umbral.llm.components import components
 from umbral.llm.near import Hashes, bags, drop_near, near_groups, signatures
 
@@ -120,3 +121,16 @@ def test_components(spark):
             break
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: r for x, r in root.items() if x != r}
+
+
+def test_blocks_do_not_follow_partitions(spark, monkeypatch):
+    """Blocks are as full as their bounds allow at any number of partitions, so that few pairs of them meet."""
+    monkeypatch.setattr(near, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(near, "BLOCK_BYTES", 1000)
+    rows = spark.createDataFrame([(i, i % 3, i // 40, "x" * (2000 if i == 57 else 5)) for i in range(100)], "node long, root long, place long, text string")
+    out = [r.asDict() for r in near.blocks_of(rows.repartition(50)).collect()]
+    assert sorted(n for r in out for n in r["nodes"]) == list(range(100)) and len({r["block"] for r in out}) == len(out)
+    assert all(len(r["nodes"]) <= 10 for r in out) and len(out) <= 12
+    for r in out:
+        assert r["roots"] == [n % 3 for n in r["nodes"]] and [len(t) for t in r["texts"]] == [2000 if n == 57 else 5 for n in r["nodes"]]
+        assert max(r["nodes"]) - min(r["nodes"]) < 10

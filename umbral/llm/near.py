@@ -19,6 +19,7 @@ from umbral.llm.common import materialise, mix, part_count, text_of
 from umbral.llm.components import components
 from umbral.llm.suffixes import FILTER_BITS, fixed_filter
 from umbral.llm.tokens import slices
+from umbral.operators.ordering import running_sums
 
 WORDS, THRESHOLD = 5, 0.8
 #: At 0.8 a pair shares no band of these with probability (1 - 0.8**5)**32 < 4e-6.
@@ -209,27 +210,23 @@ def _with_hub_texts(fitting: DataFrame, found: DataFrame) -> DataFrame:
     return rows.repartition(n, "hub", "share").sortWithinPartitions("hub", "share", F.asc_nulls_first("node"))
 
 
-def _blocks(batches: Iterator) -> Iterator:
-    """Consecutive rows as blocks of bounded size."""
-    import pyarrow as pa
-    from pyspark import TaskContext
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """``node, root, place, text`` in the order of place and node as blocks of bounded size: ``block, nodes, roots, texts``.
 
-    base, count, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
-
-    def close():
-        columns = [pa.array([base + count], pa.int64())]
-        columns += [pa.array([list(c)], pa.list_(t)) for c, t in zip(zip(*held), (pa.int64(), pa.int64(), pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "nodes", "roots", "texts"])
-
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "text"))):
-            if held and (len(held) == BLOCK_ROWS or size + len(row[2]) > BLOCK_BYTES):
-                yield close()
-                count, held, size = count + 1, [], 0
-            held.append(row)
-            size += len(row[2])
-    if held:
-        yield close()
+    A row's block follows from the rows and the bytes before it in the whole order, so that blocks are as few as their
+    bounds allow, however many partitions there are.
+    """
+    order = ["place", "node"]
+    sizes = rows.select(*order, F.octet_length("text").cast("long").alias("size"))
+    at = running_sums(sizes, [], order, {"row": F.lit(1), "bytes": F.col("size")})
+    places = [F.floor((F.col("row") - 1) / BLOCK_ROWS), F.floor((F.col("bytes") - F.col("size")) / BLOCK_BYTES)]
+    placed = rows.join(at.select("node", *[p.alias(n) for p, n in zip(places, ("by_row", "by_bytes"))]), "node")
+    held = F.collect_list(F.struct("node", "root", "text"))
+    grouped = placed.groupBy("by_row", "by_bytes").agg(held.alias("held"))
+    return grouped.select(
+        F.monotonically_increasing_id().alias("block"),
+        *[F.col(f"held.{c}").alias(f"{c}s") for c in ("node", "root", "text")],
+    )
 
 
 def overlaps(one, two):
@@ -341,8 +338,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         near_by = materialise(components(rooted.join(least, "bucket").select("node", "least").where("node != least")))
         asked = rooted.select("node", "root").distinct().join(near_by.withColumnRenamed("root", "place"), "node", "left")
         asked = asked.withColumn("place", F.coalesce("place", "node")).join(found, "node")
-        dealt = asked.repartitionByRange("place", "node").sortWithinPartitions("place", "node")
-        blocks = materialise(dealt.mapInArrow(_blocks, "block long, nodes array<long>, roots array<long>, texts array<string>"))
+        blocks = materialise(blocks_of(materialise(asked.select("node", "root", "place", "text"))))
         of_node = blocks.select("block", F.explode("nodes").alias("node"))
         of_bucket = materialise(rooted.select("bucket", "node").join(of_node, "node").select("bucket", "block").distinct())
         meeting = of_bucket.join(of_bucket.select("bucket", F.col("block").alias("other")), "bucket").where("block <= other")
