@@ -232,3 +232,23 @@ def test_match_spatial_looks_up_areas(spark):
     assert "_edges" not in out._jdf.queryExecution().optimizedPlan().toString()
     gap = Z.match_spatial(props, own, stand, cad.withColumn("polyarea", F.when(F.col("poly_id") != 2, F.col("polyarea"))), cell=2.0)
     assert gap.count() == 0
+
+
+@pytest.mark.parametrize("cell,split", [(2.0, 1), (2.0, 4), (8.0, 8), (0.7, 3)])
+def test_points_in_polygons_by_cells(spark, cell, split):
+    """Whole, cut and sub-divided cells give what testing every pair gives, and the hits are joined once."""
+    moved = [(x - 5, y - 3) for x, y in SLANT]
+    shapes = [[SQUARE, HOLE], [SLANT], [moved], [[(3 * x, 3 * y) for x, y in SLANT], [(3 * x, 3 * y) for x, y in HOLE]], [SLANT[:4]], None, [SQUARE]]
+    rows = [(i * 7 + j, i * 0.25 - 5, j * 0.25 - 4) for i in range(60) for j in range(60)]
+    rows += [(-1, 1.1, 1.3), (-1, 1.1, 1.3), (-2, None, 1.0), (None, 2.0, 2.0), (-3, 5.7 - 5, 1.4 - 3)]
+    pts = spark.createDataFrame(rows, "point int, px double, py double")
+    polygons = layer(spark, shapes)
+    got = Z.join_spatial(polygons, pts, cell, split=split)
+    assert got.columns == ["id", "geom", "point", "px", "py"]
+    b = G.bounds(F.col("geom"))
+    box = F.col("px").between(b["xmin"], b["xmax"]) & F.col("py").between(b["ymin"], b["ymax"])
+    every = polygons.crossJoin(pts).where(box & G.inside(F.col("px"), F.col("py"), G.all_edges("geom")))
+    flat = lambda df: sorted(((r.id, r.point, r.px, r.py) for r in df.collect()), key=str)
+    assert flat(got) == flat(every) and len(flat(got)) > 1000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
