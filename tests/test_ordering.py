@@ -82,6 +82,29 @@ def test_neighbours_cross_blocks(spark):
         assert np.allclose(near[:, 2 + j, 2], own.shift(-j).values, equal_nan=True)
 
 
+def test_mass_points_are_dealt_out_by_their_number(spark):
+    """A task holds a bounded number of points, ranges may be shorter than the rim, and a point of one row keeps no products."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"spec": rng.choice(["a", "b"], 500, p=[0.97, 0.03]), "x": np.round(rng.normal(size=500), 3), "y": rng.normal(size=500)})
+    pdf = pd.concat([pdf, pdf.iloc[:40].assign(y=1.0)])
+    pts, _ = M.prepare(spark.createDataFrame(pdf), ["y"], [], ["spec"], block=5)
+    per_file = pts.groupBy(F.input_file_name()).count().toPandas()["count"]
+    assert len(per_file) > 30 and per_file.max() < 60
+    pts = pts.toPandas().sort_values(["spec", "x"])
+    for spec, own in pdf.groupby("spec"):
+        got = pts[pts.spec == spec].reset_index(drop=True)
+        want = own.groupby("x").y.agg(["size", "sum", lambda v: (v**2).sum()]).reset_index()
+        assert (got.x == want.x).all() and (got.n == want["size"]).all() and (got.cum_n == want["size"].cumsum()).all()
+        assert (got["rank"] == np.arange(1, len(got) + 1)).all()
+        near = np.stack(got["near"]).reshape(len(got), 6, 3)
+        for j in (1, 2, 3):
+            assert np.allclose(near[:, j - 1, 0], got.x.shift(j), equal_nan=True) and np.allclose(near[:, 2 + j, 2], want["sum"].shift(-j), equal_nan=True)
+        assert (got.q.isna() == (got.n == 1)).all()
+        kept = got.q.notna().to_numpy()
+        q = M.all_products(np.stack(got.s), np.array(got.q[kept].tolist()).reshape(-1, 1), kept, [(0, 0)])
+        assert np.allclose(q[:, 0], want.iloc[:, 3])
+
+
 def test_first_per_key_limits_before_the_shuffle(spark):
     _, df = frame(spark)
     plan = R.first_per_key(df, ["k"], ["v", "id"])._jdf.queryExecution().executedPlan().toString()

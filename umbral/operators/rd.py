@@ -224,7 +224,8 @@ class _Passes:
 
         def spread(side):
             at = self.source.take_up
-            own = (F.col("n"), F.get("s", F.lit(at)), F.get("q", F.lit(self.source.pairs[at, at])))
+            total = F.get("s", F.lit(at))
+            own = (F.col("n"), total, F.coalesce(F.get("q", F.lit(self.source.pairs[at, at])), total * total))
             count, total, square = (F.sum(F.when(side, c).otherwise(0)) for c in own)
             return square - F.try_divide(total * total, count)
 
@@ -245,7 +246,7 @@ class _Passes:
             F.abs(F.max(x)).alias("range_r"),
             self._constant_take_up().alias("sharp_bw"),
         )
-        seen = self.points.join(t, "_key")
+        seen = self.points.join(F.broadcast(t), "_key")  # a row for each group of specifications, whose points would meet in one task
         cum, rank = F.col("cum_n"), F.col("rank")
 
         def quartile(share):
@@ -460,8 +461,11 @@ def _moments(specs: dict[str, list], pairs: dict[tuple[int, int], int], sums: Ca
             codes = keys.indices.to_numpy()
             arrays = {c: batch.column(c).to_numpy() for c in ("x", "n")}
             for c in batch.schema.names:
-                if c in ("s", "q", "near"):
+                if c in ("s", "near"):
                     arrays[c] = batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            kept = batch.column("q")
+            there = kept.is_valid().to_numpy(zero_copy_only=False)
+            arrays["q"] = M.all_products(arrays["s"], kept.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(pairs)), there, list(pairs))
             x = arrays["x"]
             for code, key in enumerate(keys.dictionary.to_pylist()):
                 for i, st, reach, variables in specs.get(key, ()):
