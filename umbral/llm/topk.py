@@ -12,6 +12,8 @@ from umbral.llm.common import materialise, part_count
 #: Cells per dimension of an approximation: one byte has the cell's number.
 CELLS = 64
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
+#: So many candidates of a block of queries are held until the bounds of all blocks of cells of a task are known.
+HELD_ROWS = 1 << 20
 #: Exact vectors read in the first round, as a multiple of k.
 FIRST = 2
 
@@ -46,6 +48,8 @@ def _blocks(groups: int, rows: int, corners: dict | None):
             if corners is not None:
                 low, width = (np.array(x) for x in corners[dim])
                 v = np.minimum((v - low) // width, CELLS - 1).astype(np.uint8)
+            else:  # a copy goes to every task, in the narrowest type that holds it
+                v = v.astype(next(t for t in ("i1", "<i2", "<i4", "<i8") if not v.size or np.iinfo(t).min <= v.min() and v.max() <= np.iinfo(t).max))
             group = (part + 7919 * count) % groups
             count += 1
             values = [pa.array([dim], pa.int32()), pa.array([group], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([v.tobytes()])]
@@ -65,32 +69,55 @@ def _blocks(groups: int, rows: int, corners: dict | None):
 
 
 def _bounds(k: int, corners: dict):
-    """Candidates of each query in a block that may be among its k best there, with their bounds."""
+    """Candidates of each query in the blocks of cells of its part that may be among its k best there, with their bounds.
+
+    The blocks of cells of a part come before the blocks of queries, each once, and are held."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                dim = r["dim"]
-                ids, queries = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["query_ids"], "<i8")
-                cells = np.frombuffer(r["data"], np.uint8).reshape(len(ids), dim).astype(np.float64)
-                q = np.frombuffer(r["query_data"], "<i8").reshape(len(queries), dim).astype(np.float64)
+        def rows(found, kth):
+            row, columns = np.concatenate([f[0] for f in found]), [np.concatenate([f[i] for f in found]) for i in range(1, 5)]
+            open_ = columns[-1] >= kth[row]
+            return pa.RecordBatch.from_arrays([pa.array(c[open_]) for c in columns], names=["query_id", "vec_id", "low", "high"])
+
+        def bounds(dim, queries, q, cells):
+            plus, minus, size = np.maximum(q, 0), np.minimum(q, 0), np.abs(q)
+            best, found, held = np.full((len(queries), k), -np.inf), [], 0  # the k highest lower bounds so far
+            for ids, data in cells:
                 low, width = (np.array(x, np.float64) for x in corners[dim])
-                below = low + cells * width
+                below = low + data * width
                 above = below + (width - 1)
-                plus, minus = np.maximum(q, 0), np.minimum(q, 0)
                 least = plus @ below.T + minus @ above.T
                 most = plus @ above.T + minus @ below.T
-                slack = 1e-12 * (np.abs(q) @ np.maximum(np.abs(below), np.abs(above)).T)  # of the rounded sums
+                slack = 1e-12 * (size @ np.maximum(np.abs(below), np.abs(above)).T)  # of the rounded sums
                 least, most = least - slack, most + slack
                 own = queries[:, None] == ids[None, :]
                 least[own] = most[own] = -np.inf
-                kth = np.partition(least, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(queries), -np.inf)
-                row, column = np.nonzero((most >= kth[:, None]) & ~own)
-                columns = (queries[row], ids[column], least[row, column], most[row, column])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "low", "high"])
+                top = np.partition(least, len(ids) - k, axis=1)[:, len(ids) - k :] if len(ids) > k else least
+                best = np.partition(np.concatenate([best, top], axis=1), top.shape[1], axis=1)[:, top.shape[1] :]
+                row, column = np.nonzero((most >= best.min(axis=1)[:, None]) & ~own)
+                found.append((row, queries[row], ids[column], least[row, column], most[row, column]))
+                held += len(row)
+                if held > HELD_ROWS:
+                    yield rows(found, best.min(axis=1))
+                    found, held = [], 0
+            if found:
+                yield rows(found, best.min(axis=1))
+
+        part, cells = None, {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()
+                if r["part"] != part:
+                    part, cells = r["part"], {}
+                dim, ids = r["dim"], np.frombuffer(r["ids"], "<i8")
+                if r["asks"]:
+                    q = np.frombuffer(r["data"], f"<i{len(r['data']) // (len(ids) * dim) if dim else 8}").reshape(len(ids), dim)
+                    yield from bounds(dim, ids, q.astype(np.float64), cells.get(dim, []))
+                else:
+                    cells.setdefault(dim, []).append((ids, np.frombuffer(r["data"], np.uint8).reshape(len(ids), dim)))
 
     return run
 
@@ -105,7 +132,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     vectors of their own length. No rows: no result. ``is_query`` is a condition on ``vec_id``.
     """
     spark = vectors.sparkSession
-    n = part_count(spark)
     rows = quantised(vectors, id_col, vector_col)
     same = Window.partitionBy("v").orderBy("vec_id")
     candidates = materialise(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth"))
@@ -119,11 +145,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         low, width = corners.setdefault(r["dim"], ([], []))
         low.append(r["low"])
         width.append(-(-(r["high"] - r["low"] + 1) // CELLS))
-    blocks = materialise(candidates.mapInArrow(_blocks(n, BLOCK_ROWS, corners), BLOCK))
-    asked = queries.mapInArrow(_blocks(1, QUERY_ROWS, None), BLOCK).select(
-        "dim", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part")
-    )
-    bounds = materialise(blocks.join(asked, ["dim", "part"]).mapInArrow(_bounds(k, corners), BOUND))
+    # a part is a task of its own, with a copy of all queries: there are no more of them than blocks
+    parts = max(1, min(part_count(spark), -(-candidates.count() // BLOCK_ROWS)))
+    blocks = candidates.mapInArrow(_blocks(parts, BLOCK_ROWS, corners), BLOCK).withColumn("asks", F.lit(False))
+    asked = queries.mapInArrow(_blocks(1, QUERY_ROWS, None), BLOCK).withColumn("asks", F.lit(True))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # each block once: as pairs of a join they would be many times as large, in a broadcast or in a worker's batches
+    dealt = blocks.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "asks")
+    bounds = materialise(dealt.mapInArrow(_bounds(k, corners), BOUND))
 
     by_low = Window.partitionBy("query_id").orderBy(F.desc("low"))
     sure = bounds.withColumn("nth", F.row_number().over(by_low)).where(F.col("nth") == k).select("query_id", F.col("low").alias("sure"))
@@ -135,7 +164,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     def score(pairs: DataFrame) -> DataFrame:
         own = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-        read = pairs.select("query_id", "vec_id").join(candidates, "vec_id").join(own, "query_id")
+        # vectors can compress to little, but be large in a broadcast
+        read = pairs.select("query_id", "vec_id").join(candidates, "vec_id").join(own.hint("merge"), "query_id")
         return read.where(F.size("q") == F.size("v")).select("query_id", "vec_id", product.alias("score"))
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
