@@ -1,5 +1,7 @@
 """Two-level order steps against single-machine results, with ranges small enough to be cut often."""
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -119,3 +121,26 @@ def test_ranges_carry_their_keys_once(spark):
     assert sorted((r.k or "", r.v, r.n, r._group.k or "") for r in out.collect()) == [("", 3.0, 3, ""), ("a", 1.0, 2, "a"), ("a", 2.0, 1, "a")]
     (scan,) = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in x]
     assert scan.split("[")[1].startswith("v#")
+
+
+def test_nearest_by_key_is_not_quadratic_and_ranks(spark):
+    """A key of many rows: running frames only, and one row per probe where a rank is given."""
+    rng = np.random.default_rng(3)
+    targets = sorted(set(rng.integers(0, 10**9, 40_000).tolist()))
+    probes = sorted(set(rng.integers(0, 10**9, 40_000).tolist()) | set(targets[:100]))
+    t = spark.createDataFrame([("k", v, i) for i, v in enumerate(targets)] + [("x", 5, 0), (None, 7, 1)], "k string, v long, n int")
+    p = spark.createDataFrame([("k", v) for v in probes] + [("y", 5), ("x", 9), (None, 7)], "k string, v long")
+    out = O.nearest_by_key(p, t, ["k"], "v", ["n"], buckets=3)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {}
+    for r in out.collect():
+        got.setdefault((r["k"], r["v"]), set()).add((r["target_value"], r["n"]))
+    want = {("x", 9): {(5, 0)}, (None, 7): {(7, 1)}}
+    for v in probes:
+        i = bisect.bisect_right(targets, v)
+        want["k", v] = {(targets[j], j) for j in (i - 1, i) if 0 <= j < len(targets)}
+    assert got == want
+    one = O.nearest_by_key(p, t, ["k"], "v", ["n"], lambda t, v: F.struct(F.abs(t["v"] - v), -t["n"]), buckets=3).collect()
+    assert {(r["k"], r["v"]): (r["target_value"], r["n"]) for r in one} == {
+        (k, v): min(found, key=lambda f: (abs(f[0] - v), -f[1])) for (k, v), found in want.items()}
+    assert len(one) == len(want)
